@@ -165,7 +165,7 @@ def test_mixing(spark):
     for k in order:
         rows = [r for r in out if r["source"] == k]
         assert all(abs(r["target"] - want[k]) < 1e-6 and r["source_size"] == size[k] and r["taken"] in (0, r["size"], 2 * r["size"]) for r in rows)
-        assert abs(sum(r["taken"] for r in rows) - want[k]) <= 2
+        assert 0 <= want[k] + 1e-6 - sum(r["taken"] for r in rows) < max(r["size"] for r in rows)
     assert sum(1 for _ in mixing.mixed(d).collect()) == sum(r["taken"] // r["size"] for r in out if r["size"])
     assert mixing.mix(empty(spark)).collect() == []
 
