@@ -1,0 +1,59 @@
+"""Column functions on texts: normal forms, hashes, n-grams, similarity."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+SPACE = r"(?U)[\s\x1c-\x1f]+"
+
+
+def normalize(text, strict: bool = False):
+    """Lower case, white space collapsed and trimmed; strict also drops what is no letter, digit or underscore. Null gives ''."""
+    c = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SPACE, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}_\s]", ""), SPACE, " ")) if strict else c
+
+
+def words(text):
+    """Words of a normal form; '' has none."""
+    return F.filter(F.split(text, " "), lambda w: w != "")
+
+
+def ngrams(items, n: int, sep: str = " "):
+    """All n-grams of an array of strings; a shorter array has none."""
+    return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(1), F.size(items) - n + 1), lambda i: F.array_join(F.slice(items, i, n), sep))).otherwise(F.array().cast("array<string>"))
+
+
+def char_ngrams(text, n: int = 5):
+    """Distinct character n-grams; a shorter text is its own one, '' has none."""
+    many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(many)
+
+
+def jaccard(a, b, empty: float = 1.0):
+    """Of two arrays as sets; two empty sets give `empty`."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union == 0, F.lit(empty)).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def edit_distance(a, b):
+    """Levenshtein distance over the longer length."""
+    return F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+
+
+def dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine(a, b):
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def normalize_label(label):
+    """0 or 1 from the spellings of a label; null if it is none of them."""
+    s = F.lower(F.trim(label))
+    n = s.try_cast("double")
+    return (
+        F.when(s.isin("0", "false", "human", "real", "human-written", "human_written"), 0)
+        .when(s.isin("1", "true", "llm", "ai", "machine", "generated"), 1)
+        .when(n.isNotNull() & (n.try_cast("int").isin(0, 1)), n.try_cast("int"))
+    )

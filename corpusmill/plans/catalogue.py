@@ -1,2 +1,227 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Registered queries over the driver's tables, each with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill.functions import text as T
+from corpusmill.operators import dedup, evaluation, neardup, sequences
+
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+# SQL for the normal forms; \s of the other engine knows ASCII white space only.
+_WS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]+"
+_LIGHT = rf"trim(regexp_replace(lower(coalesce(text, '')), '{_WS}', ' ', 'g'), ' ')"
+_STRICT = rf"trim(regexp_replace(regexp_replace({_LIGHT}, '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '{_WS}', ' ', 'g'), ' ')"
+_N = f"n as (select doc_id, {_LIGHT} as light, {_STRICT} as strict from documents)"
+_H = f"{_N}, h as (select doc_id, sha1(light) as h, doc_id % 5 = 0 as is_test from n)"
+_W = f"{_N}, w as (select doc_id, list_filter(string_split(light, ' '), lambda x: x <> '') as w from n)"
+_SIM = f"""{_W}, f as (select doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]) else w end) as f from w),
+hh as (select doc_id, ('0x' || substr(md5(f), 17, 16))::ubigint as h from f),
+s as (select doc_id, {" + ".join(f"(case when 2 * sum(((h >> {i}) & 1)::integer) > count(*) then {1 << i}::hugeint else 0::hugeint end)" for i in range(64))} as s from hh group by doc_id),
+sim as (select n.doc_id, coalesce(s.s, 0) as s from n left join s using (doc_id))"""
+_PAIRS = f"""{_SIM}, b as (select doc_id, k, s from sim, (values (0), (1), (2), (3)) as t(k)),
+v as (select doc_id, k, case k when 0 then s % 65536 when 1 then (s // 65536) % 65536 when 2 then (s // 4294967296) % 65536 else (s // 281474976710656) % 65536 end as v from b),
+c as (select distinct a.doc_id as test_id, z.doc_id as train_id from v a join v z on a.k = z.k and a.v = z.v and a.doc_id % 5 = 0 and z.doc_id % 5 <> 0),
+g as (select doc_id, case when strict = '' then [] else list_distinct(list_transform(range(1, greatest(length(strict) - 3, 2)), lambda i: substr(strict, i, 5))) end as g from n where doc_id in (select test_id from c union select train_id from c)),
+p as (select test_id, train_id, len(list_intersect(x.g, y.g)) as i, len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)) as u from c join g x on x.doc_id = test_id join g y on y.doc_id = train_id),
+pairs as (select test_id, train_id, case when u = 0 then 1.0 else i / u end as score from p)"""
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def _split(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.where("doc_id % 5 = 0"), d.where("doc_id % 5 <> 0")
+
+
+@_query(f"with {_N} select doc_id, sha1(light) as light_hash, sha1(strict) as strict_hash from n")
+def normalize_hash(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.sha1(T.normalize(F.col("text"))).alias("light_hash"), F.sha1(T.normalize(F.col("text"), True)).alias("strict_hash"))
+
+
+@_query(f"with {_H}, c as (select h, count(*) as c from h group by h) select count(*) filter (where c > 1) as dup_groups, cast(coalesce(sum(c - 1) filter (where c > 1), 0) as bigint) as dup_items from c")
+def dup_groups(spark, sf_dir):
+    return dedup.dup_groups(dedup.hashed(_t(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+@_query(f"with {_H} select h, min(doc_id) as doc_id from h group by h")
+def dedup_keep_first(spark, sf_dir):
+    return dedup.keep_first(dedup.hashed(_t(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+@_query(f"with {_H}, a as (select h, count(*) as c from h where is_test group by h), b as (select h, count(*) as c from h where not is_test group by h) select cast(coalesce(sum(least(a.c, b.c)), 0) as bigint) as overlap, count(*) as common_keys from a join b using (h)")
+def exact_overlap(spark, sf_dir):
+    test, train = _split(spark, sf_dir)
+    return dedup.exact_overlap(dedup.hashed(test, "doc_id", "text"), dedup.hashed(train, "doc_id", "text"))
+
+
+@_query(f"with {_SIM} select doc_id, lower(printf('%016x', s::ubigint)) as simhash from sim".replace("printf('%016x', s::ubigint)", "lpad(to_hex(s::ubigint), 16, '0')"))
+def simhash64(spark, sf_dir):
+    s = neardup.simhash64(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    return s.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("simhash"))
+
+
+@_query(f"with {_PAIRS} select test_id, train_id, cast(floor(score * 1000000) as bigint) as score_ppm from pairs")
+def near_dup_pairs(spark, sf_dir):
+    test, train = _split(spark, sf_dir)
+    return neardup.near_pairs(test, train, "doc_id", "text").select("test_id", "train_id", F.floor(F.col("score") * 1_000_000).cast("long").alias("score_ppm"))
+
+
+@_query(f"with {_PAIRS} select count(*) as candidates, count(*) filter (where score >= 0.95) as j95, count(*) filter (where score >= 0.9) as j90, count(*) filter (where score >= 0.8) as j80 from pairs")
+def leakage_summary(spark, sf_dir):
+    test, train = _split(spark, sf_dir)
+    s = F.col("score")
+    return neardup.near_pairs(test, train, "doc_id", "text").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(s >= 0.95).alias("j95"), F.count_if(s >= 0.9).alias("j90"), F.count_if(s >= 0.8).alias("j80"))
+
+
+@_query(f"""with {_PAIRS}, hd as (select doc_id, sha1(light) as h from n), tr as (select doc_id, h, row_number() over (partition by h order by doc_id) as rn from hd where doc_id % 5 <> 0)
+select doc_id, case when rn > 1 then 'internal_dup' when h in (select h from hd where doc_id % 5 = 0) then 'exact' when doc_id in (select train_id from pairs where score >= 0.95) then 'near' else 'kept' end as reason from tr""")
+def dedup_reasons(spark, sf_dir):
+    test, train = _split(spark, sf_dir)
+    near = neardup.near_pairs(test, train, "doc_id", "text").where("score >= 0.95").select(F.col("train_id").alias("doc_id"))
+    return dedup.removal_reasons(dedup.hashed(test, "doc_id", "text"), dedup.hashed(train, "doc_id", "text"), near, "doc_id")
+
+
+@_query("with r as (select length(coalesce(text, '')) as n, row_number() over (order by length(coalesce(text, ''))) - 1 as k, count(*) over () as c from documents) select max(c) as n, max(n) as max_len, cast(sum(n) as bigint) as sum_len, max(n) filter (where k = round_even(0.5 * (c - 1), 0)) as p50, max(n) filter (where k = round_even(0.9 * (c - 1), 0)) as p90, max(n) filter (where k = round_even(0.95 * (c - 1), 0)) as p95 from r")
+def length_summary(spark, sf_dir):
+    """Nearest ranks from counts by length, so no task sorts all rows."""
+    from pyspark.sql import Window
+
+    g = _t(spark, sf_dir, "documents").select(F.length(F.coalesce("text", F.lit(""))).cast("long").alias("len")).groupBy("len").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.orderBy("len").rowsBetween(Window.unboundedPreceding, 0)
+    g = g.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy()))
+    at = lambda p: F.min(F.when(F.col("upto") > F.bround(F.lit(p) * (F.col("n") - 1)), F.col("len")))
+    return g.agg(F.max("n").alias("n"), F.max("len").alias("max_len"), F.sum(F.col("len") * F.col("c")).alias("sum_len"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95"))
+
+
+@_query("with t as (select conv_id, turn, role, row_number() over (partition by conv_id order by turn) - row_number() over (partition by conv_id, role order by turn) as g from conversations where role <> 'user') select conv_id, role, min(turn) as first_turn, count(*) as n from t group by conv_id, role, g")
+def llm_segments(spark, sf_dir):
+    t = sequences.islands(_t(spark, sf_dir, "conversations").where("role <> 'user'"), "conv_id", "turn", "role")
+    return t.groupBy("conv_id", "role", "island").agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("n")).drop("island")
+
+
+@_query("with l as (select conv_id, turn, length(text) as v, lag(length(text)) over (partition by conv_id order by turn) as p from conversations) select conv_id, turn, cast(sum(case when v < p then 1 else 0 end) over (partition by conv_id order by turn) as bigint) as chunk from l")
+def monotone_chunks(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("v"))
+    return sequences.monotone_chunks(c, "conv_id", "turn", "v").select("conv_id", "turn", "chunk")
+
+
+_RANK = "r as (select doc_id, toxic, row_number() over (partition by toxic order by md5('2027:' || doc_id), doc_id) as rk, count(*) over (partition by toxic) as cnt from labels)"
+
+
+@_query(f"with {_RANK} select doc_id, toxic, case when rk <= round_even(cnt * 0.1, 0) then 'a' else 'b' end as split from r")
+def stratified_split(spark, sf_dir):
+    return sequences.stratified_split(_t(spark, sf_dir, "labels"), "toxic", "doc_id", 0.1, "2027")
+
+
+@_query(f"with {_RANK} select doc_id, toxic, cast(floor((rk - 1) / 6) as bigint) as batch from r where rk <= (select min(cnt) from r)")
+def balanced_batches(spark, sf_dir):
+    return sequences.balanced_batches(_t(spark, sf_dir, "labels"), "toxic", "doc_id", 6, "2027")
+
+
+@_query(f"with {_W} select doc_id, len(w) as n_words, len(list_distinct(w)) as n_distinct, round(len(list_distinct(w)) / (len(w) + 0.00001), 4) as diversity from w")
+def lexical_diversity(spark, sf_dir):
+    w = _t(spark, sf_dir, "documents").select("doc_id", T.words(T.normalize(F.col("text"))).alias("w"))
+    d = F.size(F.array_distinct("w"))
+    return w.select("doc_id", F.size("w").cast("long").alias("n_words"), d.cast("long").alias("n_distinct"), F.round(d / (F.size("w") + F.lit(0.00001)), 4).alias("diversity"))
+
+
+@_query(f"with {_W}, e as (select doc_id, unnest(w) as x from w), c as (select doc_id, x, count(*) as c from e group by doc_id, x), t as (select *, c / sum(c) over (partition by doc_id) as p from c) select doc_id, round(-sum(p * log2(p)), 4) as entropy from t group by doc_id")
+def word_entropy(spark, sf_dir):
+    w = _t(spark, sf_dir, "documents").select("doc_id", F.explode(T.words(T.normalize(F.col("text")))).alias("x"))
+    c = w.groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("c"))
+    # H = log2(n) - sum(c log2 c) / n needs no second pass over the counts.
+    return c.groupBy("doc_id").agg(F.round(F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c"), 4).alias("entropy"))
+
+
+@_query(f"with {_N}, p as (select a.doc_id, substr(a.light, 1, 200) as x, substr(b.light, 1, 200) as y from n a join n b on b.doc_id = a.doc_id + 1) select doc_id, levenshtein(x, y) as dist, greatest(length(x), length(y)) as longer from p")
+def edit_distance_norm(spark, sf_dir):
+    """Of the openings (200 characters, the unit compared) of neighbouring documents."""
+    n = _t(spark, sf_dir, "documents").select("doc_id", F.substring(T.normalize(F.col("text")), 1, 200).alias("x"))
+    p = n.join(n.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y")), "doc_id")
+    return p.select("doc_id", F.levenshtein("x", "y").cast("long").alias("dist"), F.greatest(F.length("x"), F.length("y")).cast("long").alias("longer"))
+
+
+@_query(f"with {_W}, p as (select a.doc_id, list_distinct(a.w) as x, list_distinct(b.w) as y from w a join w b on b.doc_id = a.doc_id + 1) select doc_id, len(list_intersect(x, y)) as common, len(x) as n_pred, len(y) as n_ref from p")
+def pair_overlap(spark, sf_dir):
+    w = _t(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.words(T.normalize(F.col("text")))).alias("x"))
+    p = w.join(w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y")), "doc_id")
+    return p.select("doc_id", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), F.size("x").cast("long").alias("n_pred"), F.size("y").cast("long").alias("n_ref"))
+
+
+@_query("select a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::double * b.embedding[i])) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::double * x))) / sqrt(list_sum(list_transform(b.embedding, lambda x: x::double * x))), 6) as cosine, round(list_sum(list_transform(range(1, 65), lambda i: abs(a.embedding[i]::double - b.embedding[i]))), 6) as manhattan from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
+def vector_similarity(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
+    l1 = F.aggregate(F.zip_with("x", "y", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v)
+    return p.select("vec_id", F.round(T.cosine(F.col("x"), F.col("y")), 6).alias("cosine"), F.round(l1, 6).alias("manhattan"))
+
+
+_PROB = "s as (select toxic as label, ((doc_id * 37 + toxic * 23) % 100) / 100.0::double as prob from labels)"
+
+
+def _scores(spark, sf_dir):
+    return _t(spark, sf_dir, "labels").select(F.col("toxic").alias("label"), (((F.col("doc_id") * 37 + F.col("toxic") * 23) % 100) / 100.0).alias("prob"))
+
+
+@_query(f"with {_PROB} select count(*) filter (where prob >= 0.5 and label = 1) as tp, count(*) filter (where prob >= 0.5 and label = 0) as fp, count(*) filter (where prob < 0.5 and label = 1) as fn, count(*) filter (where prob < 0.5 and label = 0) as tn from s")
+def confusion(spark, sf_dir):
+    return evaluation.confusion(_scores(spark, sf_dir))
+
+
+@_query(f"with {_PROB} select round(sum(case when a.prob > b.prob then 1.0 when a.prob = b.prob then 0.5 else 0.0 end) / count(*), 6) as auc from s a, s b where a.label = 1 and b.label = 0")
+def auc_rank(spark, sf_dir):
+    return evaluation.auc(_scores(spark, sf_dir))
+
+
+@_query("select i.item_id, d.doc_id from benchmark i join documents d on contains(d.text, i.text)")
+def benchmark_containment(spark, sf_dir):
+    """Protected passages that stand in documents: an equality join on the first 8 words' windows, then the check."""
+    w = lambda c: F.split(c, " ")
+    items = _t(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.col("text").alias("passage"), F.array_join(F.slice(w(F.col("text")), 2, 4), " ").alias("key"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(T.ngrams(w(F.col("text")), 4))).alias("key"))
+    hits = d.select("doc_id", "key").join(items, "key").select("doc_id", "item_id", "passage").distinct()
+    return hits.join(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+
+
+@_query("with q as (select quantile_cont(length(text), 0.25) as q1, quantile_cont(length(text), 0.75) as q3 from documents) select doc_id, length(text) as n from documents, q where length(text) between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)")
+def iqr_filter(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n"))
+    q = d.agg(F.percentile("n", F.lit(0.25)).alias("q1"), F.percentile("n", F.lit(0.75)).alias("q3"))
+    return d.join(F.broadcast(q)).where("n between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)").select("doc_id", "n")
+
+
+@_query("with b as (select min(length(text)) as lo, max(length(text)) as hi from documents) select cast(least(49, floor((length(text) - lo) * 50 / (hi - lo))) as bigint) as bin, count(*) as n from documents, b group by 1")
+def histogram(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select(F.length("text").alias("x"))
+    b = d.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    return d.join(F.broadcast(b)).groupBy(F.least(F.lit(49), F.floor((F.col("x") - F.col("lo")) * 50 / (F.col("hi") - F.col("lo")))).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("select * from (values ('1', 1), ('human', 0), ('AI', 1), ('0.7', 0), ('2', null), ('Human-Written', 0), ('x', null), ('true', 1)) as t(label, y)")
+def label_infer(spark, sf_dir):
+    rows = spark.sql("select * from values ('1'), ('human'), ('AI'), ('0.7'), ('2'), ('Human-Written'), ('x'), ('true') as t(label)")
+    return rows.select("label", T.normalize_label(F.col("label")).alias("y"))
+
+
+def queries() -> dict:
+    return dict(_Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
