@@ -141,7 +141,7 @@ def lexical_diversity(spark, sf_dir):
     return w.select("doc_id", F.size("w").cast("long").alias("n_words"), d.cast("long").alias("n_distinct"), F.round(d / (F.size("w") + F.lit(0.00001)), 4).alias("diversity"))
 
 
-@_query(f"with {_W}, e as (select doc_id, unnest(w) as x from w), c as (select doc_id, x, count(*) as c from e group by doc_id, x), t as (select *, c / sum(c) over (partition by doc_id) as p from c) select doc_id, round(-sum(p * log2(p)), 4) as entropy from t group by doc_id")
+@_query(f"with {_W}, e as (select doc_id, unnest(w) as x from w), c as (select doc_id, x, count(*) as c from e group by doc_id, x), t as (select *, c / sum(c) over (partition by doc_id) as p from c) select doc_id, round(-sum(p * log2(p)), 4) + 0.0 as entropy from t group by doc_id")
 def word_entropy(spark, sf_dir):
     w = _t(spark, sf_dir, "documents").select("doc_id", F.explode(T.words(T.normalize(F.col("text")))).alias("x"))
     c = w.groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("c"))
@@ -149,10 +149,10 @@ def word_entropy(spark, sf_dir):
     return c.groupBy("doc_id").agg(F.round(F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c"), 4).alias("entropy"))
 
 
-@_query(f"with {_N}, p as (select a.doc_id, substr(a.light, 1, 200) as x, substr(b.light, 1, 200) as y from n a join n b on b.doc_id = a.doc_id + 1) select doc_id, levenshtein(x, y) as dist, greatest(length(x), length(y)) as longer from p")
+@_query(rf"with {_N}, p as (select a.doc_id, regexp_replace(substr(a.light, 1, 200), '[^\x00-\x7f]', '?', 'g') as x, regexp_replace(substr(b.light, 1, 200), '[^\x00-\x7f]', '?', 'g') as y from n a join n b on b.doc_id = a.doc_id + 1) select doc_id, levenshtein(x, y) as dist, greatest(length(x), length(y)) as longer from p")
 def edit_distance_norm(spark, sf_dir):
-    """Of the openings (200 characters, the unit compared) of neighbouring documents."""
-    n = _t(spark, sf_dir, "documents").select("doc_id", F.substring(T.normalize(F.col("text")), 1, 200).alias("x"))
+    """Of the openings (200 characters, the unit compared; others than ASCII as ?) of neighbouring documents."""
+    n = _t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.substring(T.normalize(F.col("text")), 1, 200), r"[^\x00-\x7f]", "?").alias("x"))
     p = n.join(n.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y")), "doc_id")
     return p.select("doc_id", F.levenshtein("x", "y").cast("long").alias("dist"), F.greatest(F.length("x"), F.length("y")).cast("long").alias("longer"))
 
