@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shared_dir
 from .components import components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\x0b\x0c\r\n\t", b"abcdefghijklmnopqrstuvwxyz     ")
@@ -130,29 +132,44 @@ def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_
     shingle. Null, empty and word-less texts have no shingles and stand alone; ties break by id.
     """
     d = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    same = cut(d.select("id", F.md5(F.encode("text", "UTF-8")).alias("h")))
-    copies = same.groupBy("h").agg(F.min("id").alias("rep"))
-    member = cut(same.join(copies, "h").select("id", "rep"))
-    rows = d.join(copies.select(F.col("rep").alias("id")), "id", "left_semi")
-    order = frequent(rows, k)
-    p = cut(prefixes(rows, order, k, percent))
+    same = cut(d.select("id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(5), "text").alias("g")))
+    copies = same.groupBy("h", "g").agg(F.min("id").alias("rep"))
+    member = cut(same.join(copies, ["h", "g"]).select("id", "rep"))
+    path = f"{shared_dir(documents.sparkSession)}/prefixes-{uuid.uuid4().hex}"
+    # Texts aren't shuffled for this; copies go once the shingles that no other text holds are gone.
+    prefixes(d, frequent(d, k), k, percent).write.parquet(path)
+    p = documents.sparkSession.read.parquet(path)
     size = p.where("pos <= 0").select("id", "n")
-    shared = p.where("pos >= 0")
+    held = p.where("pos >= 0").join(p.where("pos >= 0").groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token"), "token", "left_semi")
+    shared = cut(held.join(member.where("id = rep").select("id"), "id", "left_semi").select("token", "id", "n", "pos"))
     groups = shared.groupBy("token").agg(F.min(F.struct("n", "id", "pos")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    # Overlap needed by two sets, and what is left of both after the shared shingle, bound the pairs.
-    fits = f"100 * least(n, ln) >= {percent} * greatest(n, ln) and (100 + {percent}) * (1 + least(n - pos, ln - lpos) - 1 + least(pos, lpos)) >= {percent} * (n + ln)"
+    # Overlap needed by two sets, and what is left of both around the shared shingle, bound the pairs.
+    fits = f"100 * least(n, ln) >= {percent} * greatest(n, ln) and (100 + {percent}) * (least(n - pos, ln - lpos) + least(pos, lpos)) >= {percent} * (n + ln)"
     star = shared.join(groups, "token").select("id", "n", "pos", F.col("first.id").alias("lid"), F.col("first.n").alias("ln"), F.col("first.pos").alias("lpos")).where("id <> lid").where(fits)
-    pairs = cut(star.select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).distinct())
-    links = cut(verified(pairs, rows, k, percent))
+    met = cut(star.groupBy("id", "lid").agg(F.count(F.lit(1)).alias("met")))
+    # First each text with the leader it meets most, then with those of other classes, then all pairs across classes.
+    best = met.groupBy("id").agg(F.max(F.struct("met", F.col("lid"))).alias("m")).select(F.least("id", "m.lid").alias("a"), F.greatest("id", "m.lid").alias("b")).distinct()
+    links = cut(verified(best, d, k, percent))
+    done = cut(best)
+    comp = components(links)
+
+    def fresh(pairs):
+        c = comp.select(F.col("node"), F.col("component"))
+        x = pairs.join(c.toDF("a", "ca"), "a", "left").join(c.toDF("b", "cb"), "b", "left")
+        return cut(x.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"))
+
+    more = fresh(met.select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")))
+    links = cut(links.union(verified(more, d, k, percent)))
+    done = done.union(more)
     comp = components(links)
     seen = shared.join(comp, shared["id"] == comp["node"], "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
     mixed = seen.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
     left = cut(seen.join(mixed, "token", "left_semi"))
     other = left.select("token", F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("pos").alias("lpos"), F.col("c").alias("lc"))
     rest = left.join(other, "token").where("c <> lc and id < lid").where(fits).select(F.col("id").alias("a"), F.col("lid").alias("b")).distinct()
-    rest = cut(rest.join(pairs, ["a", "b"], "left_anti"))
-    comp = components(links.union(verified(rest, rows, k, percent)))
-    joined = member.join(size.withColumnRenamed("id", "rep"), "rep").join(comp, F.col("rep") == comp["node"], "left")
+    rest = cut(rest.join(done, ["a", "b"], "left_anti"))
+    comp = components(links.union(verified(rest, d, k, percent)))
+    joined = member.join(size, "id").join(comp, F.col("rep") == comp["node"], "left")
     # Copies of one text are linked if it has words; a text without any stands alone.
     final = joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
     return final
