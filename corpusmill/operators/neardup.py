@@ -35,5 +35,10 @@ def near_pairs(test: DataFrame, train: DataFrame, id_col: str, text_col: str) ->
     a = bands(simhash64(test, id_col, text_col), id_col).withColumnRenamed(id_col, "test_id")
     b = bands(simhash64(train, id_col, text_col), id_col).withColumnRenamed(id_col, "train_id")
     pairs = a.join(b, ["band", "value"]).select("test_id", "train_id").distinct()
-    g = lambda df, name, to: df.select(F.col(id_col).alias(name), char_ngrams(normalize(F.col(text_col), True)).alias(to))
+
+    def g(df, name, to):
+        # The join keeps the normal form a column: inside the lambda it would be made anew for each gram.
+        form = df.select(F.col(id_col).alias(name), normalize(F.col(text_col), True).alias("form"))
+        return form.join(pairs.select(name).distinct(), name).select(name, char_ngrams(F.col("form")).alias(to))
+
     return pairs.join(g(test, "test_id", "x"), "test_id").join(g(train, "train_id", "y"), "train_id").select("test_id", "train_id", jaccard(F.col("x"), F.col("y")).alias("score"))
