@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -13,19 +13,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     Minimum labels travel along edges, and each round also jumps to the label's own label, so that
     the rounds grow with the logarithm of a chain's length. Sums per node are combined before the
-    shuffle, and each round is checkpointed. Null ends, loops and repeated edges change nothing; an
+    shuffle, and each round is written to the shared folder. Null ends, loops and repeated edges change nothing; an
     empty table gives an empty one. Raises if the labels have not settled after max_rounds.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
-    both = cut(e.union(e.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    both = written(e.union(e.select("b", "a")).distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     if labels.isEmpty():
         return labels
     for _ in range(max_rounds):
         told = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
         near = labels.join(told, labels["node"] == told["a"]).select("node", F.col("component").alias("was"), F.least("component", "m").alias("c"))
         far = labels.select(F.col("node").alias("c"), F.col("component").alias("cc"))
-        new = cut(near.join(far, "c").select("node", "was", F.least("c", "cc").alias("component")))
+        new = written(near.join(far, "c").select("node", "was", F.least("c", "cc").alias("component")))
         labels, moved = new.select("node", "component"), new.where("was <> component").isEmpty()
         if moved:
             return labels

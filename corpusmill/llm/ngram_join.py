@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,34 +12,107 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import erase, shared_dir, written
 from .components import components
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\x0b\x0c\r\n\t", b"abcdefghijklmnopqrstuvwxyz     ")
-
-
-def shingle_set(text: bytes | None, k: int = 4, cache: dict | None = None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; a shorter text is one shingle, one without words has none."""
-    words = (text or b"").translate(_LOWER).split(b" ")
-    cache = {} if cache is None else cache
-    if len(cache) > 1_000_000:
-        cache.clear()
-    get, ids = cache.get, []
-    for w in words:
-        if w:
-            h = get(w)
-            if h is None:
-                h = cache[w] = xxhash.xxh3_64_intdigest(w)
-            ids.append(h)
-    h = np.array(ids, np.uint64)
-    if not len(h):
-        return h
-    out = np.zeros(max(1, len(h) - k + 1), np.uint64)
-    for i in range(min(k, len(h))):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)]
-        out ^= out >> np.uint64(29)
-    out = out * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(min(k, len(h)))
-    return np.unique(out ^ (out >> np.uint64(32)))
+_SPAN = 1 << 20
+_LONG_WORD = 1 << 16
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
+
+
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A value for each byte, letters of both cases alike; powers of an odd base modulo 2**64; and their inverses."""
+    byte = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    byte[0x41:0x5B] = byte[0x61:0x7B]
+    base = 0xD1342543DE82EF95
+    powers = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(_SPAN, b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64))]
+    return byte, powers[0], powers[1]
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words data[start:end], A-Z lower-cased: differences of running polynomial sums; words over 64 KB by xxh3."""
+    byte, power, inverse = _tables()
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        first = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, first + _SPAN, "right")))
+        if ends[j - 1] - first <= _SPAN:
+            part = data[first : ends[j - 1]]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(byte[part] * power[: len(part)], out=sums[1:])
+            s = starts[i:j] - first
+            out[i:j] = (sums[ends[i:j] - first] - sums[s]) * inverse[s]
+        i = j
+    length = (ends - starts).astype(np.uint64)
+    for w in np.flatnonzero(length > _LONG_WORD):
+        out[w] = xxhash.xxh3_64_intdigest(data[starts[w] : ends[w]].tobytes().lower())
+    return (out ^ (out >> np.uint64(32))) * _MIX + length
+
+
+def _sets_of_block(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For texts data[at[i]:at[i + 1]]: their sorted distinct shingle hashes one after the other, and where each begins."""
+    solid = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[at] = True
+    before, after = np.ones(len(data), bool), np.ones(len(data), bool)
+    before[1:], after[:-1] = ~solid[:-1], ~solid[1:]
+    starts, ends = np.flatnonzero(solid & (before | edge[:-1])), np.flatnonzero(solid & (after | edge[1:])) + 1
+    h = _word_hashes(data, starts, ends)
+    first = np.searchsorted(starts, at)
+    words = np.diff(first)
+
+    def chain(index, n):
+        out = np.zeros(len(index), np.uint64)
+        for i in range(n):
+            out = out * _STEP + h[index + i]
+            out ^= out >> np.uint64(29)
+        out = out * _MIX + np.uint64(n)
+        return out ^ (out >> np.uint64(32))
+
+    whole = np.ones(len(h), bool)
+    for j in range(1, k):
+        last = first[1:] - j
+        whole[last[last >= first[:-1]]] = False
+    begin = np.concatenate([[0], np.cumsum(np.maximum(words - k + 1, words > 0))])
+    out = np.zeros(begin[-1], np.uint64)
+    rest = np.ones(len(out), bool)
+    for n in range(1, k):
+        short = np.flatnonzero(words == n)
+        out[begin[short]] = chain(first[short], n)
+        rest[begin[short]] = False
+    out[rest] = chain(np.flatnonzero(whole), k)
+    for i in np.flatnonzero(words > k):
+        out[begin[i] : begin[i + 1]].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[begin[:-1][begin[:-1] < len(out)]] = True
+    return out[new], np.concatenate([[0], np.cumsum(new)])[begin]
+
+
+def shingle_sets(texts: pa.Array, k: int = 4, block: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first text, hashes, offsets) for runs of texts of about block bytes; a longer text is a run of its own.
+
+    A text's hashes are sorted and distinct; one with fewer words is one shingle, one without words or null has none.
+    """
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    if not len(texts):
+        return
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
+    i = 0
+    while i < len(texts):
+        j = min(len(texts), max(i + 1, int(np.searchsorted(at, at[i] + block, "right")) - 1))
+        yield i, *_sets_of_block(data[at[i] : at[j]], at[i : j + 1] - at[i], k)
+        i = j
+
+
+def shingle_set(text: bytes | None, k: int = 4) -> np.ndarray:
+    """The set of one text."""
+    return next(shingle_sets(pa.array([text], pa.binary()), k))[1]
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -49,7 +124,9 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     a, b = int(np.searchsorted(x, m)), len(y) // 2
     if (100 + percent) * (min(a, b) + min(len(x) - a, len(y) - b)) < percent * total:
         return False
-    both = total - len(np.union1d(x, y))
+    merged = np.concatenate([x, y])
+    merged.sort()
+    both = int((merged[1:] == merged[:-1]).sum())
     return 100 * both >= percent * (total - both)
 
 
@@ -57,16 +134,19 @@ def frequent(rows: DataFrame, k: int, bound: int = 65_536, least: int = 3, chunk
     """At most bound shingles that stand in most texts, rarest first. Counts cover all texts and are summed over blocks; what a block holds under least times isn't sent."""
 
     def count(batches):
-        cache, held, n = {}, [], 0
+        held, n = [], 0
 
         def told():
-            v, c = np.unique(np.concatenate(held), return_counts=True)
-            v, c = v[c >= least], c[c >= least]
+            v = np.concatenate(held)
+            v.sort()
+            at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+            c = np.diff(np.append(at, len(v)))
+            v, c = v[at][c >= least], c[c >= least]
             return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(c)], names=["s", "c"])
 
         for b in batches:
-            for t in b.column(1).cast(pa.binary()):
-                held.append(s := shingle_set(t.as_py(), k, cache))
+            for _, s, _ in shingle_sets(b.column(1), k):
+                held.append(s)
                 n += len(s)
                 if n >= chunk:
                     yield told()
@@ -84,42 +164,49 @@ def prefixes(rows: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFr
     values = order[by_value]
 
     def run(batches):
-        cache: dict = {}
         for b in batches:
-            ids, ns, toks, pos = [], [], [], []
-            for key, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
-                s = shingle_set(t.as_py(), k, cache)
-                n = len(s)
-                if not n:
-                    ids.append([key]), ns.append([0]), toks.append([0]), pos.append([-1])
-                    continue
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            for i, s, at in shingle_sets(b.column(1), k):
+                n = np.diff(at)
                 if len(values):
-                    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                    rank = np.where(values[at] == s, by_value[at] + 1, 0)
-                    s = s[np.argsort(rank, kind="stable")]
-                p = n - -(-percent * n // 100) + 1
-                ids.append([key] * p), ns.append([n] * p), toks.append(s[:p].view(np.int64)), pos.append(np.arange(p))
-            if ids:
-                flat = lambda x: np.concatenate(x)
-                yield pa.RecordBatch.from_arrays([pa.array(flat(ids), pa.int64()), pa.array(flat(ns), pa.int32()), pa.array(flat(toks), pa.int64()), pa.array(flat(pos), pa.int32())], names=["id", "n", "token", "pos"])
+                    near = np.minimum(np.searchsorted(values, s), len(values) - 1)
+                    rank = np.where(values[near] == s, by_value[near] + 1, 0)
+                    held = np.concatenate([[0], np.cumsum(rank > 0)])[at]
+                    for t in np.flatnonzero(np.diff(held)):
+                        part = slice(at[t], at[t + 1])
+                        s[part] = s[part][np.argsort(rank[part], kind="stable")]
+                p = np.where(n > 0, n - -(-percent * n // 100) + 1, 1)
+                pos = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
+                none = np.repeat(n == 0, p)
+                token = np.zeros(len(pos), np.uint64)
+                token[~none] = s[(np.repeat(at[:-1], p) + pos)[~none]]
+                pos[none] = -1
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[i : i + len(n)], p), pa.int64()), pa.array(np.repeat(n, p).astype(np.int32)), pa.array(token.view(np.int64)), pa.array(pos.astype(np.int32))], names=["id", "n", "token", "pos"])
 
     return rows.mapInArrow(run, "id long, n int, token long, pos int")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets, each checked once."""
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = cut(rows.join(need, "id", "left_semi"))
-    x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-    y = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int, block: int = 256) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets, each checked once.
+
+    The text of b travels once, to that of a; an a with many pairs is dealt out in blocks of them.
+    """
+    many = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("nb")))
+    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("nb")).alias("s"))
+    y = rows.join(dealt, rows["id"] == dealt["b"]).select("a", "s", "b", F.col("text").alias("y"))
+    x = rows.join(many, rows["id"] == many["a"]).select("a", F.col("text").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("s"))
 
     def run(batches):
-        cache: dict = {}
         for batch in batches:
-            keep = [linked(shingle_set(p.as_py(), k, cache), shingle_set(q.as_py(), k, cache), percent) for p, q in zip(batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                _, first, which = np.unique(part.column(0).to_numpy(), return_index=True, return_inverse=True)
+                texts = (part.column(2).take(pa.array(first)), part.column(3))
+                x, y = ([v[s:e] for _, v, at in shingle_sets(t, k) for s, e in zip(at[:-1], at[1:])] for t in texts)
+                keep = pa.array([linked(x[w], q, percent) for w, q in zip(which, y)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return written(y.join(x, ["a", "s"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
 def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -129,47 +216,46 @@ def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_
     there. For each shingle its shortest text is paired with the others, under the length and positional
     filters; checked pairs give classes. All remaining pairs of a shingle whose texts stand in different
     classes follow, so no link is lost, while a group of near copies costs one pair for each copy and
-    shingle. Null, empty and word-less texts have no shingles and stand alone; ties break by id.
+    shingle. Null, empty and word-less texts have no shingles and stand alone; ties break by id. A null id
+    is no partner of any and takes what a copy of its text with an id has; rows that repeat an id repeat its result.
     """
+    spark = documents.sparkSession
     d = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    same = cut(d.select("id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(5), "text").alias("g")))
+    same = written(d.select("id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(5), "text").alias("g")))
     copies = same.groupBy("h", "g").agg(F.min("id").alias("rep"))
-    member = cut(same.join(copies, ["h", "g"]).select("id", "rep"))
-    path = f"{shared_dir(documents.sparkSession)}/prefixes-{uuid.uuid4().hex}"
-    # Texts aren't shuffled for this; copies go once the shingles that no other text holds are gone.
-    prefixes(d, frequent(d, k), k, percent).write.parquet(path)
-    p = documents.sparkSession.read.parquet(path)
-    size = p.where("pos <= 0").select("id", "n")
-    held = p.where("pos >= 0").join(p.where("pos >= 0").groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token"), "token", "left_semi")
-    shared = cut(held.join(member.where("id = rep").select("id"), "id", "left_semi").select("token", "id", "n", "pos"))
-    groups = shared.groupBy("token").agg(F.min(F.struct("n", "id", "pos")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    member = written(same.join(copies, ["h", "g"]).select("id", "rep"))
+    d = d.where("id is not null")
+    path = f"{shared_dir(spark)}/prefixes-{uuid.uuid4().hex}"
+    # Texts aren't shuffled for this; the tokens of copies go afterwards.
+    prefixes(d, frequent(d, k), k, percent).write.option("compression", "zstd").parquet(path)
+    p = spark.read.parquet(path)
+    size = written(p.where("pos <= 0").groupBy("id").agg(F.max("n").alias("n")))
+    extra = member.where("id <> rep").select("id").distinct()
+    # Counts and members of a shingle are read from one exchange.
+    q = p.where("pos >= 0 and token is not null and id is not null").join(extra, "id", "left_anti").select("token", "id", "n", "pos").repartition("token")
+    groups = q.groupBy("token").agg(F.min(F.struct("n", "id", "pos")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = written(q.join(groups.select("token", F.col("first.id").alias("lid"), F.col("first.n").alias("ln"), F.col("first.pos").alias("lpos")), "token"))
+    erase(spark, path)
     # Overlap needed by two sets, and what is left of both around the shared shingle, bound the pairs.
     fits = f"100 * least(n, ln) >= {percent} * greatest(n, ln) and (100 + {percent}) * (least(n - pos, ln - lpos) + least(pos, lpos)) >= {percent} * (n + ln)"
-    star = shared.join(groups, "token").select("id", "n", "pos", F.col("first.id").alias("lid"), F.col("first.n").alias("ln"), F.col("first.pos").alias("lpos")).where("id <> lid").where(fits)
-    met = cut(star.groupBy("id", "lid").agg(F.count(F.lit(1)).alias("met")))
+    met = written(shared.where("id <> lid").where(fits).groupBy("id", "lid").agg(F.count(F.lit(1)).alias("met")))
     # First each text with the leader it meets most, then with those of other classes, then all pairs across classes.
-    best = met.groupBy("id").agg(F.max(F.struct("met", F.col("lid"))).alias("m")).select(F.least("id", "m.lid").alias("a"), F.greatest("id", "m.lid").alias("b")).distinct()
-    links = cut(verified(best, d, k, percent))
-    done = cut(best)
+    best = written(met.groupBy("id").agg(F.max(F.struct("met", "lid")).alias("m")).select(F.col("m.lid").alias("a"), F.col("id").alias("b")))
+    links = verified(best, d, k, percent)
     comp = components(links)
-
-    def fresh(pairs):
-        c = comp.select(F.col("node"), F.col("component"))
-        x = pairs.join(c.toDF("a", "ca"), "a", "left").join(c.toDF("b", "cb"), "b", "left")
-        return cut(x.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"))
-
-    more = fresh(met.select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")))
-    links = cut(links.union(verified(more, d, k, percent)))
-    done = done.union(more)
+    x = met.select(F.col("lid").alias("a"), F.col("id").alias("b")).join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
+    more = written(x.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").join(best, ["a", "b"], "left_anti"))
+    links = links.union(verified(more, d, k, percent))
+    done = best.union(more)
     comp = components(links)
     seen = shared.join(comp, shared["id"] == comp["node"], "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
     mixed = seen.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    left = cut(seen.join(mixed, "token", "left_semi"))
+    left = written(seen.join(mixed, "token", "left_semi"))
     other = left.select("token", F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("pos").alias("lpos"), F.col("c").alias("lc"))
-    rest = left.join(other, "token").where("c <> lc and id < lid").where(fits).select(F.col("id").alias("a"), F.col("lid").alias("b")).distinct()
-    rest = cut(rest.join(done, ["a", "b"], "left_anti"))
+    # A pair's shorter text comes first, as a shingle's leader does.
+    rest = left.join(other, "token").where("c <> lc and (ln < n or ln = n and lid < id)").where(fits).select(F.col("lid").alias("a"), F.col("id").alias("b")).distinct()
+    rest = written(rest.join(done, ["a", "b"], "left_anti"))
     comp = components(links.union(verified(rest, d, k, percent)))
-    joined = member.join(size, "id").join(comp, F.col("rep") == comp["node"], "left")
+    joined = member.join(size.toDF("rep", "n"), "rep", "left").join(comp, F.col("rep") == comp["node"], "left")
     # Copies of one text are linked if it has words; a text without any stands alone.
-    final = joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
-    return final
+    return joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
