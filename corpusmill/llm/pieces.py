@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
 import re
 
 import pyarrow as pa
@@ -14,62 +16,91 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _CHUNKS = re.compile("▁*[^▁]+|▁+")
 
 
+class _Chunks(dict):
+    """Ids by chunk for one variant; emptied when it holds too many."""
+
+    def __init__(self, segment, variant: int, entries: int):
+        self.segment, self.variant, self.entries = segment, variant, entries
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        if len(self) >= self.entries:
+            self.clear()
+        self[chunk] = got = self.segment(chunk, self.variant)
+        return got
+
+
 class Pieces:
     """Encoder and decoder of a BPE model with byte fallback. A chunk is a word with the spaces before it: no piece has a space after another character, so merges stay in chunks."""
 
-    def __init__(self, model: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 4, cache_entries: int = 400_000):
+    def __init__(self, model: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 4, cache_entries: int = 800_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = sp.get_piece_size()
-        self.pieces = [sp.id_to_piece(i) for i in range(n)]
+        pieces = [sp.id_to_piece(i) for i in range(n)]
         special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
-        self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.ids = {p: i for i, p in enumerate(self.pieces) if i not in special and i not in self.byte_of}
-        self.score = {i: sp.get_score(i) for i in self.ids.values()}
+        self.bytes = {int(p[3:5], 16): i for i, p in enumerate(pieces) if sp.is_byte(i)}
+        byte_of = {i: b for b, i in self.bytes.items()}
+        self.ids = {p: i for i, p in enumerate(pieces) if i not in special and i not in byte_of}
+        self.plain = [bytes([byte_of[i]]) if i in byte_of else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        # The agenda's order: the score falls as the rank grows.
+        scores = {p: -sp.get_score(i) for p, i in self.ids.items()}
+        order = {s: r for r, s in enumerate(sorted(set(scores.values())))}
+        self.rank = {p: order[s] for p, s in scores.items()}
         if any(re.search("[^▁]▁", p) for p in self.ids):
             raise ValueError("a piece spans words")
-        self.limit, self.seed, self.variants = int(dropout * 2**64), seed, max(1, variants)
-        self.cache, self.cache_entries = {}, cache_entries
-
-    def chunk(self, chunk: str, variant: int) -> tuple[int, ...]:
-        """Ids of one chunk. Merges come off an agenda by score, then place; one is skipped if its keyed hash falls under the dropout."""
-        got = self.cache.get((variant, chunk))
-        if got is not None:
-            return got
-        sym = list(chunk)
-        n, ids = len(sym), self.ids
-        left, right, alive, heap = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n, []
-
-        def offer(i, j):
-            if i >= 0 and j >= 0:
-                k = ids.get(sym[i] + sym[j])
-                if k is not None:
-                    heapq.heappush(heap, (-self.score[k], i, k, sym[i], sym[j], j))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        while heap:
-            _, i, k, a, b, j = heapq.heappop(heap)
-            if not (alive[i] and alive[j]) or right[i] != j or sym[i] != a or sym[j] != b:
-                continue
-            if self.limit and xxhash.xxh3_64_intdigest(f"{variant}|{i}|{j}|{k}|{chunk}", self.seed) < self.limit:
+        self.drop, self.limit, self.seed, self.variants = dropout > 0, int(dropout * 2**64) - 2**63, seed, max(1, variants)
+        self.chunks = [_Chunks(self.segment, v, max(1, cache_entries // self.variants)) for v in range(self.variants)]
+
+    def segment(self, chunk: str, variant: int) -> tuple[int, ...]:
+        """Ids of one chunk. Merges come off an agenda by score, then place; one is skipped if its keyed hash falls under the dropout.
+
+        A symbol is a span that begins at i and ends where the next begins, end[i]; offered[i] is the rank of
+        its merge with the next symbol, -1 if there is none or it was skipped, so stale entries show.
+        """
+        n, rank, drop, limit, get = len(chunk), self.rank, self.drop, self.limit, self.ids.get
+        end, before, offered, agenda = list(range(1, n + 1)), list(range(-1, n)), [-1] * n, []
+        for i, r in enumerate(map(rank.get, map(str.__add__, chunk, chunk[1:]))):
+            if r is not None:
+                offered[i] = r
+                agenda.append(r << 32 | i)
+        heapq.heapify(agenda)
+        key = xxhash.xxh3_64_intdigest(chunk.encode("utf-8", "surrogatepass"), (self.seed << 16) + variant) if drop else 0
+        while agenda:
+            x = heapq.heappop(agenda)
+            i = x & 0xFFFFFFFF
+            if offered[i] != x >> 32:
                 continue
-            sym[i], alive[j], right[i] = a + b, False, right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            offer(left[i], i)
-            offer(i, right[i])
-        out: list[int] = []
-        for i in range(n):
-            if alive[i]:
-                k = ids.get(sym[i])
-                out += [k] if k is not None else [self.bytes[x] for x in sym[i].encode("utf-8", "surrogatepass")]
-        if len(self.cache) >= self.cache_entries:
-            self.cache.clear()
-        self.cache[variant, chunk] = got = tuple(out)
-        return got
+            j = end[i]
+            if drop:
+                # A tuple of integers has the same hash, by xxHash, in every process.
+                if hash((key, x, j)) < limit:
+                    offered[i] = -1
+                    continue
+            end[i] = e = end[j]
+            offered[i] = offered[j] = -1
+            if e < n:
+                before[e] = i
+                r = rank.get(chunk[i : end[e]])
+                if r is not None:
+                    offered[i] = r
+                    heapq.heappush(agenda, r << 32 | i)
+            if i:
+                p = before[i]
+                r = rank.get(chunk[p:e])
+                offered[p] = -1
+                if r is not None:
+                    offered[p] = r
+                    heapq.heappush(agenda, r << 32 | p)
+        out, i = [], 0
+        while i < n:
+            k = get(chunk[i : end[i]])
+            if k is not None:
+                out.append(k)
+            else:
+                out += [self.bytes[x] for x in chunk[i : end[i]].encode("utf-8", "surrogatepass")]
+            i = end[i]
+        return tuple(out)
 
     def encode(self, text: str, key: int = 0) -> list[int]:
         """key and a chunk's place choose among the seeded variants. A literal U+2581 becomes bytes, so decoding is lossless."""
@@ -79,24 +110,21 @@ class Pieces:
         for k, part in enumerate(text.split("▁")):
             if k:
                 out += [self.bytes[x] for x in "▁".encode()]
-            marked = ("" if k else "▁") + part.replace(" ", "▁")
-            for i, c in enumerate(_CHUNKS.findall(marked)):
-                out += self.chunk(c, (key + i) % self.variants)
+            found = _CHUNKS.findall(("" if k else "▁") + part.replace(" ", "▁"))
+            ids: list = [()] * len(found)
+            for v in range(self.variants):
+                ids[v :: self.variants] = map(self.chunks[(key + v) % self.variants].__getitem__, found[v :: self.variants])
+            out += itertools.chain.from_iterable(ids)
         return out
 
     def decode(self, ids: list[int]) -> str:
-        parts, b, pieces, byte_of = [], bytearray(), self.pieces, self.byte_of
-        for i in ids:
-            if i in byte_of:
-                b.append(byte_of[i])
-            else:
-                if b:
-                    parts.append(b.decode("utf-8", "surrogatepass"))
-                    b = bytearray()
-                parts.append(pieces[i].replace("▁", " "))
-        if b:
-            parts.append(b.decode("utf-8", "surrogatepass"))
-        return "".join(parts)[1:]
+        return b"".join(map(self.plain.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+
+
+@functools.cache
+def _shared(model: str, dropout: float, seed: int, variants: int) -> Pieces:
+    """One encoder for a worker, so that its tasks share the chunks met before."""
+    return Pieces(model, dropout, seed, variants)
 
 
 def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
@@ -107,7 +135,7 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
 
     def run(batches):
-        p = Pieces(model, dropout, seed, variants)
+        p = _shared(model, dropout, seed, variants)
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
