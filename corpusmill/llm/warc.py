@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, written
 
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -42,7 +42,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """
     p = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.regexp_replace(F.col(url_col), r"[\r\n]", " "), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("body"))
     p = p.withColumn("digest", base32_sha1(F.encode("body", "UTF-8")))
-    first = p.groupBy("digest").agg(F.max("id").alias("of"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d2"), "of")
+    # Written first, so that its size is known: bodies are shuffled only where it can't be broadcast.
+    first = written(p.groupBy("digest").agg(F.max("id").alias("of"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d2"), "of"))
     p = p.join(first, p["digest"] == first["d2"], "left").withColumn("again", F.coalesce(F.col("of") != F.col("id"), F.lit(False)))
     urn = lambda kind, n: F.concat(F.lit(f"<urn:capture:{kind}:"), n.cast("string"), F.lit(">"))
     size = F.octet_length("body").cast("string")
