@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import erase, shared_dir, written
@@ -17,6 +17,8 @@ from .components import components
 
 _SPAN = 1 << 20
 _LONG_WORD = 1 << 16
+_SHORT = 256
+_SHORTS = [f"w{i}" for i in range(_SHORT // 64)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
@@ -130,6 +132,17 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (total - both)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bytes whose bit j is the parity of the shingles that equal j modulo their number, a power of two of at least twice the set's size and _SHORT."""
+    bits = max(_SHORT, 1 << (2 * len(s) - 1).bit_length() if len(s) else 0)
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
+
+
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """The parities of a set for a smaller number of bits, in size bytes."""
+    return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
+
+
 def frequent(rows: DataFrame, k: int, bound: int = 65_536, least: int = 3, chunk: int = 4_000_000) -> np.ndarray:
     """At most bound shingles that stand in most texts, rarest first. Counts cover all texts and are summed over blocks; what a block holds under least times isn't sent."""
 
@@ -159,7 +172,10 @@ def frequent(rows: DataFrame, k: int, bound: int = 65_536, least: int = 3, chunk
 
 
 def prefixes(rows: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFrame:
-    """id, n and, for the n - ceil(percent * n / 100) + 1 rarest shingles, token and pos. Frequent shingles come last, in order of frequency, the others by hash."""
+    """id, n and, for the n - ceil(percent * n / 100) + 1 rarest shingles, token and pos; with pos 0 or -1, bits (parity()) and w0 to w3, the same folded to _SHORT bits.
+
+    Frequent shingles come last, in order of frequency, the others by hash.
+    """
     by_value = np.argsort(order)
     values = order[by_value]
 
@@ -168,6 +184,7 @@ def prefixes(rows: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFr
             keys = b.column(0).to_numpy(zero_copy_only=False)
             for i, s, at in shingle_sets(b.column(1), k):
                 n = np.diff(at)
+                bits = [parity(s[x:y]) for x, y in zip(at[:-1], at[1:])]
                 if len(values):
                     near = np.minimum(np.searchsorted(values, s), len(values) - 1)
                     rank = np.where(values[near] == s, by_value[near] + 1, 0)
@@ -181,9 +198,36 @@ def prefixes(rows: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFr
                 token = np.zeros(len(pos), np.uint64)
                 token[~none] = s[(np.repeat(at[:-1], p) + pos)[~none]]
                 pos[none] = -1
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[i : i + len(n)], p), pa.int64()), pa.array(np.repeat(n, p).astype(np.int32)), pa.array(token.view(np.int64)), pa.array(pos.astype(np.int32))], names=["id", "n", "token", "pos"])
+                # A null index gives a null: only a text's first row has its bits.
+                first = pa.array(np.cumsum(pos <= 0) - 1, mask=pos > 0)
+                short = np.stack([folded(x, _SHORT // 8) for x in bits]).view(np.int64)
+                signs = [pa.array([x.tobytes() for x in bits], pa.binary()).take(first), *(pa.array(np.ascontiguousarray(c)).take(first) for c in short.T)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[i : i + len(n)], p), pa.int64()), pa.array(np.repeat(n, p).astype(np.int32)), pa.array(token.view(np.int64)), pa.array(pos.astype(np.int32)), *signs], names=["id", "n", "token", "pos", "bits", *_SHORTS])
+
+    return rows.mapInArrow(run, "id long, n int, token long, pos int, bits binary, " + ", ".join(f"{w} long" for w in _SHORTS))
+
+
+def screened(pairs: DataFrame, size: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the parities of both sets don't rule out.
+
+    Parities differ in no more bits than the sets differ in shingles, and sets that link differ in at
+    most (100 - percent) / (100 + percent) of their summed sizes, so no link is lost.
+    """
+    x, y = (size.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
+
+    def run(batches):
+        for b in batches:
+            total, u, v = (b.column(2).to_numpy() + b.column(4).to_numpy()).tolist(), b.column(3).to_pylist(), b.column(5).to_pylist()
+            keep = []
+            for t, p, q in zip(total, u, v):
+                p, q = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+                m = min(len(p), len(q))
+                apart = int(np.bitwise_count(folded(p, m) ^ folded(q, m)).sum(dtype=np.int64))
+                keep.append((100 + percent) * apart <= (100 - percent) * t)
+            m = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(m), b.column(1).filter(m)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "id long, n int, token long, pos int")
+    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(run, "a long, b long"))
 
 
 def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int, block: int = 256) -> DataFrame:
@@ -214,8 +258,9 @@ def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_
 
     Exact copies collapse first. A text then gives its rarest shingles: two texts that link share one
     there. For each shingle its shortest text is paired with the others, under the length and positional
-    filters; checked pairs give classes. All remaining pairs of a shingle whose texts stand in different
-    classes follow, so no link is lost, while a group of near copies costs one pair for each copy and
+    filters; checked pairs give classes. The remaining pairs of a shingle whose texts stand in different
+    classes follow, mostly just where its texts first meet, so no link is lost. Parities of the sets rule
+    out most pairs that don't link before any text is sent, while a group of near copies costs one pair for each copy and
     shingle. Null, empty and word-less texts have no shingles and stand alone; ties break by id. A null id
     is no partner of any and takes what a copy of its text with an id has; rows that repeat an id repeat its result.
     """
@@ -229,7 +274,7 @@ def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_
     # Texts aren't shuffled for this; the tokens of copies go afterwards.
     prefixes(d, frequent(d, k), k, percent).write.option("compression", "zstd").parquet(path)
     p = spark.read.parquet(path)
-    size = written(p.where("pos <= 0").groupBy("id").agg(F.max("n").alias("n")))
+    size = written(p.where("pos <= 0").groupBy("id").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), *(F.max(w).alias(w) for w in _SHORTS)))
     extra = member.where("id <> rep").select("id").distinct()
     # Counts and members of a shingle are read from one exchange.
     q = p.where("pos >= 0 and token is not null and id is not null").join(extra, "id", "left_anti").select("token", "id", "n", "pos").repartition("token")
@@ -241,21 +286,25 @@ def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_
     met = written(shared.where("id <> lid").where(fits).groupBy("id", "lid").agg(F.count(F.lit(1)).alias("met")))
     # First each text with the leader it meets most, then with those of other classes, then all pairs across classes.
     best = written(met.groupBy("id").agg(F.max(F.struct("met", "lid")).alias("m")).select(F.col("m.lid").alias("a"), F.col("id").alias("b")))
-    links = verified(best, d, k, percent)
+    links = verified(screened(best, size, percent), d, k, percent)
     comp = components(links)
     x = met.select(F.col("lid").alias("a"), F.col("id").alias("b")).join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
     more = written(x.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").join(best, ["a", "b"], "left_anti"))
-    links = links.union(verified(more, d, k, percent))
+    links = links.union(verified(screened(more, size, percent), d, k, percent))
     done = best.union(more)
     comp = components(links)
     seen = shared.join(comp, shared["id"] == comp["node"], "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
     mixed = seen.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    left = written(seen.join(mixed, "token", "left_semi"))
-    other = left.select("token", F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("pos").alias("lpos"), F.col("c").alias("lc"))
+    some = seen.join(mixed, "token", "left_semi")
+    # The shingles just before: where one of them is shared too, the pair has come up there.
+    before = F.collect_list("token").over(Window.partitionBy("id").orderBy("pos").rowsBetween(-6, -1))
+    left = written(some.withColumn("before", before).join(size.select("id", *_SHORTS), "id"))
+    other = left.select("token", F.col("before").alias("lbefore"), F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("pos").alias("lpos"), F.col("c").alias("lc"), *(F.col(w).alias(f"l{w}") for w in _SHORTS))
+    near = f"(100 + {percent}) * (" + " + ".join(f"bit_count({w} ^ l{w})" for w in _SHORTS) + f") <= (100 - {percent}) * (n + ln)"
     # A pair's shorter text comes first, as a shingle's leader does.
-    rest = left.join(other, "token").where("c <> lc and (ln < n or ln = n and lid < id)").where(fits).select(F.col("lid").alias("a"), F.col("id").alias("b")).distinct()
+    rest = left.join(other, "token").where("c <> lc and (ln < n or ln = n and lid < id)").where(fits).where(near).where("not arrays_overlap(before, lbefore)").select(F.col("lid").alias("a"), F.col("id").alias("b")).distinct()
     rest = written(rest.join(done, ["a", "b"], "left_anti"))
-    comp = components(links.union(verified(rest, d, k, percent)))
-    joined = member.join(size.toDF("rep", "n"), "rep", "left").join(comp, F.col("rep") == comp["node"], "left")
+    comp = components(links.union(verified(screened(rest, size, percent), d, k, percent)))
+    joined = member.join(size.select(F.col("id").alias("rep"), "n"), "rep", "left").join(comp, F.col("rep") == comp["node"], "left")
     # Copies of one text are linked if it has words; a text without any stands alone.
     return joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
