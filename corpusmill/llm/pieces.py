@@ -7,6 +7,7 @@ import heapq
 import itertools
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -16,23 +17,42 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _CHUNKS = re.compile("▁*[^▁]+|▁+")
 
 
+_G1, _G2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Scrambled 64-bit values (the finalizer of splitmix64); x is overwritten."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
 class _Chunks(dict):
-    """Ids by chunk for one variant; emptied when it holds too many."""
+    """[candidates, ids, nodes after a skip] by chunk, for no skip; a node after a skip at t is of the same form. Emptied when there are too many nodes."""
 
-    def __init__(self, segment, variant: int, entries: int):
-        self.segment, self.variant, self.entries = segment, variant, entries
+    def __init__(self, segment, entries: int):
+        self.segment, self.entries, self.nodes = segment, entries, 0
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        if len(self) >= self.entries:
+    def node(self, chunk: str, skips: tuple[int, ...]) -> list:
+        if self.nodes >= self.entries:
             self.clear()
-        self[chunk] = got = self.segment(chunk, self.variant)
+            self.nodes = 0
+        self.nodes += 1
+        return [*self.segment(chunk, skips), None]
+
+    def __missing__(self, chunk: str) -> list:
+        got = self.node(chunk, ())
+        self[chunk] = got
         return got
 
 
 class Pieces:
     """Encoder and decoder of a BPE model with byte fallback. A chunk is a word with the spaces before it: no piece has a space after another character, so merges stay in chunks."""
 
-    def __init__(self, model: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 4, cache_entries: int = 800_000):
+    def __init__(self, model: str = MODEL, dropout: float = 0.1, seed: int = 1, cache_entries: int = 800_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -49,34 +69,36 @@ class Pieces:
         self.rank = {p: order[s] for p, s in scores.items()}
         if any(re.search("[^▁]▁", p) for p in self.ids):
             raise ValueError("a piece spans words")
-        self.drop, self.limit, self.seed, self.variants = dropout > 0, int(dropout * 2**64) - 2**63, seed, max(1, variants)
-        self.chunks = [_Chunks(self.segment, v, max(1, cache_entries // self.variants)) for v in range(self.variants)]
+        self.drop, self.limit, self.seed = dropout > 0, np.uint64(min(int(dropout * 2**64), 2**64 - 1)), seed
+        self.mark = tuple(self.bytes[x] for x in "▁".encode())
+        self.chunks = _Chunks(self.segment, cache_entries)
 
-    def segment(self, chunk: str, variant: int) -> tuple[int, ...]:
-        """Ids of one chunk. Merges come off an agenda by score, then place; one is skipped if its keyed hash falls under the dropout.
+    def segment(self, chunk: str, skips) -> tuple[int, tuple[int, ...]]:
+        """(candidate merges met, ids) of one chunk. Merges come off an agenda by score, then place; the t-th is skipped if t is in skips.
 
         A symbol is a span that begins at i and ends where the next begins, end[i]; offered[i] is the rank of
-        its merge with the next symbol, -1 if there is none or it was skipped, so stale entries show.
+        its merge with the next symbol, -1 if there is none or it was skipped, so stale entries show. The
+        empty chunk stands for a literal U+2581.
         """
-        n, rank, drop, limit, get = len(chunk), self.rank, self.drop, self.limit, self.ids.get
+        if not chunk:
+            return 0, self.mark
+        n, rank, get, t = len(chunk), self.rank, self.ids.get, 0
         end, before, offered, agenda = list(range(1, n + 1)), list(range(-1, n)), [-1] * n, []
         for i, r in enumerate(map(rank.get, map(str.__add__, chunk, chunk[1:]))):
             if r is not None:
                 offered[i] = r
                 agenda.append(r << 32 | i)
         heapq.heapify(agenda)
-        key = xxhash.xxh3_64_intdigest(chunk.encode("utf-8", "surrogatepass"), (self.seed << 16) + variant) if drop else 0
         while agenda:
             x = heapq.heappop(agenda)
             i = x & 0xFFFFFFFF
             if offered[i] != x >> 32:
                 continue
             j = end[i]
-            if drop:
-                # A tuple of integers has the same hash, by xxHash, in every process.
-                if hash((key, x, j)) < limit:
-                    offered[i] = -1
-                    continue
+            t += 1
+            if skips and t - 1 in skips:
+                offered[i] = -1
+                continue
             end[i] = e = end[j]
             offered[i] = offered[j] = -1
             if e < n:
@@ -100,47 +122,103 @@ class Pieces:
             else:
                 out += [self.bytes[x] for x in chunk[i : end[i]].encode("utf-8", "surrogatepass")]
             i = end[i]
-        return tuple(out)
+        return t, tuple(out)
+
+    def skipped(self, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, t), in order, of the skips among the first n candidates of each row; a skip depends on the row's key and t only."""
+        row = np.repeat(np.arange(len(n)), n)
+        t = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        hit = np.flatnonzero(_mix(keys[row] + (t + 1).astype(np.uint64) * _G2) < self.limit)
+        return row[hit], t[hit]
+
+    def ids_of(self, found: list[str], keys: np.ndarray) -> list[tuple[int, ...]]:
+        """Ids of each occurrence of a chunk, whose candidates are skipped by its own key.
+
+        What is cached is the result of given skips, so every occurrence draws its own: the nodes of a
+        chunk are walked by the skips that fall on candidates met. Long chunks are segmented anew.
+        """
+        nodes = list(map(self.chunks.__getitem__, found))
+        ids = [x[1] for x in nodes]
+        if not self.drop:
+            return ids
+        some = np.unique(self.skipped(keys, np.fromiter((x[0] for x in nodes), np.int64, len(nodes)))[0])
+        # A chunk of n characters meets at most 3 (n - 1) candidates: n - 1 at first, two new ones by each merge.
+        row, t = self.skipped(keys[some], np.fromiter((3 * (len(found[k]) - 1) for k in some.tolist()), np.int64, len(some)))
+        ends, t = np.searchsorted(row, np.arange(len(some) + 1)).tolist(), t.tolist()
+        for k, a, b in zip(some.tolist(), ends, ends[1:]):
+            chunk, node = found[k], nodes[k]
+            if node[0] > 64:
+                ids[k] = self.segment(chunk, set(t[a:b]))[1]
+                continue
+            c = a
+            while c < b and t[c] < node[0]:
+                if node[2] is None:
+                    node[2] = {}
+                after = node[2].get(t[c])
+                if after is None:
+                    after = node[2][t[c]] = self.chunks.node(chunk, tuple(t[a : c + 1]))
+                node, c = after, c + 1
+            ids[k] = node[1]
+        return ids
 
     def encode(self, text: str, key: int = 0) -> list[int]:
-        """key and a chunk's place choose among the seeded variants. A literal U+2581 becomes bytes, so decoding is lossless."""
-        if not text:
-            return []
-        out: list[int] = []
-        for k, part in enumerate(text.split("▁")):
-            if k:
-                out += [self.bytes[x] for x in "▁".encode()]
-            found = _CHUNKS.findall(("" if k else "▁") + part.replace(" ", "▁"))
-            ids: list = [()] * len(found)
-            for v in range(self.variants):
-                ids[v :: self.variants] = map(self.chunks[(key + v) % self.variants].__getitem__, found[v :: self.variants])
-            out += itertools.chain.from_iterable(ids)
+        """Candidate merges are skipped by key and the chunk's place. A literal U+2581 becomes bytes, so decoding is lossless."""
+        return self.encode_all([text], [key])[0]
+
+    def encode_all(self, texts: list[str], keys: list[int], chars: int = 400_000) -> list[list[int]]:
+        """encode() of each text with its key; chunks of texts of so many characters are met together."""
+        out: list = []
+        a = 0
+        while a < len(texts):
+            b, size = a + 1, len(texts[a])
+            while b < len(texts) and (size := size + len(texts[b])) <= chars:
+                b += 1
+            out += self._together(texts[a:b], keys[a:b])
+            a = b
         return out
 
+    def _together(self, texts: list[str], keys: list[int], at_once: int = 32_768) -> list[list[int]]:
+        found: list[str] = []
+        ends = []
+        for text in texts:
+            for k, part in enumerate(text.split("▁") if text else ()):
+                if k:
+                    found.append("")
+                found += _CHUNKS.findall(("" if k else "▁") + part.replace(" ", "▁"))
+            ends.append(len(found))
+        n = np.diff(ends, prepend=0)
+        place = (np.arange(len(found)) - np.repeat(np.asarray(ends) - n, n)).astype(np.uint64)
+        own = _mix(np.repeat(np.array([k & (2**64 - 1) for k in keys], np.uint64), n) + (place + np.uint64(1)) * _G1)
+        ids: list = []
+        for a in range(0, len(found), at_once):
+            ids += self.ids_of(found[a : a + at_once], own[a : a + at_once])
+        return [list(itertools.chain.from_iterable(ids[b - m : b])) for b, m in zip(ends, n.tolist())]
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.plain.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
 @functools.cache
-def _shared(model: str, dropout: float, seed: int, variants: int) -> Pieces:
+def _shared(model: str, dropout: float, seed: int) -> Pieces:
     """One encoder for a worker, so that its tasks share the chunks met before."""
-    return Pieces(model, dropout, seed, variants)
+    return Pieces(model, dropout, seed)
 
 
-def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
+def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """id, n_tokens, ids, lossless for every row; lossless says that decoding gives the text back.
 
-    Segmentation depends on seed, id and a word's place by its keyed hash only, so reruns agree. Null texts
-    count as empty and have no ids; repeated rows repeat their result.
+    Each candidate merge is skipped by a hash of seed, id, the chunk's place and the candidate's number, so
+    reruns agree and occurrences of a word are segmented independently. Null texts count as empty and have
+    no ids; rows that repeat id and text repeat their result.
     """
 
     def run(batches):
-        p = _shared(model, dropout, seed, variants)
+        p = _shared(model, dropout, seed)
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
                 texts = [t.as_py() or "" for t in part.column(1)]
-                ids = [p.encode(t, xxhash.xxh3_64_intdigest(str(k), seed)) for k, t in zip(part.column(0).to_pylist(), texts)]
+                ids = p.encode_all(texts, [xxhash.xxh3_64_intdigest(str(k), seed) for k in part.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([p.decode(x) == t for x, t in zip(ids, texts)], pa.bool_())], names=[id_col, "n_tokens", "ids", "lossless"])
 
     return documents.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {documents.schema[id_col].dataType.simpleString()}, n_tokens long, ids array<int>, lossless boolean")

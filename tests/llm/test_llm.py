@@ -186,6 +186,29 @@ def test_pieces(spark):
     assert pieces.encode(empty(spark)).collect() == []
 
 
+def test_pieces_draw_for_every_occurrence(spark):
+    p = pieces.Pieces(dropout=0.2)
+    words = ["▁internationalisation", "▁the", "▁cat", "▁" + "ab" * 60]
+    text = " ".join(w[1:] for w in words * 50)
+    seen = {w: set() for w in words}
+    for key in range(3):
+        keys = pieces._mix(np.full(200, key, np.uint64) + np.arange(1, 201, dtype=np.uint64) * pieces._G1)
+        want = []
+        for w, k in zip(words * 50, keys):
+            drawn = pieces._mix(k + np.arange(1, 3 * len(w), dtype=np.uint64) * pieces._G2) < p.limit
+            want.append(p.segment(w, set(np.flatnonzero(drawn).tolist()))[1])
+            seen[w].add(want[-1])
+        assert p.encode(text, key) == [x for ids in want for x in ids]
+    assert len(seen[words[0]]) > 20
+    out = pieces.encode(docs(spark, ["internationalisation"] * 200)).collect()
+    assert len({tuple(r["ids"]) for r in out}) > 4
+    # A chunk of one candidate stays whole in nine of ten draws.
+    one = next(w for w in ("▁a", "▁t", "▁s") if p.segment(w, ())[0] == 1)
+    tenth = pieces.Pieces(dropout=0.1)
+    split = sum(len(tenth.encode(one[1:], key)) > 1 for key in range(5000))
+    assert 400 < split < 600
+
+
 def test_chats(spark):
     talk = [("user", "hi"), ("assistant", "hello"), ("user", None), ("assistant", "<|im_end|>")]
     convs = {1: talk[:1], 2: talk[:2], 3: talk, 4: talk, 5: [("user", "hi"), ("assistant", "other")], 6: [("user", None)], 7: [("user", "")]}
