@@ -37,12 +37,13 @@ def embedding_neighbours(vectors: DataFrame, cosine: float = 0.98, id_col: str =
     ok = v.where("l is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     member = cut(ok.select("id", F.xxhash64("l", "v").alias("h"), F.xxhash64(F.lit(3), "v", "l").alias("g"), "l", F.size("v").alias("d")))
     classes = cut(member.groupBy("h", "g", "l", "d").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    shape = classes.groupBy("l", "d").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"), F.max("d").alias("d")).first()
-    n, dims = (shape["n"] or 0), (shape["d"] or 1)
-    k, tables, width = plan(n, cosine, dims)
+    # Each length has cells and a count of its own, by the most vectors of a label.
+    shape = classes.groupBy("l", "d").agg(F.count(F.lit(1)).alias("n")).groupBy("d").agg(F.max("n").alias("n")).collect()
+    plans = {s["d"]: plan(s["n"], cosine, s["d"]) for s in shape}
     reps = cut(ok.join(classes.select(F.col("rep").alias("id"), "copies"), "id"))
 
     def directions(d):
+        k, tables, width = plans[d]
         r = np.random.default_rng([seed, d])
         return r.standard_normal((d, k * tables)) / math.sqrt(d), r.uniform(0, width, k * tables)
 
@@ -55,6 +56,7 @@ def embedding_neighbours(vectors: DataFrame, cosine: float = 0.98, id_col: str =
         for b in batches:
             for key, label, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), unit(b, 2)):
                 g, off = made.setdefault(len(x), None) or made.update({len(x): directions(len(x))}) or made[len(x)]
+                k, tables, width = plans[len(x)]
                 c = np.floor((x @ g + off) / width).astype(np.int64).reshape(tables, k)
                 h = np.full(tables, hash((len(x), label)) & 0x7FFFFFFF, np.uint64) * np.uint64(tables) + np.arange(tables, dtype=np.uint64)
                 for j in range(k):
@@ -67,10 +69,11 @@ def embedding_neighbours(vectors: DataFrame, cosine: float = 0.98, id_col: str =
     left = full.select("cell", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), F.col("nb")).alias("s"))
     right = full.select("cell", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("s"))
     pairs = left.join(right, ["cell", "s"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
-    total = k * tables
-    sd = math.sqrt(max(2 - 2 * cosine, 1e-6) / dims)
-    window, expect = 2 * sd, 0.9545
-    least = math.floor(total * expect - 6 * math.sqrt(total * expect * (1 - expect)))
+
+    def bound(d):
+        """(window, least count in it) for pairs of length d."""
+        total, expect = plans[d][0] * plans[d][1], 0.9545
+        return 2 * math.sqrt(max(2 - 2 * cosine, 1e-6) / d), math.floor(total * expect - 6 * math.sqrt(total * expect * (1 - expect)))
 
     def check(batches):
         made: dict = {}
@@ -81,8 +84,9 @@ def embedding_neighbours(vectors: DataFrame, cosine: float = 0.98, id_col: str =
                     keep.append(False)
                     continue
                 if len(x) not in made:
-                    made[len(x)] = directions(len(x))[0]
-                near = len(x) < 8 or (np.abs((x - y) @ made[len(x)]) <= window).sum() >= least
+                    made[len(x)] = directions(len(x))[0], *bound(len(x))
+                g, window, least = made[len(x)]
+                near = len(x) < 8 or (np.abs((x - y) @ g) <= window).sum() >= least
                 keep.append(bool(near and float(x @ y) >= cosine))
             m = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(m), b.column(1).filter(m)], names=["a", "b"])

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import re
 import zlib
 
@@ -114,6 +115,20 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_neighbours(df.limit(0)).collect() == []
 
 
+def test_embeddings_of_two_lengths(spark):
+    rng = np.random.default_rng(4)
+    x = []
+    for d, n in ((64, 150), (768, 40), (3, 1)):
+        for _ in range(n):
+            u, v = rng.standard_normal((2, d))
+            u /= np.linalg.norm(u)
+            v -= (v @ u) * u
+            x += [u, 0.985 * u + math.sqrt(1 - 0.985**2) * v / np.linalg.norm(v)]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    out = embedding_dedup.embedding_neighbours(df).orderBy("vec_id").collect()
+    assert [(r["n_links"], r["component_id"]) for r in out] == [(1, i // 2 * 2) for i in range(len(x))]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_ngram_join(spark, seed):
     rng = np.random.default_rng(seed)
