@@ -30,6 +30,7 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 
 _TABLE: dict = {}
 _MIXED = re.compile(r"[^\W\d_](?:[\d@$!|]+[^\W\d_])+|[\d@$|]+[^\W\d_](?:[\d@$!|]*[^\W\d_])*")
+_WIDE = re.compile(r"(?<![\d@$!|])[\d@$!|]*+[^\W\d_](?:[\d@$!|]*[^\W\d_])*[\d@$]*")
 
 
 def _fold_char(c: str) -> str:
@@ -51,7 +52,8 @@ class _Folding(dict):
 def fold(text: str) -> str:
     """text for matching: digits and signs within words read as letters, look-alikes and accents folded, other characters spaces.
 
-    Digits are read as letters only in runs that touch a letter, so numbers stay numbers.
+    Digits are read as letters only in runs before a letter of their word, so numbers stay numbers; widely() reads
+    those at a word's end too.
     """
     if not _TABLE:
         _TABLE["t"] = _Folding()
@@ -60,6 +62,15 @@ def fold(text: str) -> str:
     return text.translate(_TABLE["t"])
 
 
+def widely(text: str, folded: str) -> str | None:
+    """The other reading of fold(text): all digits and signs at a word's start and end are letters too (whor3, dumba$$, !d10t). None if it is the same.
+
+    A sign is one character in either reading, so places agree.
+    """
+    wide = _WIDE.sub(lambda m: "".join(DIGITS.get(c, c) for c in m[0]), text).translate(_TABLE["t"])
+    return None if wide == folded else wide
+
+
 @dataclass
 class Lexicon:
     """entries: folded word, or stem with a trailing *, to weight; a logistic curve over two features gives the score."""
@@ -84,22 +95,25 @@ class Lexicon:
         return a if kinds else None
 
     def mass(self, text: str, automaton) -> tuple[float, int, int]:
-        """(weight of the matches, their number, words). An occurrence inside an exception phrase doesn't count; of several entries at one word the heaviest does."""
-        folded = f" {fold(text)} "
+        """(weight of the matches, their number, words). An occurrence inside an exception phrase doesn't count; of several entries at one word the heaviest does. Words match by either reading of their digits."""
+        once = fold(text)
+        folded = f" {once} "
         words = len(folded.split())
         if automaton is None:
             return 0.0, 0, words
         best: dict[int, float] = {}
         safe: list[tuple[int, int]] = []
-        for end, (n, kinds) in automaton.iter(folded):
-            start = end - n + 1
-            closed = folded[end + 1] == " " if end + 1 < len(folded) else True
-            for stem, w in kinds:
-                if stem is None:
-                    if closed:
-                        safe.append((start, end))
-                elif stem or closed:
-                    best[start] = max(best.get(start, 0.0), w)
+        other = widely(text, once)
+        for reading in (folded,) if other is None else (folded, f" {other} "):
+            for end, (n, kinds) in automaton.iter(reading):
+                start = end - n + 1
+                closed = reading[end + 1] == " " if end + 1 < len(reading) else True
+                for stem, w in kinds:
+                    if stem is None:
+                        if closed:
+                            safe.append((start, end))
+                    elif stem or closed:
+                        best[start] = max(best.get(start, 0.0), w)
         if safe:
             best = {k: w for k, w in best.items() if not any(a <= k < z for a, z in safe)}
         return sum(best.values()), len(best), words

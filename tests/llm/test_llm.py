@@ -80,6 +80,16 @@ def test_toxicity(spark):
     assert toxicity.toxicity(empty(spark), none).collect() == []
 
 
+def test_toxicity_reads_digits_at_both_ends_of_words():
+    lexicon = toxicity.Lexicon({k: 3.0 for k in toxicity.SEEDS})
+    a = lexicon.automaton()
+    bad = ["whor3", "dumba55", "dumba$$", "put4", "l0s3r5", "m0r0n5", "!d10t", "1d10t", "idiot", "idiot!", "!idiot", "(whor3)", "WHOR3.", "$lut", "l0s3r5!"]
+    assert [x for x in bad if lexicon.mass(f"you {x} there", a)[1] != 1 or lexicon.mass(x, a)[1] != 1] == []
+    good = ["mail4", "a$$$", "455", "$100", "1234567", "trash can", "room 5", "w5", "4" * 2000]
+    assert [x[:20] for x in good if lexicon.mass(x, a)[1]] == []
+    assert lexicon.mass("ß\u200b é whor3 and whore", a)[1:] == (2, 5)
+
+
 def test_url_lists(spark):
     entries = spark.sql("select domain, date(d) date, action from values ('a.com','2024-01-10','add'),('a.com','2024-02-01','remove'),('x.a.com','2024-03-01','add'),('b.org','2024-01-01','remove'),(null,'2024-01-01','add') t(domain,d,action)")
     caps = spark.sql("select page_id, url, date(d) fetched from values (1L,'http://x.a.com/p','2024-01-09'),(2L,'HTTP://u@X.A.com:80/p','2024-01-10'),(3L,'http://a.com','2024-02-01'),(4L,'http://x.a.com','2024-03-01'),(5L,null,'2024-03-01'),(6L,'junk','2024-03-01'),(7L,'http://a.com',null) t(page_id,url,d)")
