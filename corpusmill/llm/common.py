@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import sys
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +15,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder named by spark.checkpoint.dir, or set on the context. Where neither is, a local master gets a folder beside the warehouse; a cluster raises, for its executors wouldn't see one of the driver's."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusmill-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/corpusmill-shared")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def kept(key: tuple, make):
+    """make(), called once in a process: workers unpickle this package's functions for each task, so their own globals don't last."""
+    held = sys.modules.setdefault("_corpusmill_kept", types.ModuleType("_corpusmill_kept")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder, which outlives lost executors."""
     shared_dir(df.sparkSession)

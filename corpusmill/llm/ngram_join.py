@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections.abc import Iterator
 
@@ -12,11 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import erase, shared_dir, written
+from .common import erase, kept, shared_dir, written
 from .components import components
 
 _SPAN = 1 << 20
-_LONG_WORD = 1 << 16
+_LONG_WORD = 256
 _SHORT = 256
 _SHORTS = [f"w{i}" for i in range(_SHORT // 64)]
 _SPACE = np.zeros(256, bool)
@@ -24,8 +23,11 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 
 
-@functools.cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return kept(("shingle tables",), _made_tables)
+
+
+def _made_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A value for each byte, letters of both cases alike; powers of an odd base modulo 2**64; and their inverses."""
     byte = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
     byte[0x41:0x5B] = byte[0x61:0x7B]
@@ -35,7 +37,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words data[start:end], A-Z lower-cased: differences of running polynomial sums; words over 64 KB by xxh3."""
+    """64-bit hashes of the words data[start:end], A-Z lower-cased: differences of running polynomial sums; words over 256 bytes, which could be built to collide there, by xxh3."""
     byte, power, inverse = _tables()
     out, i = np.zeros(len(starts), np.uint64), 0
     while i < len(starts):
@@ -172,7 +174,7 @@ def frequent(rows: DataFrame, k: int, bound: int = 65_536, least: int = 3, chunk
 
 
 def prefixes(rows: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFrame:
-    """id, n and, for the n - ceil(percent * n / 100) + 1 rarest shingles, token and pos; with pos 0 or -1, bits (parity()) and w0 to w3, the same folded to _SHORT bits.
+    """id, n and, for the n - ceil(percent * n / 100) + 1 rarest shingles, token, pos and hot (it is in order); with pos 0 or -1, bits (parity()) and w0 to w3, the same folded to _SHORT bits.
 
     Frequent shingles come last, in order of frequency, the others by hash.
     """
@@ -198,13 +200,25 @@ def prefixes(rows: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFr
                 token = np.zeros(len(pos), np.uint64)
                 token[~none] = s[(np.repeat(at[:-1], p) + pos)[~none]]
                 pos[none] = -1
+                hot = values[np.minimum(np.searchsorted(values, token), len(values) - 1)] == token if len(values) else np.zeros(len(pos), bool)
                 # A null index gives a null: only a text's first row has its bits.
                 first = pa.array(np.cumsum(pos <= 0) - 1, mask=pos > 0)
                 short = np.stack([folded(x, _SHORT // 8) for x in bits]).view(np.int64)
                 signs = [pa.array([x.tobytes() for x in bits], pa.binary()).take(first), *(pa.array(np.ascontiguousarray(c)).take(first) for c in short.T)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[i : i + len(n)], p), pa.int64()), pa.array(np.repeat(n, p).astype(np.int32)), pa.array(token.view(np.int64)), pa.array(pos.astype(np.int32)), *signs], names=["id", "n", "token", "pos", "bits", *_SHORTS])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[i : i + len(n)], p), pa.int64()), pa.array(np.repeat(n, p).astype(np.int32)), pa.array(token.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(hot), *signs], names=["id", "n", "token", "pos", "hot", "bits", *_SHORTS])
+
+    return rows.mapInArrow(run, "id long, n int, token long, pos int, hot boolean, bits binary, " + ", ".join(f"{w} long" for w in _SHORTS))
+
+
+def shingle_counts(rows: DataFrame, k: int) -> DataFrame:
+    """h, n: the hash and set size of each row's text."""
+
+    def run(batches):
+        for b in batches:
+            n = [c for _, _, at in shingle_sets(b.column(1), k) for c in np.diff(at).tolist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["h", "n"])
 
-    return rows.mapInArrow(run, "id long, n int, token long, pos int, bits binary, " + ", ".join(f"{w} long" for w in _SHORTS))
+    return rows.select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, "h long, n long")
 
 
 def screened(pairs: DataFrame, size: DataFrame, percent: int) -> DataFrame:
@@ -253,58 +267,93 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int, block: int
     return written(y.join(x, ["a", "s"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes (id, c) after joining along links (a, b); a text without a row is a class of its own.
+
+    Links become edges between classes, one for each pair of them, before components are sought.
+    """
+    e = links.join(classes.toDF("a", "ca"), "a", "left").join(classes.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    comp = components(e)
+    old = classes.join(comp, classes["c"] == comp["node"], "left").select("id", F.coalesce("component", "c").alias("c"))
+    new = comp.join(classes, comp["node"] == classes["id"], "left_anti").select("node", "component")
+    return written(old.union(new))
+
+
+def leaders(p: DataFrame) -> DataFrame:
+    """Of p (token, id, n, pos, hot), tokens that several texts hold, with m, their number, and the shortest: lid, ln, lpos.
+
+    One task must not meet all rows of a token that stands in a large share of the texts. Such tokens are hot,
+    at most as many as frequent() returns: they are counted with a map-side combine and joined by broadcast.
+    All others are dealt out by token once.
+    """
+    lead = (F.min(F.struct("n", "id", "pos")).alias("first"), F.count(F.lit(1)).alias("m"))
+    named = lambda g: g.where("m > 1").select("token", "m", F.col("first.id").alias("lid"), F.col("first.n").alias("ln"), F.col("first.pos").alias("lpos"))
+    hot, cold = p.where("hot").drop("hot"), p.where("not hot").drop("hot").repartition("token")
+    return hot.join(F.broadcast(named(hot.groupBy("token").agg(*lead))), "token").unionByName(cold.join(named(cold.groupBy("token").agg(*lead)), "token"))
+
+
+def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, bucket: int = 16) -> DataFrame:
     """id, n_shingles, component_id for every row of documents.
 
     Exact copies collapse first. A text then gives its rarest shingles: two texts that link share one
     there. For each shingle its shortest text is paired with the others, under the length and positional
-    filters; checked pairs give classes. The remaining pairs of a shingle whose texts stand in different
-    classes follow, mostly just where its texts first meet, so no link is lost. Parities of the sets rule
-    out most pairs that don't link before any text is sent, while a group of near copies costs one pair for each copy and
-    shingle. Null, empty and word-less texts have no shingles and stand alone; ties break by id. A null id
-    is no partner of any and takes what a copy of its text with an id has; rows that repeat an id repeat its result.
+    filters; checked pairs give classes, and only pairs of different classes follow. Shingles of many texts
+    of several classes then deal them into buckets twice, of which each is compared within itself, so that
+    similar texts flow together in linear work; last come all pairs of a shingle that still differ in class,
+    mostly just where its texts first meet, so no link is lost. Parities of the sets rule out most pairs that
+    don't link before any text is sent. A link becomes an edge between two classes, so a group of near copies
+    costs few links, not their square. Null, empty and word-less texts have no shingles and stand alone; texts
+    are read whole, of any length; ties break by id. A null id is no partner of any: it takes what a copy of its
+    text with an id has, else the size of its own set and a null component. Rows that repeat an id repeat its
+    result; if their texts differ, each text counts under that id. An empty table gives an empty one; columns
+    other than id and text aren't read.
     """
     spark = documents.sparkSession
-    d = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    same = written(d.select("id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(5), "text").alias("g")))
-    copies = same.groupBy("h", "g").agg(F.min("id").alias("rep"))
-    member = written(same.join(copies, ["h", "g"]).select("id", "rep"))
-    d = d.where("id is not null")
+    every = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    hashes = (F.xxhash64("text").alias("h"), F.xxhash64(F.lit(5), "text").alias("g"))
+    same = written(every.select("id", *hashes))
+    copies = written(same.groupBy("h", "g").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"))
+    member = written(same.join(copies, ["h", "g"], "left").select("id", F.coalesce("rep", "id").alias("rep"), F.when(F.coalesce("rep", "id").isNull(), F.col("h")).alias("h")))
+    d = every.where("id is not null")
     path = f"{shared_dir(spark)}/prefixes-{uuid.uuid4().hex}"
     # Texts aren't shuffled for this; the tokens of copies go afterwards.
     prefixes(d, frequent(d, k), k, percent).write.option("compression", "zstd").parquet(path)
     p = spark.read.parquet(path)
     size = written(p.where("pos <= 0").groupBy("id").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), *(F.max(w).alias(w) for w in _SHORTS)))
     extra = member.where("id <> rep").select("id").distinct()
-    # Counts and members of a shingle are read from one exchange.
-    q = p.where("pos >= 0 and token is not null and id is not null").join(extra, "id", "left_anti").select("token", "id", "n", "pos").repartition("token")
-    groups = q.groupBy("token").agg(F.min(F.struct("n", "id", "pos")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = written(q.join(groups.select("token", F.col("first.id").alias("lid"), F.col("first.n").alias("ln"), F.col("first.pos").alias("lpos")), "token"))
+    q = p.where("pos >= 0 and token is not null and id is not null").join(extra, "id", "left_anti").select("token", "id", "n", "pos", "hot")
+    shared = written(leaders(q))
     erase(spark, path)
     # Overlap needed by two sets, and what is left of both around the shared shingle, bound the pairs.
     fits = f"100 * least(n, ln) >= {percent} * greatest(n, ln) and (100 + {percent}) * (least(n - pos, ln - lpos) + least(pos, lpos)) >= {percent} * (n + ln)"
     met = written(shared.where("id <> lid").where(fits).groupBy("id", "lid").agg(F.count(F.lit(1)).alias("met")))
-    # First each text with the leader it meets most, then with those of other classes, then all pairs across classes.
-    best = written(met.groupBy("id").agg(F.max(F.struct("met", "lid")).alias("m")).select(F.col("m.lid").alias("a"), F.col("id").alias("b")))
-    links = verified(screened(best, size, percent), d, k, percent)
-    comp = components(links)
-    x = met.select(F.col("lid").alias("a"), F.col("id").alias("b")).join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
-    more = written(x.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").join(best, ["a", "b"], "left_anti"))
-    links = links.union(verified(screened(more, size, percent), d, k, percent))
-    done = best.union(more)
-    comp = components(links)
-    seen = shared.join(comp, shared["id"] == comp["node"], "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
-    mixed = seen.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    some = seen.join(mixed, "token", "left_semi")
-    # The shingles just before: where one of them is shared too, the pair has come up there.
-    before = F.collect_list("token").over(Window.partitionBy("id").orderBy("pos").rowsBetween(-6, -1))
-    left = written(some.withColumn("before", before).join(size.select("id", *_SHORTS), "id"))
-    other = left.select("token", F.col("before").alias("lbefore"), F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("pos").alias("lpos"), F.col("c").alias("lc"), *(F.col(w).alias(f"l{w}") for w in _SHORTS))
+    # First each text with the leader it meets most, then with those of other classes.
+    done = written(met.groupBy("id").agg(F.max(F.struct("met", "lid")).alias("m")).select(F.col("m.lid").alias("a"), F.col("id").alias("b")))
+    classes = merged(written(met.select("id", F.col("lid").alias("c")).where("false")), verified(screened(done, size, percent), d, k, percent))
+    x = met.select(F.col("lid").alias("a"), F.col("id").alias("b")).join(classes.toDF("a", "ca"), "a", "left").join(classes.toDF("b", "cb"), "b", "left")
+    more = written(x.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").join(done, ["a", "b"], "left_anti"))
+    classes = merged(classes, verified(screened(more, size, percent), d, k, percent))
+    done = done.union(more)
     near = f"(100 + {percent}) * (" + " + ".join(f"bit_count({w} ^ l{w})" for w in _SHORTS) + f") <= (100 - {percent}) * (n + ln)"
-    # A pair's shorter text comes first, as a shingle's leader does.
-    rest = left.join(other, "token").where("c <> lc and (ln < n or ln = n and lid < id)").where(fits).where(near).where("not arrays_overlap(before, lbefore)").select(F.col("lid").alias("a"), F.col("id").alias("b")).distinct()
-    rest = written(rest.join(done, ["a", "b"], "left_anti"))
-    comp = components(links.union(verified(screened(rest, size, percent), d, k, percent)))
-    joined = member.join(size.select(F.col("id").alias("rep"), "n"), "rep", "left").join(comp, F.col("rep") == comp["node"], "left")
+    for step, of in enumerate((bucket, 4 * bucket, 0)):
+        seen = shared.drop("lid", "ln", "lpos").join(classes, "id", "left").withColumn("c", F.coalesce("c", "id"))
+        mixed = written(seen.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token"))
+        some = seen.join(mixed, "token", "left_semi").where(F.col("m") > (0, bucket, 4 * bucket)[step])
+        # The shingles just before: where one of them is shared too, the pair has come up there.
+        before = F.collect_list("token").over(Window.partitionBy("id").orderBy("pos").rowsBetween(-6, -1))
+        parts = F.pow(F.lit(2), F.ceil(F.log2(F.col("m") / of))).cast("long") if of else F.lit(1)
+        part = F.when(F.col("m") <= of, 0).otherwise(F.xxhash64(F.lit(step), "id").bitwiseAND(parts - 1)).cast("long")
+        left = written(some.withColumn("before", before).withColumn("part", part).join(size.select("id", *_SHORTS), "id"))
+        if left.isEmpty():
+            break
+        other = left.select("token", "part", *(F.col(c).alias(f"l{c}") for c in ("before", "id", "n", "pos", "c", *_SHORTS)))
+        # A pair's shorter text comes first, as a shingle's leader does.
+        rest = left.join(other, ["token", "part"]).where("c <> lc and (ln < n or ln = n and lid < id)").where(fits).where(near).where("not arrays_overlap(before, lbefore)").select(F.col("lid").alias("a"), F.col("id").alias("b")).distinct()
+        rest = written(rest.join(done, ["a", "b"], "left_anti"))
+        classes = merged(classes, verified(screened(rest, size, percent), d, k, percent))
+        done = done.union(rest)
+    lone = shingle_counts(every.where("id is null").select("id", "text"), k).groupBy("h").agg(F.max("n").alias("own"))
+    joined = member.join(size.select(F.col("id").alias("rep"), "n"), "rep", "left").join(classes.toDF("rep", "c"), "rep", "left").join(lone, "h", "left")
+    n = F.coalesce("n", "own")
     # Copies of one text are linked if it has words; a text without any stands alone.
-    return joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
+    return joined.select(F.col("id").alias(id_col), n.cast("long").alias("n_shingles"), F.when(n == 0, F.col("id")).otherwise(F.coalesce("c", "rep")).alias("component_id"))
