@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hash_unit, n_words
+from .common import hash_unit, n_words, written
 
 
 def targets(sizes: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
@@ -28,60 +30,145 @@ def targets(sizes: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, ce
     return r.select("source", "rank", "source_size", F.coalesce(F.least(F.col("c") * F.col("w"), F.col("cap")), F.col("cap")).cast("double").alias("target"))
 
 
-def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: int = 7, shard_levels: int = 4, block_docs: int = 256, max_blocks: int = 65_536) -> DataFrame:
-    """id, size, source_size, target, taken and shard for every row of documents.
+def running(t: DataFrame, part: list[str], key: str, value: str, tie: list[str], slices: int = 1024) -> DataFrame:
+    """t with upto, the sum of value over the rows of part up to this one by key (in [0, 1)) and tie.
 
-    Native DataFrame functions only. A source's rows fall in blocks by a keyed hash; blocks are put in a
-    permuted order. Whole passes take every block, and of the last pass blocks are taken until the next would
-    pass the target; inside that one, rows are taken in permuted order where they still fit. So taken is
-    0, 1 or 2 times size. The quota of blocks of each source is split among 2 ** shard_levels shards:
-    at each node of the tree as many of its blocks as half the node's capacity go left, drawn without
-    replacement, which splits the sources' quotas by the multivariate hypergeometric law. Rows are ordered
-    in a shard by position. Only ids, sizes and sources move. The rows of one block are met in one task;
-    a source has up to max_blocks blocks, each of about block_docs rows until then.
-    Null texts and texts without words have size 0 and are not taken; a null source is a source.
+    Slices of the key are summed first, so that no task has to order all rows of a part.
     """
-    rows = cut(documents.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    t = cut(targets(sizes, weights, share, ceiling).join(sizes.select(F.col("source").alias("s2"), "docs"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"))
-    t = t.withColumn("nb", F.least(F.lit(max_blocks), F.ceil(F.col("docs") / block_docs)).cast("long")).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    tt = t.withColumnRenamed("source", "s2")
-    placed = rows.join(tt, rows["source"].eqNullSafe(tt["s2"])).withColumn("block", F.floor(hash_unit(F.lit(seed), "id", "size") * F.col("nb"))).withColumn("u", hash_unit(F.lit(seed + 1), "id"))
-    blocks = placed.groupBy("rank", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
-    order = Window.partitionBy("rank").orderBy(hash_unit(F.lit(seed + 2), "rank", "block"), "block")
-    b = cut(blocks.withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.col("words")))
-    # The first block that doesn't fit is filled row by row.
-    inside = placed.join(b.where("before <= rest and upto > rest and rest > 0").select(F.col("rank").alias("r2"), F.col("block").alias("b2"), (F.col("rest") - F.col("before")).alias("room")), (F.col("rank") == F.col("r2")) & (F.col("block") == F.col("b2")))
-    lists = inside.groupBy("rank", "block").agg(F.first("room").alias("room"), F.sort_array(F.collect_list(F.struct("u", "id", "size"))).alias("rows"))
-    start = F.struct(F.col("room").alias("room"), F.array().cast(f"array<{documents.schema[id_col].dataType.simpleString()}>").alias("ids"))
-    filled = lists.select("rank", F.explode(F.aggregate("rows", start, lambda s, x: F.when((x["size"] > 0) & (x["size"] <= s["room"]), F.struct((s["room"] - x["size"]).alias("room"), F.concat(s["ids"], F.array(x["id"])).alias("ids"))).otherwise(s))["ids"]).alias("i3"))
-    chosen = filled.select(F.col("rank").alias("r3"), "i3", F.lit(1).alias("more"))
-    shards = tree(b.where("passes > 0 or upto <= rest"), seed, shard_levels)
-    out = placed.join(b.select(F.col("rank").alias("r4"), F.col("block").alias("b4"), "upto"), (F.col("rank") == F.col("r4")) & (F.col("block") == F.col("b4")))
-    out = out.join(chosen, (F.col("rank") == F.col("r3")) & (F.col("id") == F.col("i3")), "left").join(shards, (F.col("rank") == F.col("r5")) & (F.col("block") == F.col("b5")), "left")
-    times = F.col("passes") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(F.coalesce("more", F.lit(0)))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"), F.coalesce("shard", F.lit(0)).alias("shard"), F.col("source").alias(source_col), "u")
-
-
-def tree(blocks: DataFrame, seed: int, levels: int) -> DataFrame:
-    """r5, b5, shard: each level sends half of a node's blocks, drawn without replacement, to the left.
-
-    A node counts its blocks by source and 1,024 hash slices first, so that no task ranks all of them.
+    t = t.withColumn("slice", F.floor(F.col(key) * slices))
+    w = Window.partitionBy(*part).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = t.groupBy(*part, "slice").agg(F.sum(value).alias("v")).withColumn("base", F.coalesce(F.sum("v").over(w), F.lit(0))).drop("v")
+    own = Window.partitionBy(*part, "slice").orderBy(key, *tie).rowsBetween(Window.unboundedPreceding, 0)
+    return t.join(base, [*part, "slice"]).withColumn("upto", F.col("base") + F.sum(value).over(own)).drop("base", "slice")
+
+
+def tree(quotas: DataFrame, seed: int, levels: int) -> DataFrame:
+    """rank, shard, n: the blocks each shard gets of each source, from quotas(rank, quota).
+
+    Every block due is a ticket. Each level sends half of a node's tickets, drawn without replacement by a keyed hash, to
+    the left, which splits the node's quotas by the multivariate hypergeometric law.
     """
-    t = blocks.select(F.col("rank").alias("r5"), F.col("block").alias("b5"), F.lit(0).alias("shard"))
+    many = quotas.where("quota > 0").select("rank", "quota", F.explode(F.expr("sequence(0L, (quota - 1) div 4096L)")).alias("run")).repartition("rank", "run")
+    t = many.select("rank", F.explode(F.expr("sequence(run * 4096L, least(quota, (run + 1) * 4096L) - 1)")).alias("o"), F.lit(0).alias("shard"), F.lit(1).alias("one"))
     for level in range(levels):
-        t = t.withColumn("k", hash_unit(F.lit(seed + 10 + level), "r5", "b5")).withColumn("slice", F.floor(F.col("k") * 1024))
-        counts = t.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))
-        w = Window.partitionBy("shard")
-        cum = counts.withColumn("upto", F.sum("n").over(w.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0))).withColumn("half", F.floor(F.sum("n").over(w) / 2)).select(F.col("shard").alias("s6"), F.col("slice").alias("l6"), (F.col("upto") - F.col("n")).alias("before"), "half")
-        t = t.join(cum, (F.col("shard") == F.col("s6")) & (F.col("slice") == F.col("l6")))
-        at = F.col("before") + F.row_number().over(Window.partitionBy("shard", "slice").orderBy("k", "r5", "b5"))
-        t = cut(t.withColumn("at", at).select("r5", "b5", (F.col("shard") * 2 + (F.col("at") > F.col("half")).cast("int")).alias("shard")))
-    return t
-
-
-def mixed(documents: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The mix itself: documents' columns, a row for each time a row is taken."""
-    m = mix(documents, id_col, **kw).where("taken > 0").select(F.col(id_col).alias("__id"), F.expr("cast(taken / size as int)").alias("__times"))
-    kept = documents.join(m, documents[id_col] == m["__id"])
-    return kept.select(*[documents[c] for c in documents.columns], F.explode(F.array_repeat(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
+        t = running(t.withColumn("k", hash_unit(F.lit(seed + 10 + level), "rank", "o")), ["shard"], "k", "one", ["rank", "o"])
+        half = t.groupBy("shard").agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))
+        t = written(t.join(half, "shard").select("rank", "o", (F.col("shard") * 2 + (F.col("upto") > F.col("half")).cast("int")).alias("shard"), "one"))
+    return t.groupBy("rank", "shard").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _name(c: str) -> str:
+    return f"`{c}`"
+
+
+def _key(id_col: str, text_col: str) -> tuple:
+    return F.col(_name(id_col)).alias("id"), F.xxhash64(F.coalesce(F.col(_name(text_col)), F.lit(""))).alias("h")
+
+
+def _block(seed: int) -> F.Column:
+    return F.floor(hash_unit(F.lit(seed), "id", "h") * F.col("nb"))
+
+
+def planned(documents: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple, share: float, ceiling: float, seed: int, shard_blocks: int, block_docs: int, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(units, sources, blocks, filled): what mix() and mixed() draw.
+
+    units: id, h (hash of the text), source, size, n, for n equal rows; sources: source, rank, source_size, target, nb, passes; blocks: rank,
+    block, open, shards (one for each time that all its rows are taken); filled: rank, block, id, h, size, n, more (how many of
+    the n rows the last pass takes), last (their shard), for the units of open blocks.
+    """
+    units = written(documents.select(*_key(id_col, text_col), F.col(_name(source_col)).alias("source"), n_words(F.col(_name(text_col))).alias("size")).groupBy("id", "h", "source", "size").agg(F.count(F.lit(1)).alias("n")))
+    sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
+    t = targets(sizes, weights, share, ceiling).join(sizes.select(F.col("source").alias("s2"), "docs"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    t = t.withColumn("nb", F.ceil(F.col("docs") / block_docs)).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+    t = written(t.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")))
+    placed = units.join(t.select(F.col("source").alias("s2"), "rank", "nb"), F.col("source").eqNullSafe(F.col("s2"))).withColumn("block", _block(seed))
+    b = written(placed.groupBy("rank", "block").agg(F.sum(F.col("size") * F.col("n")).alias("words")).withColumn("at", hash_unit(F.lit(seed + 2), "rank", "block")).withColumn("turn", F.lit(None).cast("int")))
+    room = t.select("rank", F.col("rest").alias("room"))
+    # Blocks in permuted order, until one doesn't fit: that one stays open, and the next turn goes on behind it.
+    for turn in range(rounds):
+        r = running(b.where("turn is null"), ["rank"], "at", "words", ["block"]).join(room, "rank")
+        r = r.withColumn("new", F.when(F.col("upto") <= F.col("room"), turn).when(F.col("upto") - F.col("words") <= F.col("room"), -1))
+        # Two blocks may start within the room if the first has no words.
+        r = written(r.select("rank", "block", "words", "at", F.col("new").alias("turn")).unionByName(b.where("turn is not null")))
+        room = t.select("rank", "rest").join(r.where("turn >= 0").groupBy("rank").agg(F.sum("words").alias("used")), "rank", "left").select("rank", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("room"))
+        b = r
+    fits = placed.join(b.where("turn = -1").select("rank", "block"), ["rank", "block"]).withColumn("u", hash_unit(F.lit(seed + 1), "id", "h"))
+    # At most `rounds` blocks of a source, so the lists are short.
+    lists = fits.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("u", "h", "id", "block", "size", "n"))).alias("rows")).join(room, "rank")
+    start = F.struct(F.col("room").cast("double").alias("room"), F.array().cast("array<bigint>").alias("more"))
+    fill = F.aggregate("rows", start, lambda s, x: _fill(s, x))["more"]
+    # Zipped, the fold is made once for a list.
+    filled = written(lists.select("rank", F.explode(F.arrays_zip("rows", fill.alias("more"))).alias("x")).select("rank", "x.rows.block", "x.rows.id", "x.rows.h", "x.rows.size", "x.rows.n", "x.more"))
+    whole = b.where("turn >= 0").groupBy("rank").agg(F.count(F.lit(1)).alias("whole"))
+    part = filled.groupBy("rank").agg(F.max((F.col("more") > 0).cast("int")).alias("part"))
+    have = b.groupBy("rank").agg(F.count(F.lit(1)).alias("have"))
+    q = t.select("rank", "passes").join(have, "rank").join(whole, "rank", "left").join(part, "rank", "left").na.fill(0).withColumn("quota", F.col("passes") * F.col("have") + F.col("whole") + F.col("part"))
+    q = written(q)
+    levels = max(0, math.ceil(math.log2(max(1, (q.agg(F.sum("quota")).first()[0] or 0) / shard_blocks))))
+    # A source's shards draw consecutive runs of its permuted blocks, as many as the tree gives them.
+    drawn = tree(q, seed, levels).withColumn("upto", F.sum("n").over(Window.partitionBy("rank").orderBy("shard"))).groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("drawn"))
+    shard = lambda x: F.get(F.filter("drawn", lambda d: d["upto"] > x), F.lit(0))["shard"]
+    q = written(q.join(drawn, "rank"))
+    b = running(b.withColumn("one", F.lit(1)).withColumn("taken", (F.col("turn") >= 0).cast("int")), ["rank"], "at", "one", ["block"]).withColumnRenamed("upto", "x")
+    b = running(b.na.fill(0, ["taken"]), ["rank"], "at", "taken", ["block"]).join(q, "rank")
+    each = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), lambda p: shard(p * F.col("have") + F.col("x") - 1))).otherwise(F.array().cast("array<int>"))
+    last = F.when(F.col("taken") == 1, F.array(shard(F.col("passes") * F.col("have") + F.col("upto") - 1))).otherwise(F.array().cast("array<int>"))
+    blocks = written(b.select("rank", "block", F.coalesce(F.col("turn") == -1, F.lit(False)).alias("open"), F.concat(each, last).alias("shards")))
+    filled = filled.join(q.select("rank", shard(F.col("quota") - 1).alias("last")), "rank", "left")
+    return units, t, blocks, filled
+
+
+def _fill(s, x) -> F.Column:
+    """One step of filling the room: as many of a unit's equal rows as fit."""
+    k = F.when(x["size"] > 0, F.least(x["n"], F.floor(s["room"] / x["size"]))).otherwise(F.lit(0).cast("bigint"))
+    return F.struct((s["room"] - k * x["size"]).alias("room"), F.concat(s["more"], F.array(k)).alias("more"))
+
+
+def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: int = 7, shard_blocks: int = 16, block_docs: int = 256, rounds: int = 3) -> DataFrame:
+    """id, size, source_size, target, taken and shards (one for each time taken) for every row of documents.
+
+    Native DataFrame functions only. A source's rows fall in blocks of about block_docs by a hash of id and text,
+    and blocks are put in a permuted order. Whole passes take every block; of the last pass blocks are taken in order while
+    they fit the target. One that doesn't is left open, and the order goes on behind it, `rounds` times; rows of the open blocks
+    then fill what room is left. So taken is 0 to 2 times size, and a source misses its target by less than the shortest
+    text that is left in its open blocks. The blocks due are the source's quota. A tree splits all quotas among shards of about shard_blocks
+    blocks by the multivariate hypergeometric law, and each shard draws as many of the source's permuted blocks, disjoint from the others'.
+    Only ids, hashes, sizes and sources move. Equal rows (id, text, source) are interchangeable and are taken by number, however many there are.
+    Null ids are values like others; null texts and texts without words, of any length, have size 0 and are not taken; a null source is
+    a source. An empty table gives an empty one; other columns aren't read.
+    """
+    units, t, blocks, filled = planned(documents, id_col, text_col, source_col, weights, share, ceiling, seed, shard_blocks, block_docs, rounds)
+    placed = units.join(t.select(F.col("source").alias("s2"), "rank", "nb", "source_size", "target"), F.col("source").eqNullSafe(F.col("s2"))).withColumn("block", _block(seed)).join(blocks, ["rank", "block"])
+    more = filled.select("rank", "block", F.col("id").alias("i2"), "h", F.col("size").alias("z2"), "more", "last")
+    rows = placed.join(more, (placed["rank"] == more["rank"]) & (placed["block"] == more["block"]) & (placed["h"] == more["h"]) & placed["id"].eqNullSafe(more["i2"]) & (placed["size"] == more["z2"]), "left")
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    none = F.array().cast("array<int>")
+    got = F.when(F.col("size") == 0, none).otherwise(F.concat("shards", F.when(F.col("k") <= F.col("more"), F.array("last")).otherwise(none)))
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.size(got)).cast("long").alias("taken"), got.alias("shards"), F.col("source").alias(source_col))
+
+
+def mixed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: int = 7, shard_blocks: int = 16, block_docs: int = 256, rounds: int = 3) -> DataFrame:
+    """The mix itself: documents' columns, a row for each time mix() takes a row, by shard and shuffled within it.
+
+    A row finds its shards by its block, so texts move once, to their shard. Of equal rows of which the last pass takes some,
+    any may be those. Cases are as in mix().
+    """
+    _, t, blocks, filled = planned(documents, id_col, text_col, source_col, weights, share, ceiling, seed, shard_blocks, block_docs, rounds)
+    names = [F.col(_name(c)) for c in documents.columns]
+    d = documents.select(F.struct(*names).alias("row"), *_key(id_col, text_col), F.col(_name(source_col)).alias("source"))
+    t = t.select(F.col("source").alias("s2"), "rank", "nb")
+    d = d.join(t, F.col("source").eqNullSafe(F.col("s2"))).withColumn("block", _block(seed)).join(blocks, ["rank", "block"]).drop("source", "s2", "nb")
+    more = written(filled.where("size = 0 or more > 0").select("rank", "block", F.col("id").alias("i2"), F.col("h").alias("h2"), "size", "n", "more", "last"))
+
+    def filling(rows, of, kind):
+        return rows.join(of.withColumnsRenamed({"rank": "r2", "block": "b2"}), (F.col("rank") == F.col("r2")) & (F.col("block") == F.col("b2")) & (F.col("h") == F.col("h2")) & F.col("id").eqNullSafe(F.col("i2")), kind)
+
+    none = F.array().cast("array<int>")
+    out = filling(d, more.where("more = n"), "left").select("row", "id", "h", F.concat("shards", F.when(F.col("more") > 0, F.array("last")).otherwise(none)).alias("shards"))
+    some = more.where("more > 0 and more < n")
+    if not some.isEmpty():
+        w = Window.partitionBy("rank", "block", "h", "id").orderBy("h")
+        extra = filling(d, some, "inner").withColumn("k", F.row_number().over(w)).where("k <= more").select("row", "id", "h", F.array("last").alias("shards"))
+        out = out.unionByName(extra)
+    out = out.where(n_words(F.col("row")[text_col]) > 0).select("row", F.posexplode("shards").alias("k", "shard"), "id", "h")
+    return out.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 3), "id", "h", "k"), "k").select("row.*")
