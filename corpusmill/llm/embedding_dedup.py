@@ -9,97 +9,100 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import written
 from .components import components
 
 
-def plan(n: int, cosine: float, dims: int, miss: float = 2e-4, cell: float = 1.2) -> tuple[int, int, float]:
-    """(projections in a window, windows, cell width) for n vectors: cells shrink with log n, windows grow until a pair at the bound is missed with probability miss at most."""
+def plan(n: int, cosine: float, dims: int, miss: float = 2e-4, cell: float = 1.2, count: int = 2) -> tuple[int, int, float, float]:
+    """(cell projections of a table, tables, cell width, window) for n vectors: cells shrink with log n, and there are as many tables as let a pair at the bound collide in fewer than count of them with probability miss at most."""
     sd = math.sqrt(max(2 - 2 * cosine, 1e-6) / dims)
-    width = cell / math.sqrt(dims)
-    p = 1 - sd * math.sqrt(2 / math.pi) / width
-    k = max(4, math.ceil(math.log(max(n, 2)) / 1.139))
-    return k, max(1, math.ceil(math.log(miss) / math.log(1 - p**k))), width
-
-
-def embedding_neighbours(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", seed: int = 17) -> DataFrame:
-    """id, n_links, component_id, kept for every vector; those with equal labels and cosine >= the bound link.
-
-    Equal vectors of a label collapse first. Each is projected on many seeded directions; windows of
-    several one-dimensional projections at a time are sorted into cells, pairs that meet in one are
-    counted over all projections by query-centred windows, and those that pass the count, which a pair at
-    the bound fails less than once in ten thousand times, are checked by cosine in double precision.
-    (One projection alone would let a fifth of all pairs collide, so windows are intersected.) Large cells
-    are dealt out in blocks. Null, zero or non-finite vectors, null labels and vectors of a length of their
-    own link with none of another length; they are their own component.
+    width, window = cell / math.sqrt(dims), 2.5 * sd
+    k = max(3, math.ceil(math.log(max(n, 2)) / 1.139) - 1)
+    q = 0.9876 * (1 - min(0.9, sd * math.sqrt(2 / math.pi) / width)) ** k
+    tables = count
+    while sum(math.comb(tables, c) * q**c * (1 - q) ** (tables - c) for c in range(count)) > miss:
+        tables += 1
+    return k, tables, width, window
+
+
+def _units(column: pa.Array, rows: np.ndarray) -> np.ndarray:
+    """Unit vectors, in double precision, of rows that have equal lengths."""
+    part = column.take(pa.array(rows))
+    x = part.values.to_numpy(zero_copy_only=False).astype(np.float64)[part.offsets[0].as_py() : part.offsets[-1].as_py()].reshape(len(rows), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def embedding_neighbours(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", seed: int = 17, count: int = 2) -> DataFrame:
+    """id, n_links, component_id, kept for every row; vectors with equal labels and cosine >= the bound link.
+
+    Equal vectors of a label collapse first. In each of many tables a vector is sorted by one seeded projection,
+    within the cell that several others give, and collides with those in a window centred on it. Collisions are
+    counted for each pair over all tables; pairs with at least `count` of them are checked by cosine in double
+    precision. The number of tables is calibrated so that a pair at the bound is missed with probability 2e-4
+    at most. (Windows of single projections alone would let a fifth of all pairs collide, so they are narrowed by cells.)
+    Large cells are dealt out in blocks. Each vector length has a plan of its own. Null, zero or non-finite vectors, vectors with
+    such components, null labels and vectors of different lengths link with nothing; they are their own component.
+    Rows that repeat an id each get a row; equal vectors under one or several ids are links of each other. A null id
+    takes part like any other, but names no component. An empty table gives an empty one; columns of other names aren't read.
     """
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).alias("l"))
-    ok = v.where("l is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
-    member = cut(ok.select("id", F.xxhash64("l", "v").alias("h"), F.xxhash64(F.lit(3), "v", "l").alias("g"), "l", F.size("v").alias("d")))
-    classes = cut(member.groupBy("h", "g", "l", "d").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    # Each length has cells and a count of its own, by the most vectors of a label.
-    shape = classes.groupBy("l", "d").agg(F.count(F.lit(1)).alias("n")).groupBy("d").agg(F.max("n").alias("n")).collect()
-    plans = {s["d"]: plan(s["n"], cosine, s["d"]) for s in shape}
-    reps = cut(ok.join(classes.select(F.col("rep").alias("id"), "copies"), "id"))
-
-    def directions(d):
-        k, tables, width = plans[d]
-        r = np.random.default_rng([seed, d])
-        return r.standard_normal((d, k * tables)) / math.sqrt(d), r.uniform(0, width, k * tables)
-
-    def unit(batch, i):
-        x = [np.array(a, float) for a in batch.column(i).to_pylist()]
-        return [a / np.abs(a).max() / np.linalg.norm(a / np.abs(a).max()) for a in x]
-
-    def cells(batches):
+    q = lambda c: F.col(f"`{c}`")
+    v = vectors.select(q(id_col).alias("id"), q(vec_col).alias("v"), q(label_col).alias("l"))
+    good = F.expr("l is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
+    hashes = (F.when(good, F.xxhash64("l", "v")).alias("h"), F.when(good, F.xxhash64(F.lit(3), "v", "l")).alias("g"))
+    member = written(v.select("id", *hashes))
+    classes = v.select("id", *hashes, "l", "v").where("h is not null").groupBy("h", "g").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"), F.first("l").alias("l"))
+    classes = written(classes.withColumn("c", F.monotonically_increasing_id()))
+    # Each length has tables of its own, by the most vectors of a label.
+    shape = classes.groupBy("l", F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).groupBy("d").agg(F.max("n").alias("n")).collect()
+    plans = {s["d"]: plan(s["n"], cosine, s["d"], count=count) for s in shape}
+
+    def collisions(batches):
         made: dict = {}
         for b in batches:
-            for key, label, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), unit(b, 2)):
-                g, off = made.setdefault(len(x), None) or made.update({len(x): directions(len(x))}) or made[len(x)]
-                k, tables, width = plans[len(x)]
-                c = np.floor((x @ g + off) / width).astype(np.int64).reshape(tables, k)
-                h = np.full(tables, hash((len(x), label)) & 0x7FFFFFFF, np.uint64) * np.uint64(tables) + np.arange(tables, dtype=np.uint64)
-                for j in range(k):
-                    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + c[:, j].view(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(tables, key), pa.int64()), pa.array(h.view(np.int64))], names=["id", "cell"])
-
-    keyed = cut(reps.select("id", F.col("l").cast("long").alias("l"), "v").mapInArrow(cells, "id long, cell long"))
-    many = keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("cell", F.ceil(F.col("m") / 512).cast("long").alias("nb"))
-    full = keyed.join(many, "cell")
-    left = full.select("cell", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), F.col("nb")).alias("s"))
-    right = full.select("cell", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("s"))
-    pairs = left.join(right, ["cell", "s"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
-
-    def bound(d):
-        """(window, least count in it) for pairs of length d."""
-        total, expect = plans[d][0] * plans[d][1], 0.9545
-        return 2 * math.sqrt(max(2 - 2 * cosine, 1e-6) / d), math.floor(total * expect - 6 * math.sqrt(total * expect * (1 - expect)))
+            long = np.diff(b.column(2).offsets.to_numpy())
+            for d in np.unique(long).tolist():
+                k, tables, width, window = plans[d]
+                if d not in made:
+                    r = np.random.default_rng([seed, d])
+                    made[d] = r.standard_normal((d, (k + 1) * tables)) / math.sqrt(d), r.uniform(0, width, k * tables)
+                g, off = made[d]
+                for some in np.array_split(np.flatnonzero(long == d), max(1, len(long) * tables * k // 4_000_000)):
+                    p = _units(b.column(2), some) @ g
+                    cells = np.floor((p[:, : k * tables] + off) / width).astype(np.int64).reshape(len(some), tables, k).view(np.uint64)
+                    label = b.column(1).to_numpy(zero_copy_only=False)[some].astype(np.uint64)
+                    h = (label * np.uint64(0x9E3779B97F4A7C15) + np.uint64(d))[:, None] * np.uint64(0xD1B54A32D192ED03) + np.arange(tables, dtype=np.uint64)
+                    for j in range(k):
+                        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + cells[:, :, j]
+                    s = p[:, k * tables :] / window
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy()[some], tables)), pa.array(h.view(np.int64).ravel()), pa.array(s.ravel())], names=["c", "cell", "s"])
+
+    # s is the sorted projection in units of the window.
+    keyed = written(classes.select("c", F.xxhash64("l").alias("l"), "v").mapInArrow(collisions, "c long, cell long, s double"))
+    many = written(keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("cell", F.ceil(F.col("m") / 512).cast("long").alias("nb")))
+    full = keyed.join(many, "cell").withColumn("bin", F.floor("s"))
+    left = full.select("cell", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("c").alias("a"), F.col("s").alias("sa"), F.pmod(F.xxhash64("c"), F.col("nb")).alias("salt"))
+    right = full.select("cell", "bin", F.col("c").alias("b"), "s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("salt"))
+    met = left.join(right, ["cell", "bin", "salt"]).where("a < b and abs(s - sa) <= 1").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")).where(f"met >= {count}")
 
     def check(batches):
-        made: dict = {}
         for b in batches:
-            keep = []
-            for x, y in zip(unit(b, 2), unit(b, 3)):
-                if len(x) != len(y):
-                    keep.append(False)
-                    continue
-                if len(x) not in made:
-                    made[len(x)] = directions(len(x))[0], *bound(len(x))
-                g, window, least = made[len(x)]
-                near = len(x) < 8 or (np.abs((x - y) @ g) <= window).sum() >= least
-                keep.append(bool(near and float(x @ y) >= cosine))
-            m = pa.array(keep, pa.bool_())
+            keep = np.zeros(b.num_rows, bool)
+            same = (np.diff(b.column(2).offsets.to_numpy()) == (long := np.diff(b.column(3).offsets.to_numpy()))) & b.column(4).to_numpy(zero_copy_only=False)
+            for d in np.unique(long[same]):
+                rows = np.flatnonzero(same & (long == d))
+                keep[rows] = (_units(b.column(2), rows) * _units(b.column(3), rows)).sum(axis=1) >= cosine
+            m = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(m), b.column(1).filter(m)], names=["a", "b"])
 
-    one = reps.select("id", "v", "l")
-    rows = pairs.join(one.select(F.col("id").alias("a"), F.col("v").alias("x"), F.col("l").alias("la")), "a").join(one.select(F.col("id").alias("b"), F.col("v").alias("y"), F.col("l").alias("lb")), "b").where("la = lb")
-    links = cut(rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
-    both = links.union(links.select("b", "a"))
-    size = reps.select(F.col("id").alias("b"), "copies")
-    degree = both.toDF("a", "b").join(size, "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    comp = components(links)
-    c = classes.join(degree, classes["rep"] == degree["a"], "left").join(comp, classes["rep"] == comp["node"], "left")
-    c = c.select("h", "g", "l", "d", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    told = member.join(c, ["h", "g", "l", "d"]).select("id", "n_links", "component_id")
-    every = v.select("id").join(told, "id", "left")
-    return every.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("component_id", "id") == F.col("id")).alias("kept"))
+    one = classes.select("c", "v", "l")
+    rows = met.join(one.toDF("a", "x", "la"), "a").join(one.toDF("b", "y", "lb"), "b")
+    links = written(rows.select("a", "b", "x", "y", (F.col("la") == F.col("lb")).alias("same")).mapInArrow(check, "a long, b long"))
+    degree = links.union(links.select("b", "a")).join(classes.select(F.col("c").alias("b"), "copies"), "b").groupBy(F.col("a").alias("c")).agg(F.sum("copies").alias("others"))
+    comp = written(components(links).toDF("c", "component"))
+    named = comp.join(classes.select("c", "rep"), "c").groupBy("component").agg(F.min("rep").alias("least"))
+    told = classes.select("c", "h", "g", "rep", "copies").join(degree, "c", "left").join(comp, "c", "left").join(named, "component", "left")
+    told = written(told.select("h", "g", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id")))
+    out = member.join(told, ["h", "g"], "left")
+    component = F.coalesce("component_id", "id")
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
