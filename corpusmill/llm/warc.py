@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import erase, shared_dir, written
 
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -34,28 +34,34 @@ def _record(kind: str, headers: list, block) -> F.Column:
     return F.concat(*head, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block)
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", min_bytes: int = 0, file_bytes: int = 128 << 20) -> None:
     """Gzipped WARC files under path: a request, a response or revisit, and a metadata record for each row.
 
-    Of rows with equal payloads (by SHA-1) that with the largest id is written in full, the others
-    revisit it. Spark's text writer puts the closing line ends, so any file system of Spark's will do.
+    Of rows with equal payloads (by SHA-1) of min_bytes at least, that with the largest id is written in full, the others
+    revisit it; among equal ids a later row comes first, and null ids come last. Every row has a number, which record
+    identifiers hold before the id, so rows that repeat an id or have none stay apart. A null payload is an empty
+    one, a null URL an empty string. Files hold about file_bytes before compression, by the mean record. Spark's text writer
+    puts the closing line ends, so any file system of Spark's will do.
     """
-    p = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.regexp_replace(F.col(url_col), r"[\r\n]", " "), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("body"))
-    p = p.withColumn("digest", base32_sha1(F.encode("body", "UTF-8")))
-    # Written first, so that its size is known: bodies are shuffled only where it can't be broadcast.
-    first = written(p.groupBy("digest").agg(F.max("id").alias("of"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d2"), "of"))
-    p = p.join(first, p["digest"] == first["d2"], "left").withColumn("again", F.coalesce(F.col("of") != F.col("id"), F.lit(False)))
-    urn = lambda kind, n: F.concat(F.lit(f"<urn:capture:{kind}:"), n.cast("string"), F.lit(">"))
+    q = lambda c: F.col(f"`{c}`")
+    p = pages.select(F.coalesce(q(id_col).cast("long").cast("string"), F.lit("")).alias("name"), q(id_col).cast("long").alias("id"), F.coalesce(F.regexp_replace(q(url_col), r"[\r\n]", " "), F.lit("")).alias("url"), F.coalesce(q(payload_col), F.lit("")).alias("body"))
+    # Numbers must not change between uses, so rows are written with theirs.
+    p = written(p.withColumn("digest", base32_sha1(F.encode("body", "UTF-8"))).withColumn("n_bytes", F.octet_length("body")).withColumn("row", F.monotonically_increasing_id()))
+    # Written too, so that its size is known: bodies are shuffled only where it can't be broadcast.
+    first = written(p.where(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.max(F.struct("id", "row", "name")).alias("of"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d2"), "of"))
+    p = p.join(first, (p["digest"] == first["d2"]) & (p["n_bytes"] >= min_bytes), "left").withColumn("again", F.coalesce(F.col("of.row") != F.col("row"), F.lit(False)))
+    mean = p.agg(F.avg("n_bytes")).first()[0] or 0
+    urn = lambda kind, r="": F.concat(F.lit(f"<urn:capture:{kind}:"), F.col(f"{r}row").cast("string"), F.lit(":"), F.col(f"{r}name"), F.lit(">"))
     size = F.octet_length("body").cast("string")
     base = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url"))]
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit("\r\n\r\n"))
-    own = [("WARC-Record-ID", urn("response", F.col("id"))), *base, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), ("Content-Type", F.lit("application/http; msgtype=response"))]
+    own = [("WARC-Record-ID", urn("response")), *base, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), ("Content-Type", F.lit("application/http; msgtype=response"))]
     response = _record("response", own, F.concat(http, F.col("body")))
-    revisit = _record("revisit", [*own, ("WARC-Refers-To", urn("response", F.col("of"))), ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))], http)
-    request = _record("request", [("WARC-Record-ID", urn("request", F.col("id"))), *base, ("WARC-Concurrent-To", urn("response", F.col("id"))), ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1\r\n\r\n")))
-    metadata = _record("metadata", [("WARC-Record-ID", urn("metadata", F.col("id"))), *base, ("WARC-Concurrent-To", urn("request", F.col("id"))), ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("pageId: "), F.col("id").cast("string"), F.lit("\r\n")))
+    revisit = _record("revisit", [*own, ("WARC-Refers-To", urn("response", "of.")), ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))], http)
+    request = _record("request", [("WARC-Record-ID", urn("request")), *base, ("WARC-Concurrent-To", urn("response")), ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1\r\n\r\n")))
+    metadata = _record("metadata", [("WARC-Record-ID", urn("metadata")), *base, ("WARC-Concurrent-To", urn("request")), ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("pageId: "), F.col("name"), F.lit("\r\n")))
     lines = p.select(F.explode(F.array(request, F.when(F.col("again"), revisit).otherwise(response), metadata)).alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 6000).text(path)
+    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, min(60_000, int(3 * file_bytes / (mean + 2000))))).text(path)
 
 
 def parse(data: bytes):
@@ -136,7 +142,13 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, payload: bool = False) -> DataFrame:
-    """Captures of pages, written to archives in the shared folder and read back."""
+    """Captures of pages, written to archives in the shared folder and read back: a row for every row of pages, whatever its id.
+
+    The archives are parsed once, into a table of records; then they go. Null, empty and very long payloads come back as they are
+    (null as empty); an empty table gives an empty one; columns other than the id, URL and payload aren't read.
+    """
     path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
-    return assemble(read_records(pages.sparkSession, path, payload))
+    records = written(read_records(pages.sparkSession, path, payload))
+    erase(pages.sparkSession, path)
+    return assemble(records)
