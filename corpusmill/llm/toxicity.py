@@ -22,10 +22,8 @@ SEEDS = (
     "connard connasse encule enfoire salaud salope cabron gilipollas idiota imbecil pendejo puta"
 ).split()
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "class clown", "clown fish", "clown car", "pathetic fallacy", "sore loser board game", "stupid question of mine", "pond scum", "the idiot by dostoevsky")
-HOMOGLYPHS = {
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
-    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ℓ": "l", "ß": "ss", "ø": "o", "ł": "l", "đ": "d", "æ": "ae", "œ": "oe",
-}
+# Look-alikes are those of Latin letters in Unicode's confusables.txt (UTS 39), by block: Cyrillic, Greek, Latin.
+HOMOGLYPHS = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухѵһԁԛԝӏ", "ABESIJKMHOPCTYXaesijopcyxvhdqwl")) | dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγινορυ", "ABEZHIKMNOPTYXayivopu")) | dict(zip("ıɑɡɩᴏᴜᴠᴡᴢøłđæœ", [*"iagiouvwzold", "ae", "oe"]))
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"}
 
 _TABLE: dict = {}
@@ -38,8 +36,7 @@ def _fold_char(c: str) -> str:
     kind = unicodedata.category(c)
     if kind in ("Cf", "Mn"):
         return ""
-    base = "".join(x for x in unicodedata.normalize("NFKD", c).lower() if unicodedata.category(x) != "Mn")
-    base = "".join(HOMOGLYPHS.get(x, x) for x in base)
+    base = "".join(HOMOGLYPHS.get(x, x) for x in unicodedata.normalize("NFKD", c) if unicodedata.category(x) != "Mn").casefold()
     return base if base.isalnum() else " "
 
 
@@ -115,13 +112,24 @@ class Lexicon:
                     elif stem or closed:
                         best[start] = max(best.get(start, 0.0), w)
         if safe:
-            best = {k: w for k, w in best.items() if not any(a <= k < z for a, z in safe)}
+            best = outside(best, safe)
         return sum(best.values()), len(best), words
 
     def score(self, mass: float, words: int) -> float:
         return 1 / (1 + math.exp(-min(50.0, max(-50.0, float(np.dot(self.curve, features(mass, words)))))))
 
 
+def outside(best: dict[int, float], spans: list[tuple[int, int]]) -> dict[int, float]:
+    """The places of best that lie in none of the spans [a, z), by one sweep over both in order."""
+    spans, at, end, out = sorted(spans), 0, -1, {}
+    for k in sorted(best):
+        while at < len(spans) and spans[at][0] <= k:
+            end, at = max(end, spans[at][1]), at + 1
+        if k >= end:
+            out[k] = best[k]
+    return out
+
+
 def features(mass: float, words: int) -> tuple[float, float, float]:
     """Constant, total weight and weight for each hundred words, both by log1p: length counts, a long text can't hide its insults."""
     return 1.0, math.log1p(mass), math.log1p(100 * mass / max(words, 1))
@@ -131,12 +139,12 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 4 == 2
 
 
-def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, max_entries: int = 4096, min_docs: int = 4, min_odds: float = 20.0) -> Lexicon:
+def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, min_docs: int = 4, min_odds: float = 20.0) -> Lexicon:
     """A lexicon from at most sample_rows labelled rows (the bound, by order of a hash) that are not held out.
 
-    Counts, for whole folded words and for stems of 4 to 8 letters, the toxic and other sample texts that
-    hold them; keeps those that are min_odds times likelier in toxic ones, at most max_entries. Seeds stay
-    in. A stem that a shorter kept stem explains as well is dropped. The score's curve is fitted to the
+    Counts, for whole folded words of 4 letters or more and for their stems of 4 to 8 letters, the toxic and other sample texts that
+    hold them; keeps all that min_docs toxic texts hold and that are min_odds times likelier in toxic ones. The sample
+    alone bounds them. Seeds stay in. A stem that a shorter kept stem explains as well is dropped. The score's curve is fitted to the
     same sample by Newton steps. Without labelled rows of both kinds the seeds and a fixed curve remain.
     """
     key = F.col(id_col)
@@ -160,20 +168,19 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         yield pa.RecordBatch.from_arrays([pa.array(["", *toxic, *other]), pa.array([n[1], *toxic.values(), *[0] * len(other)], pa.int64()), pa.array([n[0], *[0] * len(toxic), *other.values()], pa.int64())], names=["gram", "t", "o"])
 
     grams = sample.mapInArrow(count, "gram string, t long, o long").groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    # Only grams of toxic texts can pass; the bound is on what reaches the driver.
-    top = grams.where(F.col("t") >= min_docs).where((F.col("gram") == "") | (F.col("t") > F.col("o"))).orderBy((F.col("gram") != ""), F.desc("t"), "gram").limit(50_000).collect()
-    total = next((r for r in top if r["gram"] == ""), None)
+    total = grams.where("gram = ''").first()
     entries = {s: 3.0 for s in SEEDS}
-    if total is None or not total["o"]:
+    if total is None or not total["o"] or not total["t"]:
         return Lexicon(entries)
-    odds = {r["gram"]: (r["t"], math.log((r["t"] + 0.5) / (total["t"] + 1)) - math.log((r["o"] + 0.5) / (total["o"] + 1))) for r in top if r["gram"]}
+    log_odds = F.log((F.col("t") + 0.5) / (total["t"] + 1)) - F.log((F.col("o") + 0.5) / (total["o"] + 1))
+    top = grams.where(F.col("t") >= min_docs).where("gram <> ''").withColumn("odds", log_odds).where(F.col("odds") >= math.log(min_odds)).collect()
+    odds = {r["gram"]: r["odds"] for r in top}
     kept: dict[str, float] = {}
-    for g in sorted((g for g in odds if odds[g][1] >= math.log(min_odds)), key=lambda g: (len(g.rstrip("*")), g)):
+    for g in sorted(odds, key=lambda g: (len(g.rstrip("*")), g)):
         shorter = [kept[p] for k in range(4, len(g.rstrip("*")) + 1) if (p := g.rstrip("*")[:k] + "*") in kept and p != g]
-        if not shorter or max(shorter) < odds[g][1] - 1:
-            kept[g] = odds[g][1]
-    best = sorted(kept, key=lambda g: (-odds[g][0], g))[:max_entries]
-    lexicon = Lexicon(entries | {g: kept[g] for g in best}, bound={"sample_rows": sample_rows, "max_entries": max_entries})
+        if not shorter or max(shorter) < odds[g] - 1:
+            kept[g] = odds[g]
+    lexicon = Lexicon(entries | kept, bound={"sample_rows": sample_rows})
     rows = measured(sample.select(F.col("__y").alias("y"), "__text"), lexicon, "y", "__text").select("y", "mass", "words").collect()
     lexicon.curve = fit([features(r["mass"], r["words"]) for r in rows], [r["y"] for r in rows])
     return lexicon
@@ -193,6 +200,19 @@ def fit(x: list, y: list, ridge: float = 1e-2, steps: int = 40) -> tuple[float,
     return tuple(w)
 
 
+def clean(documents: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of documents that aren't predicted toxic, in all their columns; each row is judged by its own text, whatever its id."""
+    at = documents.columns.index(text_col)
+
+    def run(batches):
+        automaton = lexicon.automaton()
+        for b in batches:
+            found = (lexicon.mass(t.as_py() or "", automaton) for t in b.column(at))
+            yield b.filter(pa.array([lexicon.score(m, w) < threshold for m, _, w in found], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def measured(df: DataFrame, lexicon: Lexicon, key: str, text_col: str) -> DataFrame:
     """key, score, mass, matches and words for each row of df; a null text counts as empty."""
 
