@@ -26,8 +26,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def list_entries(pages: DataFrame) -> DataFrame:
     """A dated list over the hosts of pages and the domains above them: up to three changes each, by digest of the domain."""
     host = pages.select(url_lists.host_of(F.col("url")).alias("host")).where("host is not null").distinct()
-    labels = F.split("host", r"\.")
-    domain = host.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("domain")).distinct().where(F.contains("domain", F.lit(".")))
+    domain = host.select(F.explode(url_lists.domains_of(F.col("host"))).alias("domain")).distinct().where(F.contains("domain", F.lit(".")))
     step = domain.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     h = F.conv(F.substring(F.md5(F.encode(F.concat_ws(":", "domain", F.col("k").cast("string")), "UTF-8")), 1, 7), 16, 10).cast("long")
     dated = step.withColumn("h", h).where("h % 4 <> 0")
@@ -46,7 +45,7 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shard")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +62,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = warc.round_trip(table(spark, sf_dir, "pages"))
-    number = lambda c: F.regexp_extract(c, r":(-?\d+)>$", 1).cast("long")
+    number = lambda c: F.nullif(F.regexp_extract(c, r":(-?\d*)>$", 1), F.lit("")).cast("long")
     return r.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", number(F.col("refers_to")).alias("refers_to"), F.col("request").isNotNull().alias("has_request"), F.col("metadata").isNotNull().alias("has_metadata"))
 
 
@@ -83,8 +82,8 @@ def _sql_canonical() -> str:
 
 
 OP4_SQL = r"""
-with h as (select page_id, cast('2024-01-01' as date) + cast((page_id * 37) % 730 as integer) as fetched, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.$', ''), '') as host from pages),
-hosts as (select distinct host, string_split(host, '.') as p from h where host is not null),
+with h as (select page_id, cast('2024-01-01' as date) + cast((page_id * 37) % 730 as integer) as fetched, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/?#:@\[\]]+)', 1), '^\[|\]$|\.$', '', 'g'), '') as host from pages),
+hosts as (select distinct host, case when regexp_matches(host, '^[0-9.]+$|:') then [host] else string_split(host, '.') end as p from h where host is not null),
 up as (select host, array_to_string(p[i:], '.') as domain from (select host, p, unnest(range(1, len(p) + 1)) as i from hosts)),
 dom as (select distinct domain from up where contains(domain, '.')),
 ev as (select domain, k, ('0x' || substr(md5(domain || ':' || k), 1, 7))::bigint as x from dom, (values (0), (1), (2)) as t(k)),
