@@ -28,8 +28,23 @@ def exact_overlap(test: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def removal_reasons(test: DataFrame, train: DataFrame, near_ids: DataFrame, id_col: str) -> DataFrame:
-    """id, reason for each training row: internal duplicate, then exact, then near; a hash counts as seen even if its first row goes."""
-    rn = F.row_number().over(Window.partitionBy("h").orderBy(id_col))
-    t = train.withColumn("rn", rn).join(test.select("h").distinct().withColumn("ex", F.lit(True)), "h", "left")
+    """id, reason for each training row: internal duplicate, then exact, then near; a hash counts as seen even if its first row goes.
+
+    The first row of a hash is a minimum, which combines before the shuffle: no task orders the rows of a hash.
+    """
+    first = train.groupBy("h").agg(F.min(id_col).alias("first"))
+    t = train.join(first, "h").join(test.select("h").distinct().withColumn("ex", F.lit(True)), "h", "left")
     t = t.join(near_ids.select(F.col(id_col)).distinct().withColumn("nr", F.lit(True)), id_col, "left")
-    return t.select(id_col, F.when(F.col("rn") > 1, "internal_dup").when(F.col("ex"), "exact").when(F.col("nr"), "near").otherwise("kept").alias("reason"))
+    return t.select(id_col, F.when(F.col(id_col) > F.col("first"), "internal_dup").when(F.col("ex"), "exact").when(F.col("nr"), "near").otherwise("kept").alias("reason"))
+
+
+def removal_counters(reasons: DataFrame) -> DataFrame:
+    """before, internal_dup, exact, near, after from removal_reasons(), in one pass."""
+    r = F.col("reason")
+    return reasons.agg(F.count(F.lit(1)).alias("before"), *[F.count_if(r == k).alias(k) for k in ("internal_dup", "exact", "near")], F.count_if(r == "kept").alias("after"))
+
+
+def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """key, side ('left', 'right' or 'both') for the distinct keys of either."""
+    a, b = left.select(key).distinct().withColumn("a", F.lit(1)), right.select(key).distinct().withColumn("b", F.lit(1))
+    return a.join(b, key, "full").select(key, F.when(F.col("b").isNull(), "left").when(F.col("a").isNull(), "right").otherwise("both").alias("side"))

@@ -25,3 +25,52 @@ def temperature(df: DataFrame, t: float) -> DataFrame:
     """Adds calibrated: sigmoid(logit(prob) / t); t of 0 or less counts as 1."""
     p = F.least(F.greatest(F.col("prob"), F.lit(1e-6)), F.lit(1 - 1e-6))
     return df.withColumn("calibrated", 1 / (1 + F.exp(-F.ln(p / (1 - p)) / (t if t > 0 else 1.0))))
+
+
+def scores_at(df: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """accuracy, precision, recall, f1 and the counts they come from; 0 where a ratio has no denominator."""
+    c = confusion(df, threshold)
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    values = {"accuracy": ratio(tp + tn, tp + fp + fn + tn), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)}
+    return c.select("tp", "fp", "fn", "tn", *[F.round(v, 6).alias(k) for k, v in values.items()])
+
+
+def roc_points(df: DataFrame) -> DataFrame:
+    """threshold, tpr, fpr for every distinct score; a rate without a denominator is 0."""
+    g = df.groupBy("prob").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+    upto, every = Window.orderBy(F.desc("prob")), Window.partitionBy()
+    rate = lambda c: F.round(F.coalesce(F.try_divide(F.sum(c).over(upto), F.sum(c).over(every)), F.lit(0.0)), 6)
+    return g.select(F.col("prob").alias("threshold"), rate("p").alias("tpr"), rate("n").alias("fpr"))
+
+
+def best_f1(df: DataFrame) -> DataFrame:
+    """threshold, f1: over ascending distinct scores, each judged by precision and recall at the next higher one ((1, 0) after the last), the lowest of the best; 0.5 and -1 without scores.
+
+    Distinct scores are ordered in one task, not rows. Recall is 1 where there are no positives.
+    """
+    g = df.groupBy("prob").agg(F.count_if(F.col("label") == 1).alias("p"), F.count(F.lit(1)).alias("m"))
+    above = Window.orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, -1)
+    s = g.withColumn("tp", F.sum("p").over(above)).withColumn("n", F.sum("m").over(above)).withColumn("pos", F.sum("p").over(Window.partitionBy()))
+    precision = F.when(F.col("n").isNull(), 1.0).otherwise(F.col("tp") / F.col("n"))
+    recall = F.when(F.col("n").isNull(), 0.0).when(F.col("pos") == 0, 1.0).otherwise(F.try_divide(F.col("tp"), F.col("pos")))
+    s = s.withColumn("a", precision).withColumn("b", recall).where("a + b > 0").withColumn("f1", F.round(2 * F.col("a") * F.col("b") / (F.col("a") + F.col("b")), 9))
+    top = s.agg(F.max(F.struct("f1", (-F.col("prob")).alias("low"))).alias("m"))
+    return top.select(F.coalesce(-F.col("m.low"), F.lit(0.5)).alias("threshold"), F.round(F.coalesce("m.f1", F.lit(-1.0)), 6).alias("f1"))
+
+
+def trend(df: DataFrame, x: str, y: str) -> DataFrame:
+    """slope, intercept of the least-squares line over finite pairs."""
+    ok = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    return df.where(ok(x) & ok(y)).agg(F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 6).alias("intercept"))
+
+
+def cut_points(df: DataFrame, value: str, percent: float, iqr: float, sigma: float) -> DataFrame:
+    """by_percentile, robust (median + iqr times the interquartile range) and moment (mean + sigma standard deviations) thresholds."""
+    q = lambda p: F.percentile(value, F.lit(p))
+    return df.agg(F.round(q(percent), 6).alias("by_percentile"), F.round(q(0.5) + iqr * (q(0.75) - q(0.25)), 6).alias("robust"), F.round(F.avg(value) + sigma * F.stddev_pop(value), 6).alias("moment"))
+
+
+def tail_mean(df: DataFrame, order: str, value: str, n: int = 5) -> DataFrame:
+    """Mean of the last n values."""
+    return df.orderBy(F.desc(order)).limit(n).agg(F.round(F.avg(value), 6).alias("tail_mean"))

@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import char_ngrams, jaccard, ngrams, normalize, words
+from corpusmill.functions.text import char_ngrams, jaccard, normalize
+
+
+def _vote(text: str) -> int:
+    w = [x for x in text.split(" ") if x]
+    features = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or w
+    if not features:
+        return 0
+    low = np.frombuffer(b"".join(hashlib.md5(f.encode()).digest()[8:] for f in features), np.uint8).reshape(-1, 8)
+    ones = np.unpackbits(low, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(features)).tobytes(), "big", signed=True)
 
 
-def simhash64(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, simhash: 64 votes over word 3-grams (single words if there are fewer), low 64 bits of MD5; 0 without words.
+def simhash64(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
+    """id, simhash (and columns to keep): 64 votes over word 3-grams (single words if there are fewer), low 64 bits of MD5; 0 without words.
 
-    Features explode and 64 sums combine before the shuffle, all in generated code.
+    A text's votes need only its own row, so they are counted in Arrow batches, without a shuffle.
     """
-    w = df.select(id_col, words(normalize(F.col(text_col))).alias("w"))
-    f = w.select(id_col, F.explode_outer(F.when(F.size("w") >= 3, ngrams(F.col("w"), 3)).otherwise(F.col("w"))).alias("f"))
-    h = f.select(id_col, F.conv(F.substring(F.md5(F.col("f")), 17, 16), 16, -10).cast("bigint").alias("h"))
-    bits = h.groupBy(id_col).agg(F.count("h").alias("n"), *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(1)).alias(f"b{i}") for i in range(64)])
-    value = F.lit(0).cast("bigint")
-    for i in range(64):
-        value = value.bitwiseOR(F.when(F.coalesce(F.col(f"b{i}"), F.lit(0)) * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-    return bits.select(id_col, value.alias("simhash"))
+    d = df.select(id_col, *keep, normalize(F.col(text_col)).alias("__form"))
+
+    def run(batches):
+        for b in batches:
+            votes = pa.array([_vote(t.as_py()) for t in b.column(b.num_columns - 1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], votes], names=[*b.schema.names[:-1], "simhash"])
+
+    return d.mapInArrow(run, ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in (id_col, *keep)) + ", simhash long")
 
 
 def bands(hashes: DataFrame, id_col: str) -> DataFrame:

@@ -19,10 +19,18 @@ def monotone_chunks(df: DataFrame, group: str, order: str, value: str) -> DataFr
 
 
 def ranked(df: DataFrame, part: str, id_col: str, seed: str) -> DataFrame:
-    """Adds rk, the rank in part by a seeded hash, and cnt, the size of part."""
-    w = Window.partitionBy(part)
+    """Adds rk, the rank in part by a seeded hash, and cnt, the size of part.
+
+    A part is counted in 4,096 slices of the hash first, so that no task orders all rows of a class.
+    """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
-    return df.withColumn("rk", F.row_number().over(w.orderBy(key, id_col))).withColumn("cnt", F.count(F.lit(1)).over(w))
+    d = df.withColumn("__key", key).withColumn("__slice", F.substring("__key", 1, 3))
+    counts = d.groupBy(F.col(part).alias("__p"), F.col("__slice").alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy("__p")
+    base = counts.withColumn("__base", F.sum("__n").over(w.orderBy("__s")) - F.col("__n")).withColumn("cnt", F.sum("__n").over(w))
+    d = d.join(base, F.col(part).eqNullSafe(F.col("__p")) & (F.col("__slice") == F.col("__s")))
+    rk = F.col("__base") + F.row_number().over(Window.partitionBy(part, "__slice").orderBy("__key", id_col))
+    return d.withColumn("rk", rk).select(*df.columns, "rk", "cnt")
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, ratio: float, seed: str) -> DataFrame:
@@ -34,3 +42,38 @@ def balanced_batches(df: DataFrame, label: str, id_col: str, half: int, seed: st
     r = ranked(df, label, id_col, seed)
     least = df.groupBy(label).agg(F.count(F.lit(1)).alias("c")).agg(F.min("c").alias("least"))
     return r.join(F.broadcast(least)).where("rk <= least").select(id_col, label, F.floor((F.col("rk") - 1) / half).alias("batch"))
+
+
+def pool(df: DataFrame, label: str, id_col: str, total: int, seed: str) -> DataFrame:
+    """At most total / 2 rows of each class, by a seeded hash."""
+    return ranked(df, label, id_col, seed).where(F.col("rk") <= total // 2).select(df.columns)
+
+
+def segment_sample(df: DataFrame, group: str, order: str, signature: str, label: str, id_col: str, per_segment: int, seed: str) -> DataFrame:
+    """id, label: at most per_segment rows of each run of equal signature within group, then as many of each class as the smaller has."""
+    runs = islands(df, group, order, signature).withColumn("__run", F.concat_ws("/", F.col(group).cast("string"), F.col("island").cast("string"), F.col(signature)))
+    some = ranked(runs, "__run", id_col, seed).where(F.col("rk") <= per_segment).select(id_col, label)
+    r = ranked(some, label, id_col, seed)
+    least = some.groupBy(label).agg(F.count(F.lit(1)).alias("c")).agg(F.min("c").alias("least"))
+    return r.join(F.broadcast(least)).where("rk <= least").select(id_col, label)
+
+
+def deck(chunks: DataFrame, group: str, chunk: str, strategies: list[str]) -> DataFrame:
+    """Adds bucket and strategy: of each group's chunks, numbered from 0, every len(strategies) in a row form a bucket and take the strategies by turns; those beyond the last whole bucket go."""
+    k = len(strategies)
+    whole = chunks.groupBy(F.col(group).alias("__g")).agg(F.floor((F.max(chunk) + 1) / k).alias("__whole"))
+    bucket = F.floor(F.col(chunk) / k)
+    out = chunks.join(whole, F.col(group).eqNullSafe(F.col("__g"))).where(bucket < F.col("__whole"))
+    return out.withColumn("bucket", bucket).withColumn("strategy", F.element_at(F.array(*map(F.lit, strategies)), (F.col(chunk) % k + 1).cast("int"))).drop("__g", "__whole")
+
+
+def early_stopping(scores: DataFrame, order: str, value: str, patience: int, mode: str = "max") -> DataFrame:
+    """Adds best (the running best), better (this row improves it) and stop (patience rows in a row didn't). One run's epochs, so one ordered window is enough."""
+    w = Window.orderBy(order)
+    best = (F.max if mode == "max" else F.min)(value)
+    before = best.over(w.rowsBetween(Window.unboundedPreceding, -1))
+    better = F.coalesce(F.col(value) > before if mode == "max" else F.col(value) < before, F.lit(True))
+    d = scores.withColumn("best", best.over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("better", better)
+    d = d.withColumn("__run", F.sum(F.col("better").cast("int")).over(w))
+    bad = F.row_number().over(Window.partitionBy("__run").orderBy(order)) - 1
+    return d.withColumn("stop", bad >= patience).drop("__run")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import dedup, evaluation, neardup, sequences
+from corpusmill.functions import metrics
+from corpusmill.operators import dedup, evaluation, neardup, perturb, sequences
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -18,6 +19,8 @@ _STRICT = rf"trim(regexp_replace(regexp_replace({_LIGHT}, '[^\p{{L}}\p{{N}}_\s]'
 _N = f"n as (select doc_id, {_LIGHT} as light, {_STRICT} as strict from documents)"
 _H = f"{_N}, h as (select doc_id, sha1(light) as h, doc_id % 5 = 0 as is_test from n)"
 _W = f"{_N}, w as (select doc_id, list_filter(string_split(light, ' '), lambda x: x <> '') as w from n)"
+_RW = f"w as (select doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g'), ' '), lambda x: x <> '') as w from documents)"
+_SENT = r"s as (select doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r\n]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ') <> '') as s from documents)"
 _SIM = f"""{_W}, f as (select doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]) else w end) as f from w),
 hh as (select doc_id, ('0x' || substr(md5(f), 17, 16))::ubigint as h from f),
 s as (select doc_id, {" + ".join(f"(case when 2 * sum(((h >> {i}) & 1)::integer) > count(*) then {1 << i}::hugeint else 0::hugeint end)" for i in range(64))} as s from hh group by doc_id),
@@ -134,27 +137,69 @@ def balanced_batches(spark, sf_dir):
     return sequences.balanced_batches(_t(spark, sf_dir, "labels"), "toxic", "doc_id", 6, "2027")
 
 
-@_query(f"with {_W} select doc_id, len(w) as n_words, len(list_distinct(w)) as n_distinct, round(len(list_distinct(w)) / (len(w) + 0.00001), 4) as diversity from w")
+@_query(f"with {_RW} select doc_id, len(w) as n_words, len(list_distinct(w)) as n_distinct, round(len(list_distinct(w)) / (len(w) + 0.00001), 4) as diversity from w")
 def lexical_diversity(spark, sf_dir):
-    w = _t(spark, sf_dir, "documents").select("doc_id", T.words(T.normalize(F.col("text"))).alias("w"))
+    w = _t(spark, sf_dir, "documents").select("doc_id", T.raw_words(F.col("text")).alias("w"))
     d = F.size(F.array_distinct("w"))
     return w.select("doc_id", F.size("w").cast("long").alias("n_words"), d.cast("long").alias("n_distinct"), F.round(d / (F.size("w") + F.lit(0.00001)), 4).alias("diversity"))
 
 
-@_query(f"with {_W}, e as (select doc_id, unnest(w) as x from w), c as (select doc_id, x, count(*) as c from e group by doc_id, x), t as (select *, c / sum(c) over (partition by doc_id) as p from c) select doc_id, round(-sum(p * log2(p)), 4) + 0.0 as entropy from t group by doc_id")
+@_query(f"with {_RW}, e as (select doc_id, unnest(w) as x from w), c as (select doc_id, x, count(*) as c from e group by doc_id, x), t as (select *, c / sum(c) over (partition by doc_id) as p from c), h as (select doc_id, round(-sum(p * log2(p)), 4) + 0.0 as entropy from t group by doc_id) select d.doc_id, coalesce(h.entropy, 0.0) as entropy from documents d left join h using (doc_id)")
 def word_entropy(spark, sf_dir):
-    w = _t(spark, sf_dir, "documents").select("doc_id", F.explode(T.words(T.normalize(F.col("text")))).alias("x"))
-    c = w.groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("c"))
-    # H = log2(n) - sum(c log2 c) / n needs no second pass over the counts.
-    return c.groupBy("doc_id").agg(F.round(F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c"), 4).alias("entropy"))
+    m = metrics.measured(_t(spark, sf_dir, "documents"), "doc_id", metrics.text_metrics, "text")
+    return m.select("doc_id", F.col("word_entropy").alias("entropy"))
 
 
-@_query(rf"with {_N}, p as (select a.doc_id, regexp_replace(substr(a.light, 1, 200), '[^\x00-\x7f]', '?', 'g') as x, regexp_replace(substr(b.light, 1, 200), '[^\x00-\x7f]', '?', 'g') as y from n a join n b on b.doc_id = a.doc_id + 1) select doc_id, levenshtein(x, y) as dist, greatest(length(x), length(y)) as longer from p")
+@_query("with e as (select doc_id, unnest(string_split(text, '')) as x from documents where text <> ''), c as (select doc_id, x, count(*) as c from e group by doc_id, x), t as (select *, c / sum(c) over (partition by doc_id) as p from c), h as (select doc_id, round(-sum(p * log2(p)), 4) + 0.0 as entropy from t group by doc_id) select d.doc_id, coalesce(h.entropy, 0.0) as entropy from documents d left join h using (doc_id)")
+def char_entropy(spark, sf_dir):
+    m = metrics.measured(_t(spark, sf_dir, "documents"), "doc_id", metrics.text_metrics, "text")
+    return m.select("doc_id", F.col("char_entropy").alias("entropy"))
+
+
+@_query()
+def text_metrics(spark, sf_dir):
+    """All metrics of one text; syllables are counted by a rule, so there is no SQL."""
+    return metrics.measured(_t(spark, sf_dir, "documents"), "doc_id", metrics.text_metrics, "text")
+
+
+@_query()
+def pair_metrics(spark, sf_dir):
+    """BLEU, ROUGE, distances and overlaps of neighbouring documents, whole texts."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    p = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("ref")), "doc_id")
+    return metrics.measured(p, "doc_id", metrics.pair_metrics, "text", "ref")
+
+
+@_query(f"with {_SENT}, l as (select doc_id, list_transform(s, lambda x: len(list_filter(string_split(regexp_replace(x, '{_WS}', ' ', 'g'), ' '), lambda y: y <> ''))) as l from s), t as (select doc_id, len(l) as n, coalesce(list_sum(l), 0) as s1, coalesce(list_sum(list_transform(l, lambda x: x * x)), 0) as s2 from l) select doc_id, n as n_sentences, round(case when n = 0 then 0.0 else s1 / n end, 4) as mean_length, round(case when n < 2 then 0.0 else sqrt((n * s2 - s1 * s1)::double) / n / (s1 / n + 0.00001) end, 4) as variability from t")
+def sentence_stats(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.transform(T.sentences(F.col("text")), lambda s: F.size(T.raw_words(s)).cast("long")).alias("l"))
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    t = d.select("doc_id", F.size("l").cast("long").alias("n"), add("l").alias("s1"), add(F.transform("l", lambda x: x * x)).alias("s2"))
+    n, s1 = F.col("n"), F.col("s1")
+    spread = F.try_divide(F.sqrt((n * F.col("s2") - s1 * s1).cast("double")), n) / (F.try_divide(s1, n) + 0.00001)
+    return t.select("doc_id", n.alias("n_sentences"), F.round(F.coalesce(F.try_divide(s1, n), F.lit(0.0)), 4).alias("mean_length"), F.round(F.when(n < 2, 0.0).otherwise(spread), 4).alias("variability"))
+
+
+@_query(f"with {_SENT}, u as (select doc_id, unnest(s) as sentence, unnest(range(len(s))) as i from s) select doc_id || '_' || i as sentence_id, sentence from u")
+def sentence_rows(spark, sf_dir):
+    """A row for each sentence, numbered within its document."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "sentence"))
+    return d.select(F.concat_ws("_", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("sentence_id"), "sentence")
+
+
+@_query()
+def block_shuffle(spark, sf_dir):
+    """Sentences of each document in permuted blocks of half its length."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
+    return perturb.reordered(d, "s", perturb.block_order, 0.5).select("doc_id", F.array_join("s", " ").alias("shuffled"))
+
+
+@_query()
 def edit_distance_norm(spark, sf_dir):
-    """Of the openings (200 characters, the unit compared; others than ASCII as ?) of neighbouring documents."""
-    n = _t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.substring(T.normalize(F.col("text")), 1, 200), r"[^\x00-\x7f]", "?").alias("x"))
-    p = n.join(n.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y")), "doc_id")
-    return p.select("doc_id", F.levenshtein("x", "y").cast("long").alias("dist"), F.greatest(F.length("x"), F.length("y")).cast("long").alias("longer"))
+    """Characters of whole neighbouring turns of a conversation; brute force tests it, for the other engine compares bytes."""
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("x"))
+    p = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y")), ["conv_id", "turn"])
+    return p.select("conv_id", "turn", F.round(T.edit_distance(F.col("x"), F.col("y")), 4).alias("edit_distance"))
 
 
 @_query(f"with {_W}, p as (select a.doc_id, list_distinct(a.w) as x, list_distinct(b.w) as y from w a join w b on b.doc_id = a.doc_id + 1) select doc_id, len(list_intersect(x, y)) as common, len(x) as n_pred, len(y) as n_ref from p")
@@ -164,12 +209,12 @@ def pair_overlap(spark, sf_dir):
     return p.select("doc_id", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), F.size("x").cast("long").alias("n_pred"), F.size("y").cast("long").alias("n_ref"))
 
 
-@_query("select a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::double * b.embedding[i])) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::double * x))) / sqrt(list_sum(list_transform(b.embedding, lambda x: x::double * x))), 6) as cosine, round(list_sum(list_transform(range(1, 65), lambda i: abs(a.embedding[i]::double - b.embedding[i]))), 6) as manhattan from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
+@_query("select a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::double * b.embedding[i])) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::double * x))) / sqrt(list_sum(list_transform(b.embedding, lambda x: x::double * x))), 6) as cosine, round(list_sum(list_transform(range(1, 65), lambda i: abs(a.embedding[i]::double - b.embedding[i]))), 6) as manhattan, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::double - b.embedding[i]) * (a.embedding[i]::double - b.embedding[i])))), 6) as euclidean from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
 def vector_similarity(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
     l1 = F.aggregate(F.zip_with("x", "y", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v)
-    return p.select("vec_id", F.round(T.cosine(F.col("x"), F.col("y")), 6).alias("cosine"), F.round(l1, 6).alias("manhattan"))
+    return p.select("vec_id", F.round(T.cosine(F.col("x"), F.col("y")), 6).alias("cosine"), F.round(l1, 6).alias("manhattan"), F.round(T.euclidean(F.col("x"), F.col("y")), 6).alias("euclidean"))
 
 
 _PROB = "s as (select toxic as label, ((doc_id * 37 + toxic * 23) % 100) / 100.0::double as prob from labels)"
@@ -189,14 +234,27 @@ def auc_rank(spark, sf_dir):
     return evaluation.auc(_scores(spark, sf_dir))
 
 
-@_query("select i.item_id, d.doc_id from benchmark i join documents d on contains(d.text, i.text)")
+@_query("select i.item_id, d.doc_id from benchmark i join documents d on contains(d.text, i.text) where i.text <> ''")
 def benchmark_containment(spark, sf_dir):
-    """Protected passages that stand in documents: an equality join on the first 8 words' windows, then the check."""
+    """Protected passages that stand in documents as they are; an empty one stands in none.
+
+    A passage's inner words, all but the first and last, must be words of the document: up to four of them, or the
+    first three characters of a passage without inner words, are the key of an equality join before the check.
+    """
     w = lambda c: F.split(c, " ")
-    items = _t(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.col("text").alias("passage"), F.array_join(F.slice(w(F.col("text")), 2, 4), " ").alias("key"))
-    d = _t(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(T.ngrams(w(F.col("text")), 4))).alias("key"))
-    hits = d.select("doc_id", "key").join(items, "key").select("doc_id", "item_id", "passage").distinct()
-    return hits.join(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+    items = _t(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("passage"), F.least(F.lit(4), F.size(w(F.col("text"))) - 2).alias("m"))
+    items = items.withColumn("key", F.when(F.col("m") > 0, F.array_join(F.slice(w(F.col("passage")), F.lit(2), F.greatest(F.col("m"), F.lit(1))), " ")).otherwise(F.substring("passage", 1, 3)))
+    items = items.withColumn("m", F.when(F.col("m") > 0, F.col("m")).otherwise(-F.length("key")))
+    docs = _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    keyed = None
+    for m in sorted(r["m"] for r in items.select("m").distinct().collect()):
+        grams = T.ngrams(w(F.col("text")), m) if m > 0 else F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.substring("text", i, F.lit(-m)))
+        part = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("key"), F.lit(m).alias("m"))
+        keyed = part if keyed is None else keyed.union(part)
+    if keyed is None:
+        return items.select("item_id", F.lit(0).cast("long").alias("doc_id")).where("false")
+    hits = keyed.join(items, ["m", "key"]).select("doc_id", "item_id", "passage").distinct()
+    return hits.join(docs, "doc_id").where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
 
 
 @_query("with q as (select quantile_cont(length(text), 0.25) as q1, quantile_cont(length(text), 0.75) as q3 from documents) select doc_id, length(text) as n from documents, q where length(text) between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)")
@@ -206,17 +264,145 @@ def iqr_filter(spark, sf_dir):
     return d.join(F.broadcast(q)).where("n between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)").select("doc_id", "n")
 
 
-@_query("with b as (select min(length(text)) as lo, max(length(text)) as hi from documents) select cast(least(49, floor((length(text) - lo) * 50 / (hi - lo))) as bigint) as bin, count(*) as n from documents, b group by 1")
+@_query("with b as (select min(length(text)) as lo, max(length(text)) as hi from documents) select cast(least(49, coalesce(floor((length(text) - lo) * 50 / nullif(hi - lo, 0)), 0)) as bigint) as bin, count(*) as n from documents, b group by 1")
 def histogram(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select(F.length("text").alias("x"))
     b = d.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    return d.join(F.broadcast(b)).groupBy(F.least(F.lit(49), F.floor((F.col("x") - F.col("lo")) * 50 / (F.col("hi") - F.col("lo")))).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return d.join(F.broadcast(b)).groupBy(F.least(F.lit(49), F.coalesce(F.floor(F.try_divide((F.col("x") - F.col("lo")) * 50, F.col("hi") - F.col("lo"))), F.lit(0))).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+
+def _sql_label(c: str) -> str:
+    spelled = lambda v: ", ".join(f"'{x}'" for x in v)
+    return f"case when lower(trim({c})) in ({spelled(T.HUMAN)}) then 0 when lower(trim({c})) in ({spelled(T.MACHINE)}) then 1 end"
+
+
+@_query(f"select doc_id, coalesce({_sql_label('lang')}, {_sql_label('source')}, case when lower(trim(source)) in ('abstract', 'document', 'story', 'content') then 0 else 1 end) as y from documents")
+def infer_label(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", T.infer_label([F.col("lang"), F.col("source")], [F.col("source")]).alias("y"))
+
+
+@_query("select doc_id, case when coalesce(toxic, -1) in (0, 1) then toxic end as from_number, case when cast(quality = 1 as integer) in (0, 1) then cast(quality = 1 as integer) end as from_boolean from labels")
+def typed_labels(spark, sf_dir):
+    d = _t(spark, sf_dir, "labels")
+    return d.select("doc_id", T.normalize_label(F.col("toxic") + F.lit(0.0), "number").alias("from_number"), T.normalize_label(F.col("quality") == 1, "boolean").alias("from_boolean"))
+
+
+_REASONS = f"""{_PAIRS}, hd as (select doc_id, sha1(light) as h from n), tr as (select doc_id, h, row_number() over (partition by h order by doc_id) as rn from hd where doc_id % 5 <> 0),
+rs as (select doc_id, case when rn > 1 then 'internal_dup' when h in (select h from hd where doc_id % 5 = 0) then 'exact' when doc_id in (select train_id from pairs where score >= 0.95) then 'near' else 'kept' end as reason from tr)"""
+
+
+@_query(f"with {_REASONS} select count(*) as before, count(*) filter (where reason = 'internal_dup') as internal_dup, count(*) filter (where reason = 'exact') as exact, count(*) filter (where reason = 'near') as near, count(*) filter (where reason = 'kept') as after from rs")
+def removal_counters(spark, sf_dir):
+    return dedup.removal_counters(dedup_reasons(spark, sf_dir))
+
+
+@_query("select coalesce(d.doc_id, l.doc_id) as doc_id, case when l.doc_id is null then 'left' when d.doc_id is null then 'right' else 'both' end as side from (select distinct doc_id from documents) d full join (select distinct doc_id from labels) l on d.doc_id = l.doc_id")
+def set_difference(spark, sf_dir):
+    return dedup.set_difference(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), "doc_id")
+
+
+@_query(f"with {_PROB}, c as (select count(*) filter (where prob >= 0.5 and label = 1) as tp, count(*) filter (where prob >= 0.5 and label = 0) as fp, count(*) filter (where prob < 0.5 and label = 1) as fn, count(*) filter (where prob < 0.5 and label = 0) as tn from s) select *, round((tp + tn) / (tp + fp + fn + tn), 6) as accuracy, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2 * tp / (2 * tp + fp + fn), 6) as f1 from c")
+def detector_scores(spark, sf_dir):
+    return evaluation.scores_at(_scores(spark, sf_dir))
+
+
+@_query(f"with {_PROB}, g as (select prob, count(*) filter (where label = 1) as p, count(*) filter (where label = 0) as n from s group by prob) select prob as threshold, round(sum(p) over (order by prob desc) / sum(p) over (), 6) as tpr, round(sum(n) over (order by prob desc) / sum(n) over (), 6) as fpr from g")
+def roc_points(spark, sf_dir):
+    return evaluation.roc_points(_scores(spark, sf_dir))
 
 
-@_query("select * from (values ('1', 1), ('human', 0), ('AI', 1), ('0.7', 0), ('2', null), ('Human-Written', 0), ('x', null), ('true', 1)) as t(label, y)")
-def label_infer(spark, sf_dir):
-    rows = spark.sql("select * from values ('1'), ('human'), ('AI'), ('0.7'), ('2'), ('Human-Written'), ('x'), ('true') as t(label)")
-    return rows.select("label", T.normalize_label(F.col("label")).alias("y"))
+@_query(f"with {_PROB}, t as (select distinct prob from s), x as (select t.prob, (select min(b.prob) from t b where b.prob > t.prob) as nxt from t), m as (select x.prob, count(*) filter (where s.prob >= x.nxt and s.label = 1) as tp, count(*) filter (where s.prob >= x.nxt) as k, count(*) filter (where s.label = 1) as pos from x, s group by x.prob), f as (select prob, case when k = 0 then 1.0 else tp / k end as a, case when k = 0 then 0.0 else tp / pos end as b from m), q as (select prob, round(2 * a * b / (a + b), 9) as f1 from f where a + b > 0) select arg_max(prob, (f1, -prob)) as threshold, round(max(f1), 6) as f1 from q")
+def best_f1(spark, sf_dir):
+    return evaluation.best_f1(_scores(spark, sf_dir))
+
+
+@_query("select round(1 / (1 + exp(-ln(greatest(least(prob, 1 - 1e-6), 1e-6) / (1 - greatest(least(prob, 1 - 1e-6), 1e-6))) / 2.0)), 6) as calibrated, doc_id from (select doc_id, ((doc_id * 37 + toxic * 23) % 100) / 100.0::double as prob from labels)")
+def temperature(spark, sf_dir):
+    d = _t(spark, sf_dir, "labels").select("doc_id", (((F.col("doc_id") * 37 + F.col("toxic") * 23) % 100) / 100.0).alias("prob"))
+    return evaluation.temperature(d, 2.0).select("doc_id", F.round("calibrated", 6).alias("calibrated"))
+
+
+@_query("select round(regr_slope(l_extendedprice, l_quantity), 6) as slope, round(regr_intercept(l_extendedprice, l_quantity), 6) as intercept from lineitem")
+def trend(spark, sf_dir):
+    return evaluation.trend(_t(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
+
+
+@_query("select round(quantile_cont(n_chars, 0.95), 6) as by_percentile, round(quantile_cont(n_chars, 0.5) + 1.5 * (quantile_cont(n_chars, 0.75) - quantile_cont(n_chars, 0.25)), 6) as robust, round(avg(n_chars) + 1.5 * stddev_pop(n_chars), 6) as moment from documents")
+def cut_points(spark, sf_dir):
+    return evaluation.cut_points(_t(spark, sf_dir, "documents"), "n_chars", 0.95, 1.5, 1.5)
+
+
+@_query("select round(avg(n_chars), 6) as tail_mean from (select n_chars from documents order by doc_id desc limit 5)")
+def tail_mean(spark, sf_dir):
+    return evaluation.tail_mean(_t(spark, sf_dir, "documents"), "doc_id", "n_chars")
+
+
+_RUN = "e as (select turn as epoch, cast(sum(length(text)) as bigint) as value from conversations group by turn)"
+
+
+@_query(f"with {_RUN}, b as (select *, max(value) over (order by epoch) as best, coalesce(value > max(value) over (order by epoch rows between unbounded preceding and 1 preceding), true) as better from e), r as (select *, sum(better::integer) over (order by epoch) as run from b) select epoch, best, better, row_number() over (partition by run order by epoch) - 1 >= 3 as stop from r")
+def early_stopping(spark, sf_dir):
+    """Total text by turn number stands for a score by epoch."""
+    e = _t(spark, sf_dir, "conversations").groupBy(F.col("turn").alias("epoch")).agg(F.sum(F.length("text")).alias("value"))
+    return sequences.early_stopping(e, "epoch", "value", 3).select("epoch", "best", "better", "stop")
+
+
+@_query("""with r as (select conv_id * 1000 + turn as rid, conv_id, turn, role, case when role = 'user' then 0 else 1 end as y from conversations),
+i as (select *, row_number() over (partition by conv_id order by turn) - row_number() over (partition by conv_id, role order by turn) as g from r),
+k as (select *, row_number() over (partition by conv_id, role, g order by md5('11:' || rid), rid) as rk from i), a as (select rid, y from k where rk <= 2),
+b as (select *, row_number() over (partition by y order by md5('11:' || rid), rid) as rk, count(*) over (partition by y) as c from a) select rid, y from b where rk <= (select min(c) from b)""")
+def segment_sample_balance(spark, sf_dir):
+    r = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("rid"), "conv_id", "turn", "role", F.when(F.col("role") == "user", 0).otherwise(1).alias("y"))
+    return sequences.segment_sample(r, "conv_id", "turn", "role", "y", "rid", 2, "11")
+
+
+@_query("with w as (select conv_id, max(turn) - min(turn) + 1 as n, min(turn) as lo from conversations group by conv_id) select c.conv_id, c.turn, (c.turn - lo) // 2 as bucket, case (c.turn - lo) % 2 when 0 then 'random' else 'block' end as strategy from conversations c join w using (conv_id) where (c.turn - lo) // 2 < n // 2")
+def shuffle_deck(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn")
+    lo = c.groupBy("conv_id").agg(F.min("turn").alias("lo"))
+    d = c.join(lo, "conv_id").withColumn("chunk", F.col("turn") - F.col("lo"))
+    return sequences.deck(d, "conv_id", "chunk", ["random", "block"]).select("conv_id", "turn", "bucket", "strategy")
+
+
+@_query("with r as (select doc_id, toxic, row_number() over (partition by toxic order by md5('33:' || doc_id), doc_id) as rk from labels) select doc_id, toxic from r where rk <= 50")
+def class_pool(spark, sf_dir):
+    return sequences.pool(_t(spark, sf_dir, "labels").select("doc_id", "toxic"), "toxic", "doc_id", 100, "33")
+
+
+@_query(r"select page_id, regexp_replace(regexp_replace(url, '(\d+)', '00000000000000000000\1', 'g'), '\d+(\d{20})', '\1', 'g') as k from pages")
+def natural_sort_key(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", T.natural_key(F.col("url")).alias("k"))
+
+
+@_query("select conv_id, turn, concat_ws('_', conv_id::varchar, role, substr(md5(text), 1, 8)) as instance_id from conversations")
+def instance_ids(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", T.instance_id(F.col("conv_id").cast("string"), F.col("role"), F.col("text")).alias("instance_id"))
+
+
+_CLEAN = " or ".join("regexp_matches(coalesce(text, ''), '(?i)" + r.replace("'", "''") + "')" for r in T.REFUSALS)
+
+
+@_query(rf"""with t as (select doc_id, coalesce(text, '') as text from documents) select doc_id, {_CLEAN} as refusal,
+length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) < greatest(10, floor(length(text) * 0.05)) as nonword,
+md5(translate(text, '“”‘’`´', repeat(chr(34), 2) || repeat(chr(39), 4))) as quotes,
+md5(regexp_replace(regexp_replace(regexp_replace(text, '[ \t\r\f\x0b]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')) as tidy,
+md5(regexp_replace(text, '[\s\x0b]*\[\d+(?:[-\x{{2013}}]\d+)?\][\.,]?', '', 'g')) as without_references from t""")
+def clean_flags(spark, sf_dir):
+    """Rules of cleaning: refusals, texts of mostly other signs, plain quotes, tidy space, no reference numbers (as digests)."""
+    t = F.coalesce("text", F.lit(""))
+    m = lambda c: F.md5(F.encode(c, "UTF-8"))
+    return _t(spark, sf_dir, "documents").select("doc_id", T.is_refusal(t).alias("refusal"), T.mostly_nonword(t).alias("nonword"), m(T.plain_quotes(t)).alias("quotes"), m(T.tidy_space(t)).alias("tidy"), m(T.without_reference_numbers(t)).alias("without_references"))
+
+
+@_query("with p as (select label, vec_id, embedding as x, lead(embedding) over (partition by label order by vec_id) as y from embeddings where label is not null), c as (select label, list_sum(list_transform(range(1, 65), lambda i: x[i]::double * y[i])) / sqrt(list_sum(list_transform(x, lambda v: v::double * v))) / sqrt(list_sum(list_transform(y, lambda v: v::double * v))) as c from p where y is not null) select label, round(avg(c), 6) as cohesion from c group by label")
+def vector_cohesion(spark, sf_dir):
+    """Mean cosine of neighbouring vectors of a label; neighbours are met by a window on the id within the label."""
+    from pyspark.sql import Window
+
+    e = _t(spark, sf_dir, "embeddings").where("label is not null").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    p = e.withColumn("y", F.lead("x").over(Window.partitionBy("label").orderBy("vec_id"))).where("y is not null")
+    return p.groupBy("label").agg(F.round(F.avg(T.cosine(F.col("x"), F.col("y"))), 6).alias("cohesion"))
 
 
 def queries() -> dict:
