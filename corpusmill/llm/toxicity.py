@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 # Insults that stand in the lexicon whatever the labels say (a trailing * matches as a
 # stem), phrases in which such a word is no insult, look-alike letters, and digits read as letters.
 SEEDS = (
@@ -30,6 +32,8 @@ _TABLE: dict = {}
 _MIXED = re.compile(r"[^\W\d_](?:[\d@$!|]+[^\W\d_])+|[\d@$|]+[^\W\d_](?:[\d@$!|]*[^\W\d_])*")
 _WIDE = re.compile(r"(?<![\d@$!|])[\d@$!|]*+[^\W\d_](?:[\d@$!|]*[^\W\d_])*[\d@$]*")
 
+_SIGNED = re.compile(r"(?<!\S)[^\s\d@$!|]*+[\d@$!|]\S*+")
+
 
 def _fold_char(c: str) -> str:
     """A lower-case base letter or digit; any other character becomes a space, a zero-width one or an accent vanishes."""
@@ -54,17 +58,20 @@ def fold(text: str) -> str:
     """
     if not _TABLE:
         _TABLE["t"] = _Folding()
-    if _MIXED.search(text):
-        text = _MIXED.sub(lambda m: "".join(DIGITS.get(c, c) for c in m[0]), text)
-    return text.translate(_TABLE["t"])
+    letters = lambda m: "".join(DIGITS.get(c, c) for c in m[0])
+    return _SIGNED.sub(lambda m: _MIXED.sub(letters, m[0]), text).translate(_TABLE["t"])
 
 
 def widely(text: str, folded: str) -> str | None:
     """The other reading of fold(text): all digits and signs at a word's start and end are letters too (whor3, dumba$$, !d10t). None if it is the same.
 
-    A sign is one character in either reading, so places agree.
+    A sign is one character in either reading, so places agree. Only words that hold a digit or sign are read again.
     """
-    wide = _WIDE.sub(lambda m: "".join(DIGITS.get(c, c) for c in m[0]), text).translate(_TABLE["t"])
+    letters = lambda m: "".join(DIGITS.get(c, c) for c in m[0])
+    again = _SIGNED.sub(lambda m: _WIDE.sub(letters, m[0]), text)
+    if again == text:
+        return None
+    wide = again.translate(_TABLE["t"])
     return None if wide == folded else wide
 
 
@@ -168,6 +175,7 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         yield pa.RecordBatch.from_arrays([pa.array(["", *toxic, *other]), pa.array([n[1], *toxic.values(), *[0] * len(other)], pa.int64()), pa.array([n[0], *[0] * len(toxic), *other.values()], pa.int64())], names=["gram", "t", "o"])
 
     grams = sample.mapInArrow(count, "gram string, t long, o long").groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    grams = written(grams)
     total = grams.where("gram = ''").first()
     entries = {s: 3.0 for s in SEEDS}
     if total is None or not total["o"] or not total["t"]:
