@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.functions import metrics
-from corpusmill.operators import dedup, evaluation, neardup, perturb, sequences
+from corpusmill.operators import cleaning, dedup, evaluation, neardup, perturb, sequences
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -395,6 +395,19 @@ def clean_flags(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", T.is_refusal(t).alias("refusal"), T.mostly_nonword(t).alias("nonword"), m(T.plain_quotes(t)).alias("quotes"), m(T.tidy_space(t)).alias("tidy"), m(T.without_reference_numbers(t)).alias("without_references"))
 
 
+@_query()
+def clean_pipeline(spark, sf_dir):
+    """The seven passes of cleaning over every text: the cleaned text's digest, or the pass that drops it."""
+    d = cleaning.judged(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return d.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("cleaned"), F.length("text").cast("long").alias("n_chars"), F.col("__dropped_at").alias("dropped_at"))
+
+
+@_query()
+def clean_counters(spark, sf_dir):
+    """Over the turns of conversations, which are short: most go for their length."""
+    return cleaning.clean_counters(_t(spark, sf_dir, "conversations"), "text")
+
+
 @_query("with p as (select label, vec_id, embedding as x, lead(embedding) over (partition by label order by vec_id) as y from embeddings where label is not null), c as (select label, list_sum(list_transform(range(1, 65), lambda i: x[i]::double * y[i])) / sqrt(list_sum(list_transform(x, lambda v: v::double * v))) / sqrt(list_sum(list_transform(y, lambda v: v::double * v))) as c from p where y is not null) select label, round(avg(c), 6) as cohesion from c group by label")
 def vector_cohesion(spark, sf_dir):
     """Mean cosine of neighbouring vectors of a label; neighbours are met by a window on the id within the label."""
