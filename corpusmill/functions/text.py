@@ -164,3 +164,72 @@ def parse_option(option):
     at = F.regexp_extract(option, r"^(.*)_([^_]*)$", 2)
     whole = ~option.contains("_")
     return F.struct(F.when(whole, option).otherwise(F.regexp_extract(option, r"^(.*)_([^_]*)$", 1)).alias("name"), F.when(whole, 0.0).otherwise(F.coalesce(at.try_cast("double"), F.lit(0.0))).alias("strength"))
+
+
+def dataset_name(file):
+    """dataset, seed, split of a file's name: 'x-test' is the test set, 'x-seed7-train' a training set; any other is 'other' without a seed."""
+    name = F.regexp_replace(file, r"\.jsonl", "")
+    train = r"^(.*)-seed(\d+)-train$"
+    is_test, is_train = name.endswith("-test"), name.rlike(train)
+    return F.struct(
+        F.when(is_test, F.regexp_replace(name, "-test$", "")).when(is_train, F.regexp_extract(name, train, 1)).otherwise(name).alias("dataset"),
+        F.when(is_test, "fixed").when(is_train, F.regexp_extract(name, train, 2)).alias("seed"),
+        F.when(is_test, "test").when(is_train, "train").otherwise("other").alias("split"),
+    )
+
+
+def joined_references(sentences):
+    """Sentences in which a bare reference such as '[3].' is put before the next one, whatever that is; one at the end goes."""
+    held = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("held"))
+
+    def step(a, s):
+        free = a["held"].isNull()
+        bare = free & s.rlike(r"^\[\d+\][.,]?$")
+        whole = F.when(free, s).otherwise(F.concat_ws(" ", a["held"], s))
+        return F.struct(F.when(bare, a["out"]).otherwise(F.concat(a["out"], F.array(whole))).alias("out"), F.when(bare, s).alias("held"))
+
+    return F.aggregate(sentences, held, step, lambda a: a["out"])
+
+
+def joined_short(scored, ppl: float, ll: float, longest: int = 6):
+    """Texts of an array of (text, ll, ppl): a sentence after the first joins the one before if both its own scores are above the bounds and it has at most `longest` words."""
+    short = lambda s: F.size(raw_words(s["text"])) <= longest
+    none = F.array().cast("array<string>")
+
+    def step(out, s):
+        n = F.size(out)
+        last = F.concat_ws(" ", F.get(out, n - 1), s["text"])
+        return F.when((n > 0) & (s["ppl"] > ppl) & (s["ll"] > ll) & short(s), F.concat(F.slice(out, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(last))).otherwise(F.concat(out, F.array(s["text"])))
+
+    return F.aggregate(scored, none, step)
+
+
+# By what a metric is divided for a figure, which ones a figure of pairs leaves out, and short names of models.
+DIVISORS = {"ManhattanDist": 100.0, "EuclideanDist": 10.0, "AvgSentenceLenDiff": 30.0}
+LEFT_OUT = ("AvgSentenceLenDiff", "SentenceCountDiff", "TokenOverlap", "POSOverlap")
+MODEL_NAMES = {
+    "t5-small_group_": ("S", "Small"),
+    "t5-base_group_": ("B", "Base"),
+    "t5-large_group_": ("L", "Large"),
+    "t5-base_random_": ("R", "R"),
+    "t5-base_reorder_": ("r", "r"),
+    "t5-base_tau_": ("b", "b"),
+}
+
+
+def scaled_metric(metric, value):
+    """A pair's metric on the scale of figures."""
+    c = F.when(F.lit(False), value)
+    for name, by in DIVISORS.items():
+        c = c.when(metric == name, value / by)
+    return c.otherwise(value)
+
+
+def scaled_delta(metric, delta):
+    return F.when(metric == "HierarchicalDensity", delta * 10).otherwise(delta)
+
+
+def model_label(model, long: bool = False):
+    for name, labels in MODEL_NAMES.items():
+        model = F.replace(model, F.lit(name), F.lit(labels[long]))
+    return model

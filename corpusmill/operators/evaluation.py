@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import LEFT_OUT, scaled_delta, scaled_metric
+
 
 def confusion(df: DataFrame, threshold: float = 0.5, inclusive: bool = True) -> DataFrame:
     p = (F.col("prob") >= threshold) if inclusive else (F.col("prob") > threshold)
@@ -74,3 +78,41 @@ def cut_points(df: DataFrame, value: str, percent: float, iqr: float, sigma: flo
 def tail_mean(df: DataFrame, order: str, value: str, n: int = 5) -> DataFrame:
     """Mean of the last n values."""
     return df.orderBy(F.desc(order)).limit(n).agg(F.round(F.avg(value), 6).alias("tail_mean"))
+
+
+def fit_temperature(df: DataFrame, steps: int = 80, rate: float = 0.05) -> float:
+    """The temperature that Adam finds for the log loss of (label, prob) in `steps` steps: that after the step with the lowest loss; 1 if it leaves (0, 1000) or there are no rows.
+
+    Rows are counted by label and score once; each step is one aggregate of two sums over the counts, which are cached.
+    """
+    p = F.least(F.greatest(F.col("prob"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    counts = df.where("prob is not null and label in (0, 1)").groupBy(F.ln(p / (1 - p)).alias("z"), F.col("label").cast("double").alias("y")).agg(F.count(F.lit(1)).alias("c")).persist()
+    try:
+        s, m, v, best, found = 0.0, 0.0, 0.0, math.inf, 1.0
+        for step in range(1, steps + 1):
+            t = math.log1p(math.exp(s)) + 1e-6
+            x = F.col("z") / t
+            miss = 1 / (1 + F.exp(-x)) - F.col("y")
+            n, loss, slope = counts.agg(F.sum("c"), F.sum(F.col("c") * (F.greatest(x, F.lit(0.0)) - x * F.col("y") + F.log1p(F.exp(-F.abs(x))))), F.sum(F.col("c") * miss * -x / t)).first()
+            if not n:
+                return 1.0
+            g = slope / n / (1 + math.exp(-s))
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            s -= rate * (m / (1 - 0.9**step)) / (math.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            if loss / n < best:
+                best, found = loss / n, math.log1p(math.exp(s)) + 1e-6
+        return found if 0 < found < 1000 else 1.0
+    finally:
+        counts.unpersist()
+
+
+def pair_means(df: DataFrame) -> DataFrame:
+    """metric, model, mean of (metric, model, value) on the scale of figures, without the metrics that figures leave out."""
+    kept = df.where(~F.col("metric").isin(*LEFT_OUT)).withColumn("value", scaled_metric(F.col("metric"), F.col("value")))
+    return kept.groupBy("metric", "model").agg(F.avg("value").alias("mean"))
+
+
+def delta_means(df: DataFrame) -> DataFrame:
+    """metric, model, mean of how far prediction is from reference, in (metric, model, prediction, reference)."""
+    d = df.withColumn("delta", scaled_delta(F.col("metric"), F.col("prediction") - F.col("reference")))
+    return d.groupBy("metric", "model").agg(F.avg("delta").alias("mean"))

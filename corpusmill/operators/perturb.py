@@ -7,6 +7,9 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions import rewrite
+from corpusmill.functions.metrics import sentences as split
+
 SEED = 42
 # Fixed values.
 PASSIVE_TAIL, NOMINAL_HEAD = " , which is reported by prior work .", "The analysis of "
@@ -53,3 +56,54 @@ def marked(sentences: Column, strength: float, kind: str, longest: int = 4096) -
     words = lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != ""))
     new = (lambda s: F.concat(s, F.lit(PASSIVE_TAIL))) if kind == "passive" else (lambda s: F.concat(F.lit(NOMINAL_HEAD), s))
     return F.transform(sentences, lambda s, i: F.when((words(s) > 6) & F.get(hit, i % (longest if strength > 0 else 1)), new(s)).otherwise(s))
+
+
+def _ordered(sentences: list[str], strength: float, order) -> list[str]:
+    return [sentences[i] for i in order(len(sentences), strength)]
+
+
+def _framed(sentences: list[str], strength: float, new) -> list[str]:
+    draw = random.Random(SEED)
+    return [new(s) if strength > 0 and draw.random() < strength and len(s.split()) > 6 else s for s in sentences]
+
+
+#: Strategies by the name an option carries.
+STRATEGIES = {
+    "none": lambda s, p: s,
+    "global_shuffle": lambda s, p: _ordered(s, p, global_order),
+    "block_shuffle": lambda s, p: _ordered(s, p, block_order),
+    "intra_shuffle": rewrite.window_shuffled,
+    "function_word_sub": rewrite.function_words,
+    "passive": lambda s, p: _framed(s, p, lambda x: x + PASSIVE_TAIL),
+    "nominal": lambda s, p: _framed(s, p, lambda x: NOMINAL_HEAD + x),
+    "synonym": rewrite.synonyms,
+}
+
+
+def applied(sentences: list[str], option: str) -> list[str]:
+    """sentences under an option such as 'synonym_0.20'; an unknown one raises."""
+    name, _, strength = option.rpartition("_")
+    try:
+        p = float(strength)
+    except ValueError:
+        p = 0.0
+    return STRATEGIES[name or option](sentences, p)
+
+
+def layered(df: DataFrame, id_col: str, text_col: str, choose) -> DataFrame:
+    """id, reordered, perturbed: order, syntax and words are perturbed in turn by choose(layer, text so far, its options); `reordered` is the text after the first."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            first, last = [], []
+            for text in b.column(1).to_pylist():
+                s = split(text or "")
+                for layer, options in rewrite.LAYERS.items():
+                    s = applied(s, choose(layer, " ".join(s), options))
+                    if layer == "O":
+                        first.append(" ".join(s))
+                last.append(" ".join(s))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(first, pa.string()), pa.array(last, pa.string())], names=[id_col, "reordered", "perturbed"])
+
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, reordered string, perturbed string")

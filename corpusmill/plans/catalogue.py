@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.functions import metrics
+from corpusmill.functions import metrics, rewrite
 from corpusmill.operators import cleaning, dedup, evaluation, neardup, perturb, sequences
 
 _Q: dict = {}
@@ -418,6 +418,130 @@ def vector_cohesion(spark, sf_dir):
     return p.groupBy("label").agg(F.round(F.avg(T.cosine(F.col("x"), F.col("y"))), 6).alias("cohesion"))
 
 
+_FILE = "n as (select doc_id, case doc_id % 4 when 0 then source || '-test.jsonl' when 1 then source || '-seed' || (doc_id % 7) || '-train.jsonl' when 2 then source || '.jsonl' else lang || '-seed' || (doc_id % 3) || '-train.jsonl' end as file from documents), f as (select file, case when file like '%-test.jsonl' then regexp_replace(file, '-test.jsonl$', '') when regexp_matches(file, '-seed[0-9]+-train.jsonl$') then regexp_replace(file, '-seed[0-9]+-train.jsonl$', '') else replace(file, '.jsonl', '') end as dataset, case when file like '%-test.jsonl' then 'fixed' when regexp_matches(file, '-seed[0-9]+-train.jsonl$') then regexp_extract(file, '-seed([0-9]+)-train.jsonl$', 1) end as seed, case when file like '%-test.jsonl' then 'test' when regexp_matches(file, '-seed[0-9]+-train.jsonl$') then 'train' else 'other' end as split from n group by all)"
+
+
+def _files(spark, sf_dir):
+    """Names as data sets are stored under, made of the documents' columns."""
+    i, src, tail = F.col("doc_id"), F.col("source"), F.lit("-train.jsonl")
+    name = F.when(i % 4 == 0, F.concat(src, F.lit("-test.jsonl"))).when(i % 4 == 1, F.concat(src, F.lit("-seed"), (i % 7).cast("string"), tail)).when(i % 4 == 2, F.concat(src, F.lit(".jsonl"))).otherwise(F.concat("lang", F.lit("-seed"), (i % 3).cast("string"), tail))
+    return _t(spark, sf_dir, "documents").select(name.alias("file")).distinct().select("file", T.dataset_name(F.col("file")).alias("d")).select("file", "d.*")
+
+
+@_query(f"with {_FILE} select * from f")
+def file_names(spark, sf_dir):
+    return _files(spark, sf_dir)
+
+
+@_query(f"with {_FILE}, tr as (select dataset, seed, file as train from f where split = 'train'), te as (select dataset, max(file) as test from f where split = 'test' group by dataset) select coalesce(tr.dataset, te.dataset) as dataset, seed, train, test, case when test is null then 'missing_test' when train is null then 'missing_train' end as problem from tr full join te on tr.dataset = te.dataset")
+def file_pairs(spark, sf_dir):
+    return dedup.paired_files(_files(spark, sf_dir))
+
+
+@_query("""with a as (select doc_id, lang, source, n_chars from documents), b as (select doc_id, lang, case when doc_id % 11 = 0 then upper(source) else source end as source, n_chars + (doc_id % 13 = 0)::int as n_chars from a where doc_id % 7 <> 0 union all select -1 - doc_id, lang, source, n_chars from a where doc_id % 17 = 0)
+select coalesce(a.doc_id, b.doc_id) as doc_id, case when b.doc_id is null then 'missing' when a.doc_id is null then 'extra' else 'differs' end as verdict, case when a.doc_id is null or b.doc_id is null then null when a.source is distinct from b.source then 'source' else 'n_chars' end as field
+from a full join b on a.doc_id = b.doc_id where a.doc_id is null or b.doc_id is null or a.source is distinct from b.source or a.n_chars is distinct from b.n_chars""")
+def record_diff(spark, sf_dir):
+    a, i = _t(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), F.col("doc_id")
+    b = a.where("doc_id % 7 <> 0").select("doc_id", "lang", F.when(i % 11 == 0, F.upper("source")).otherwise(F.col("source")).alias("source"), (F.col("n_chars") + (i % 13 == 0).cast("int")).alias("n_chars"))
+    return dedup.record_diff(a, b.unionByName(a.where("doc_id % 17 = 0").withColumn("doc_id", -1 - i)), "doc_id")
+
+
+_NESTED = f"""c as (select conv_id, turn, role, coalesce(text, '') as text, sha1({_LIGHT}) as h from conversations where text is not null), te as (select h from c where conv_id % 10 = 9),
+tr as (select conv_id as item, turn, h, true as is_human, '' as role from c where conv_id % 10 <> 9 and conv_id % 3 = 0 qualify row_number() over (partition by conv_id order by turn) = 1 union all select conv_id, turn, h, false, role from c where conv_id % 10 <> 9 and conv_id % 3 <> 0),
+rk as (select *, row_number() over (partition by is_human, case when is_human then 0 else item end, role, h order by item, turn) as rn from tr),
+re as (select item, is_human, case when rn > 1 then 'internal_dup' when h in (select h from te) then 'exact' else 'kept' end as reason from rk)"""
+
+
+def _nested(spark, sf_dir):
+    """Conversations as nested records: every third is a human text, its first turn; the others hold their turns by role."""
+    c = _t(spark, sf_dir, "conversations").where("text is not null")
+    turns = lambda who: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == who, F.struct("turn", "text")))), lambda x: x["text"])
+    roles = [F.struct(F.lit(r).alias("k"), F.create_map(F.lit("direct"), turns(r)).alias("v")) for r in ("user", "assistant", "system")]
+    g = c.where("conv_id % 10 <> 9").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"), F.map_from_entries(F.array(*roles)).alias("label"))
+    records = g.withColumn("data_type", F.when(F.col("conv_id") % 3 == 0, "document").otherwise("generated"))
+    return records, dedup.nested_reasons(dedup.nested_texts(records, "conv_id"), dedup.hashed(c.where("conv_id % 10 = 9"), "conv_id", "text"))
+
+
+@_query(f"with {_NESTED} select (select count(distinct item) from tr) as train_before, " + ", ".join(f"count(*) filter (where is_human = {h} and reason = '{r}') as {w}_{r}" for w, h in (("human", "true"), ("gen", "false")) for r in ("internal_dup", "exact")) + ", 0 as human_near, 0 as gen_near, (select count(distinct item) from tr) - count(*) filter (where is_human and reason <> 'kept') as train_after from re")
+def nested_removal(spark, sf_dir):
+    return dedup.nested_counters(*_nested(spark, sf_dir))
+
+
+@_query(f"with {_NESTED} select item as conv_id, count(*) filter (where reason = 'kept') as n_texts from re group by item having not bool_or(is_human and reason <> 'kept')")
+def nested_filtered(spark, sf_dir):
+    records, reasons = _nested(spark, sf_dir)
+    n = F.aggregate(F.map_values("label"), F.lit(0).cast("long"), lambda a, m: a + F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda b, x: b + F.size(x)))
+    return dedup.nested_filtered(records, reasons, "conv_id").select("conv_id", F.when(F.col("data_type") == "document", F.lit(1).cast("long")).otherwise(n).alias("n_texts"))
+
+
+_OVERLAP = "(select coalesce(sum(least(a.c, b.c)), 0)::bigint from (select {0} as h, count(*) as c from n where doc_id % 5 = 0 group by 1) a join (select {0} as h, count(*) as c from n where doc_id % 5 <> 0 group by 1) b on a.h = b.h)"
+_DUPS = "(select coalesce(sum(c - 1), 0)::bigint from (select count(*) as c from n where doc_id % 5 {0} 0 group by light))"
+
+
+@_query(f"with {_PAIRS} select (select count(*) from n where doc_id % 5 <> 0) as train_n, (select count(*) from n where doc_id % 5 = 0) as test_n, {_DUPS.format('<>')} as train_internal_dup_items_light, {_DUPS.format('=')} as test_internal_dup_items_light, {_OVERLAP.format('light')} as exact_overlap_light, {_OVERLAP.format('strict')} as exact_overlap_strict, count(*) filter (where score >= 0.9) as near_ge_90_pairs, count(*) filter (where score >= 0.8) as near_ge_80_pairs, count(*) as near_candidates_total from pairs")
+def leakage_report(spark, sf_dir):
+    """The counts of a leakage report's row; every part is one row, so the joins broadcast one row each."""
+    test, train = _split(spark, sf_dir)
+    h = {(n, s): dedup.hashed(d, "doc_id", "text", s) for n, d in (("test", test), ("train", train)) for s in (False, True)}
+    size = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
+    out = size(train, "train_n")
+    parts = [size(test, "test_n")]
+    parts += [dedup.dup_groups(h[n, False]).select(F.col("dup_items").alias(f"{n}_internal_dup_items_light")) for n in ("train", "test")]
+    parts += [dedup.exact_overlap(h["test", s], h["train", s]).select(F.col("overlap").alias(f"exact_overlap_{'strict' if s else 'light'}")) for s in (False, True)]
+    s = F.col("score")
+    parts.append(neardup.near_pairs(test, train, "doc_id", "text").agg(F.count_if(s >= 0.9).alias("near_ge_90_pairs"), F.count_if(s >= 0.8).alias("near_ge_80_pairs"), F.count(F.lit(1)).alias("near_candidates_total")))
+    for p in parts:
+        out = out.join(F.broadcast(p))
+    return out
+
+
+_METRIC = "m as (select case turn % 3 when 0 then 'ManhattanDist' when 1 then 'EuclideanDist' else 'TokenOverlap' end as metric, case role when 'user' then 't5-base_group_1' else 't5-small_group_2' end as model, length(coalesce(text, ''))::double as value from conversations)"
+
+
+@_query(f"with {_METRIC} select metric, replace(replace(model, 't5-base_group_', 'Base'), 't5-small_group_', 'Small') as label, round(avg(case metric when 'ManhattanDist' then value / 100 else value / 10 end), 6) as mean from m where metric <> 'TokenOverlap' group by 1, 2")
+def figure_means(spark, sf_dir):
+    """Lengths of turns stand for metrics of pairs."""
+    t = F.col("turn") % 3
+    m = _t(spark, sf_dir, "conversations").select(F.when(t == 0, "ManhattanDist").when(t == 1, "EuclideanDist").otherwise("TokenOverlap").alias("metric"), F.when(F.col("role") == "user", "t5-base_group_1").otherwise("t5-small_group_2").alias("model"), F.length(F.coalesce("text", F.lit(""))).cast("double").alias("value"))
+    return evaluation.pair_means(m).select("metric", T.model_label(F.col("model"), long=True).alias("label"), F.round("mean", 6).alias("mean"))
+
+
+@_query("select case quality % 2 when 0 then 'HierarchicalDensity' else 'Other' end as metric, 't5-base_tau_' || (doc_id % 5) as model, round(avg((toxic - quality) * case quality % 2 when 0 then 10.0 else 1.0 end), 6) as mean from labels group by 1, 2")
+def figure_deltas(spark, sf_dir):
+    """Labels stand for a prediction's and a reference's metrics."""
+    d = _t(spark, sf_dir, "labels").select(F.when(F.col("quality") % 2 == 0, "HierarchicalDensity").otherwise("Other").alias("metric"), F.concat(F.lit("t5-base_tau_"), (F.col("doc_id") % 5).cast("string")).alias("model"), F.col("toxic").alias("prediction"), F.col("quality").alias("reference"))
+    return evaluation.delta_means(d).withColumn("mean", F.round("mean", 6))
+
+
+@_query()
+def fitted_temperature(spark, sf_dir):
+    """Calibrates by the temperature that fits the scores."""
+    d = _scores(spark, sf_dir).select("label", "prob")
+    return d.agg(F.count(F.lit(1)).alias("n")).withColumn("temperature", F.round(F.lit(evaluation.fit_temperature(d)), 4))
+
+
+@_query()
+def joined_sentences(spark, sf_dir):
+    """Sentences of documents with bare references joined to the next, then short ones to the one before, scored by their length."""
+    s = T.joined_references(T.sentences(F.col("text")))
+    scored = F.transform(s, lambda x: F.struct(x.alias("text"), (-F.length(x) / 10.0).alias("ll"), (F.lit(1000.0) / F.length(x)).alias("ppl")))
+    return _t(spark, sf_dir, "documents").select("doc_id", T.joined_short(scored, 30.0, -4.0).alias("sentences"))
+
+
+@_query()
+def layered_perturbation(spark, sf_dir):
+    """Order, syntax and words of whole documents perturbed by the strongest option of each layer."""
+    return perturb.layered(_t(spark, sf_dir, "documents"), "doc_id", "text", lambda layer, text, options: options[-1])
+
+
+@_query()
+def all_shuffles(spark, sf_dir):
+    """The five shuffles of every sentence of the conversations."""
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.sentences(F.col("text"))).alias("i", "sentence"))
+    return c.select("conv_id", "turn", "i", rewrite.shuffles(F.concat_ws("_", "conv_id", "turn", "i"), F.col("sentence")).alias("shuffled"))
+
+
 def queries() -> dict:
     return dict(_Q)
 

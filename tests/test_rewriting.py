@@ -1,0 +1,155 @@
+"""Perturbations, shuffles, merges, nested duplicates, diffs and calibration on small tables with results by hand or by brute force."""
+
+import itertools
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusmill.functions import rewrite as W
+from corpusmill.functions import text as T
+from corpusmill.operators import dedup, evaluation, perturb
+
+
+def naive_tau(order):
+    pairs = list(itertools.combinations(range(len(order)), 2))
+    return sum(1 if order[i] < order[j] else -1 for i, j in pairs) / len(pairs)
+
+
+def test_rank_correlation_against_brute_force():
+    r = random.Random(3)
+    for n in range(2, 30):
+        order = r.sample(range(n), n)
+        assert math.isclose(W.kendall_tau(order), naive_tau(order))
+    assert W.kendall_tau([]) == W.kendall_tau([0]) == 1.0
+
+
+def test_shuffles(spark):
+    words = [f"word{i}" for i in range(40)]
+    for target in (0.0, 0.2):
+        got = W.tau_shuffled(words, target, random.Random(1))
+        assert sorted(got) == sorted(words) and abs(W.kendall_tau([words.index(w) for w in got]) - target) < 0.15
+    assert W.tau_shuffled(["a"], 0.5, random.Random(1)) == ["a"] and W.tau_shuffled([], 0.5, random.Random(1)) == []
+    got = W.scrambled(words, random.Random(1), 1.0)
+    assert sorted("".join(sorted(w)) for w in got) == sorted("".join(sorted(w)) for w in words) and got != words
+    assert W.dissimilarity(["a", "b"], ["a", "b"]) == 0 and W.dissimilarity(["a", "b"], ["c", "d"], lambda a, b: 0.0) == pytest.approx(1.0)
+    assert W.best_scrambled(["a", "b"], random.Random(1), trials=50) == ["a", "b"]  # the order as it was scores 0
+    d = spark.createDataFrame([(1, "one two three four five"), (1, "one two three four five"), (2, ""), (3, None)], "id int, s string").repartition(3)
+    rows = d.select("id", W.shuffles(F.col("id"), F.col("s")).alias("m")).collect()
+    by = {r["id"]: r["m"] for r in rows}
+    assert all(r["m"] == by[r["id"]] for r in rows) and set(by[1]) == {"tau_0.2", "tau_0.5", "tau_0.8", "random", "aggressive"}
+    assert set(by[2].values()) == set(by[3].values()) == {""} and sorted(by[1]["random"].split()) == ["five", "four", "one", "three", "two"]
+
+
+def test_perturbations(spark):
+    s = ["The important method and the novel results of it.", "Short one here.", "Improve, demonstrate because of rain in town"]
+    moved = W.window_shuffled(s, 0.5)
+    assert moved[1] == s[1] and [sorted(x.split()) for x in moved] == [sorted(x.split()) for x in s] and moved != s
+    assert W.window_shuffled(s, 0.0) == W.function_words(s, 0.0) == W.synonyms(s, 0.0) == s
+    gone = W.function_words(s, 1.0)
+    assert all(w in ("regarding", "within", "as", "well", "along", "with") or w.lower() not in W.FUNCTION_WORDS for x in gone for w in x.split())
+    other = W.synonyms(s, 1.0)
+    assert other[1] == s[1] and other[2].split()[0] in ("Enhance", "Boost") and "important" not in other[0]
+    assert perturb.applied(s, "none") == perturb.applied(s, "synonym_x") == s and perturb.applied(s, "passive_1.0")[0] == s[0] + perturb.PASSIVE_TAIL
+    for layer in W.LAYERS.values():
+        for option in layer:
+            assert len(perturb.applied(s, option)) == 3
+    with pytest.raises(KeyError):
+        perturb.applied(s, "unknown_1.0")
+    d = spark.createDataFrame([(1, " ".join(s)), (2, None), (2, "")], "id int, text string")
+    got = perturb.layered(d, "id", "text", lambda layer, text, options: "nominal_1.0" if layer == "S" else "none").collect()
+    assert [(r["reordered"], r["perturbed"]) for r in got if r["id"] == 1] == [(" ".join(s), perturb.NOMINAL_HEAD + s[0] + " " + s[1] + " " + perturb.NOMINAL_HEAD + s[2])]
+    assert [r["perturbed"] for r in got if r["id"] == 2] == ["", ""]
+    assert spark.createDataFrame([(s,), (None,)], "s array<string>").select(W.on_lists(F.col("s"), W.synonyms, 1.0)).collect()[0][0] == other
+
+
+def test_marked_agrees_with_its_strategy(spark):
+    s = ["one two three four five six seven"] * 20
+    got = spark.createDataFrame([(s,)], "s array<string>").select(perturb.marked(F.col("s"), 0.4, "passive")).first()[0]
+    assert got == perturb.applied(s, "passive_0.4")
+
+
+@pytest.mark.parametrize(
+    "given, want",
+    [(["[1]", "A.", "B."], ["[1] A.", "B."]), (["A.", "[2]."], ["A."]), (["[1]", "[2]", "A."], ["[1] [2]", "A."]), ([], []), (["x [1]", "[12],", "B"], ["x [1]", "[12], B"])],
+)
+def test_references_join_the_next(spark, given, want):
+    assert spark.createDataFrame([(given,)], "s array<string>").select(T.joined_references(F.col("s"))).first()[0] == want
+
+
+def test_short_sentences_join_the_one_before(spark):
+    rows = [("a", 9.0, 9.0), ("b c", 9.0, 9.0), ("d", 1.0, 9.0), ("e", 9.0, 1.0), ("f g h i j k l", 9.0, 9.0), ("m", 9.0, 9.0), ("n", 9.0, 9.0)]
+    d = spark.createDataFrame([(rows,), ([],)], "s array<struct<text:string,ll:double,ppl:double>>")
+    assert [r[0] for r in d.select(T.joined_short(F.col("s"), 5.0, 5.0)).collect()] == [["a b c", "d", "e", "f g h i j k l m n"], []]
+
+
+def test_file_names(spark):
+    names = ["x-test.jsonl", "x-seed11-train.jsonl", "x-y-seed2-train.jsonl", "other.jsonl"]
+    d = spark.createDataFrame([(n,) for n in names], "file string").select("file", T.dataset_name(F.col("file")).alias("d")).select("file", "d.*")
+    assert [tuple(r)[1:] for r in d.collect()] == [("x", "fixed", "test"), ("x", "11", "train"), ("x-y", "2", "train"), ("other", None, "other")]
+    assert {(r["dataset"], r["problem"]) for r in dedup.paired_files(d).collect()} == {("x", None), ("x-y", "missing_test")}
+
+
+def test_nested_duplicates(spark):
+    schema = "id int, data_type string, text string, label map<string,map<string,array<string>>>"
+    rows = [
+        (1, "story", "Same", None),
+        (2, "story", "same ", None),
+        (3, "story", "Known", None),
+        (4, "Story", None, {"m": {"a": ["x", "X", "known", None, "near", "y"], "b": ["x"], "c": []}, "n": {}}),
+        (5, "gen", None, {"m": {"a": ["x", "same"]}}),
+        (6, None, None, None),
+    ]
+    d = spark.createDataFrame(rows, schema)
+    texts = lambda *t: dedup.hashed(spark.createDataFrame([(0, x) for x in t], "i int, t string"), "i", "t")
+    r = dedup.nested_reasons(dedup.nested_texts(d, "id"), texts("known"), texts("near"))
+    got = dedup.nested_counters(d, r).first().asDict()
+    assert got == {"train_before": 6, "human_internal_dup": 1, "human_exact": 1, "human_near": 0, "gen_internal_dup": 1, "gen_exact": 1, "gen_near": 1, "train_after": 4}
+    kept = {x["id"]: x["label"] for x in dedup.nested_filtered(d, r, "id").collect()}
+    assert kept == {1: None, 4: {"m": {"a": ["x", "y"], "b": ["x"], "c": []}, "n": {}}, 5: {"m": {"a": ["x", "same"]}}, 6: None}
+    empty = d.where("false")
+    assert dedup.nested_counters(empty, dedup.nested_reasons(dedup.nested_texts(empty, "id"), texts("known"))).first()["train_after"] == 0
+
+
+def test_record_diff(spark):
+    a = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "c", 1), (4, "d", 1)], "k int, x string, y int")
+    b = spark.createDataFrame([(1, "a", None), (2, "B", 2), (3, "c", None), (5, "e", 1)], "k int, x string, y int")
+    assert sorted(map(tuple, dedup.record_diff(a, b, "k").collect())) == [(2, "differs", "x"), (3, "differs", "y"), (4, "missing", None), (5, "extra", None)]
+    assert dedup.record_diff(a, a, "k").count() == 0
+
+
+def plain_adam(loss, steps=80, rate=0.05):
+    """The same search with slopes taken from differences."""
+    soft = lambda s: math.log1p(math.exp(s)) + 1e-6
+    s = m = v = 0.0
+    seen = []
+    for k in range(1, steps + 1):
+        g = (loss(soft(s + 1e-5)) - loss(soft(s - 1e-5))) / 2e-5
+        m, v, now = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, loss(soft(s))
+        s -= rate * m / (1 - 0.9**k) / (math.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        seen.append((now, soft(s)))
+    return min(seen)[1]
+
+
+def test_fitted_temperature(spark):
+    r = random.Random(5)
+    for sure in (1.0, 1.5, 2.5):  # by which factor the scores are too sure; the search ends before it reaches the last
+        logits = [r.gauss(0, 2) for _ in range(1500)]
+        rows = [(int(r.random() < 1 / (1 + math.exp(-z))), 1 / (1 + math.exp(-sure * z))) for z in logits]
+        known = [(y, math.log(q / (1 - q))) for y, p in rows for q in (min(max(p, 1e-6), 1 - 1e-6),)]
+        loss = lambda t: sum(math.log1p(math.exp(-(z if y else -z) / t)) for y, z in known) / len(known)  # noqa: B023, E731
+        got = evaluation.fit_temperature(spark.createDataFrame(rows, "label int, prob double"))
+        assert math.isclose(got, plain_adam(loss), abs_tol=1e-3)
+        if sure < 2:
+            assert loss(got) <= min(loss(got * 0.9), loss(got * 1.1))
+    assert evaluation.fit_temperature(spark.createDataFrame([], "label int, prob double")) == 1.0
+
+
+def test_figures(spark):
+    d = spark.createDataFrame([("ManhattanDist", "t5-base_group_3", 200.0), ("EuclideanDist", "t5-small_group_1", 5.0), ("TokenOverlap", "t5-base_tau_2", 1.0), ("Other", "x", 3.0)], "metric string, model string, value double")
+    assert {(r["metric"], r["mean"]) for r in evaluation.pair_means(d).collect()} == {("ManhattanDist", 2.0), ("EuclideanDist", 0.5), ("Other", 3.0)}
+    assert [r[0] for r in d.select(T.model_label(F.col("model"))).collect()] == ["B3", "S1", "b2", "x"]
+    assert d.select(T.model_label(F.col("model"), True)).first()[0] == "Base3"
+    e = spark.createDataFrame([("HierarchicalDensity", "x", 2.0, 1.5), ("Other", "x", 2.0, 1.5)], "metric string, model string, prediction double, reference double")
+    assert {(r["metric"], r["mean"]) for r in evaluation.delta_means(e).collect()} == {("HierarchicalDensity", 5.0), ("Other", 0.5)}
