@@ -22,8 +22,8 @@ def _vote(text: str) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(features)).tobytes(), "big", signed=True)
 
 
-def simhash64(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
-    """id, simhash (and columns to keep): 64 votes over word 3-grams (single words if there are fewer), low 64 bits of MD5; 0 without words.
+def simhash64(df: DataFrame, id_col: str, text_col: str, *keep: str, digest: bool = False) -> DataFrame:
+    """id, simhash (and columns to keep): 64 votes over word 3-grams (single words if there are fewer), low 64 bits of MD5; 0 without words. With digest also h, the SHA-1 of the normal form.
 
     A text's votes need only its own row, so they are counted in Arrow batches, without a shuffle.
     """
@@ -31,28 +31,60 @@ def simhash64(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFram
 
     def run(batches):
         for b in batches:
-            votes = pa.array([_vote(t.as_py()) for t in b.column(b.num_columns - 1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], votes], names=[*b.schema.names[:-1], "simhash"])
+            forms = b.column(b.num_columns - 1).to_pylist()
+            made = [pa.array([_vote(t) for t in forms], pa.int64())] + ([pa.array([hashlib.sha1(t.encode()).hexdigest() for t in forms], pa.string())] if digest else [])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], "simhash", "h"][: b.num_columns + digest])
 
-    return d.mapInArrow(run, ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in (id_col, *keep)) + ", simhash long")
+    return d.mapInArrow(run, ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in (id_col, *keep)) + ", simhash long" + (", h string" if digest else ""))
 
 
-def bands(hashes: DataFrame, id_col: str) -> DataFrame:
-    return hashes.select(id_col, F.posexplode(F.array(*[F.shiftrightunsigned("simhash", 16 * b).bitwiseAND(65535) for b in range(4)])).alias("band", "value"))
+def _band(simhash, b: int):
+    return F.shiftrightunsigned(simhash, 16 * b).bitwiseAND(65535)
 
 
-def near_pairs(test: DataFrame, train: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """test_id, train_id, score: candidates share a band of SimHash; score is the Jaccard of strict character 5-grams.
+def near_classes(test: DataFrame, train: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """test_id, test_n, test_h, train_id, train_n, train_h, score: pairs of classes of equal normal forms (lowest id, rows, SHA-1) that share a band of SimHash; score is the Jaccard of strict character 5-grams.
 
-    Grams are made only for rows that are in some candidate pair.
+    Copies are one class before any join, by an aggregate of fixed-size columns that combines before the shuffle, so a
+    large group of copies adds one row to a band. A pair comes out at its first common band only, which saves a
+    distinct. Texts are read again, by id, only for classes that are in some candidate pair.
     """
-    a = bands(simhash64(test, id_col, text_col), id_col).withColumnRenamed(id_col, "test_id")
-    b = bands(simhash64(train, id_col, text_col), id_col).withColumnRenamed(id_col, "train_id")
-    pairs = a.join(b, ["band", "value"]).select("test_id", "train_id").distinct()
+
+    def side(df, name):
+        c = simhash64(df, id_col, text_col, digest=True).groupBy("h").agg(F.min(id_col).alias(f"{name}_id"), F.count(F.lit(1)).alias(f"{name}_n"), F.min("simhash").alias(f"{name}_s"))
+        return c.withColumnRenamed("h", f"{name}_h").select("*", F.posexplode(F.array(*[_band(F.col(f"{name}_s"), b) for b in range(4)])).alias("band", "value"))
+
+    same = [_band(F.col("test_s"), b) == _band(F.col("train_s"), b) for b in range(4)]
+    first = F.coalesce(*[F.when(x, b) for b, x in enumerate(same)])
+    pairs = side(test, "test").join(side(train, "train"), ["band", "value"]).where(F.col("band") == first).drop("band", "value", "test_s", "train_s")
 
     def g(df, name, to):
         # The join keeps the normal form a column: inside the lambda it would be made anew for each gram.
         form = df.select(F.col(id_col).alias(name), normalize(F.col(text_col), True).alias("form"))
         return form.join(pairs.select(name).distinct(), name).select(name, char_ngrams(F.col("form")).alias(to))
 
-    return pairs.join(g(test, "test_id", "x"), "test_id").join(g(train, "train_id", "y"), "train_id").select("test_id", "train_id", jaccard(F.col("x"), F.col("y")).alias("score"))
+    scored = pairs.join(g(test, "test_id", "x"), "test_id").join(g(train, "train_id", "y"), "train_id")
+    return scored.select(*pairs.columns, jaccard(F.col("x"), F.col("y")).alias("score"))
+
+
+def near_counts(classes: DataFrame, **bounds: float) -> DataFrame:
+    """candidates and, by name, how many pairs of rows score at least each bound, from pairs of classes."""
+    rows = F.col("test_n") * F.col("train_n")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return classes.agg(total(rows).alias("candidates"), *[total(F.when(F.col("score") >= b, rows)).alias(k) for k, b in bounds.items()])
+
+
+def _members(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    return df.select(F.col(id_col).alias(f"{name}_id"), F.sha1(normalize(F.col(text_col))).alias(f"{name}_h"))
+
+
+def near_train_ids(classes: DataFrame, train: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
+    """Ids of training rows whose class scores at least `least` with some test class."""
+    near = classes.where(F.col("score") >= least).select("train_h").distinct()
+    return _members(train, id_col, text_col, "train").join(near, "train_h", "left_semi").select(F.col("train_id").alias(id_col))
+
+
+def near_pairs(test: DataFrame, train: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """test_id, train_id, score of all rows of the classes that near_classes() pairs."""
+    c = near_classes(test, train, id_col, text_col).select("test_h", "train_h", "score")
+    return c.join(_members(test, id_col, text_col, "test"), "test_h").join(_members(train, id_col, text_col, "train"), "train_h").select("test_id", "train_id", "score")

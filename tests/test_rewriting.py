@@ -153,3 +153,22 @@ def test_figures(spark):
     assert d.select(T.model_label(F.col("model"), True)).first()[0] == "Base3"
     e = spark.createDataFrame([("HierarchicalDensity", "x", 2.0, 1.5), ("Other", "x", 2.0, 1.5)], "metric string, model string, prediction double, reference double")
     assert {(r["metric"], r["mean"]) for r in evaluation.delta_means(e).collect()} == {("HierarchicalDensity", 5.0), ("Other", 0.5)}
+
+
+def test_near_pairs_of_copies_and_empty_texts(spark):
+    from corpusmill.operators import neardup
+
+    base = "the old harbour town woke slowly under a grey sky and the fishermen carried their nets along the quay"
+    rows = [(1, base), (2, base.upper()), (3, base + " today"), (4, None), (5, ""), (6, "nothing else is like it at all"), (7, base)]
+    test, train = spark.createDataFrame(rows[:4], "i int, t string"), spark.createDataFrame(rows[2:], "i int, t string")
+    sim = {r["i"]: r["simhash"] for r in neardup.simhash64(spark.createDataFrame(rows, "i int, t string"), "i", "t").collect()}
+    bands = lambda s: {(b, (s >> (16 * b)) & 65535) for b in range(4)}
+    want = {(a, b) for a in (1, 2, 3, 4) for b in (3, 4, 5, 6, 7) if bands(sim[a]) & bands(sim[b])}
+    got = neardup.near_pairs(test, train, "i", "t").collect()
+    assert {(r["test_id"], r["train_id"]) for r in got} == want and len(got) == len(want) and {(1, 7), (2, 7), (3, 3), (4, 4), (4, 5)} <= want
+    assert all(r["score"] == 1.0 for r in got if (r["test_id"], r["train_id"]) in {(1, 7), (2, 7), (3, 3), (4, 5)})
+    c = neardup.near_classes(test, train, "i", "t")
+    full = sum(r["score"] >= 0.95 for r in got)
+    assert tuple(neardup.near_counts(c, j=0.95).first()) == (len(want), full)
+    assert {r[0] for r in neardup.near_train_ids(c, train, "i", "t", 0.95).collect()} == {r["train_id"] for r in got if r["score"] >= 0.95}
+    assert neardup.near_counts(neardup.near_classes(test.where("false"), train, "i", "t"), j=0.95).first()["candidates"] == 0
