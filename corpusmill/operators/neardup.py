@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,9 @@ def near_classes(test: DataFrame, train: DataFrame, id_col: str, text_col: str)
 
     Copies are one class before any join, by an aggregate of fixed-size columns that combines before the shuffle, so a
     large group of copies adds one row to a band. A pair comes out at its first common band only, which saves a
-    distinct. Texts are read again, by id, only for classes that are in some candidate pair.
+    distinct. Texts are read again, by id, only for classes that are in some candidate pair. The pairs (ids, counts and
+    hashes) are used three times and kept on the executors' disks, else SimHash would run three times a side; blocks of
+    lost executors are made again, and spark.catalog.clearCache() frees them.
     """
 
     def side(df, name):
@@ -57,6 +60,7 @@ def near_classes(test: DataFrame, train: DataFrame, id_col: str, text_col: str)
     same = [_band(F.col("test_s"), b) == _band(F.col("train_s"), b) for b in range(4)]
     first = F.coalesce(*[F.when(x, b) for b, x in enumerate(same)])
     pairs = side(test, "test").join(side(train, "train"), ["band", "value"]).where(F.col("band") == first).drop("band", "value", "test_s", "train_s")
+    pairs = pairs.persist(StorageLevel.DISK_ONLY)
 
     def g(df, name, to):
         # The join keeps the normal form a column: inside the lambda it would be made anew for each gram.
