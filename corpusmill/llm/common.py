@@ -6,7 +6,7 @@ import sys
 import types
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,17 +33,12 @@ def kept(key: tuple, make):
     return held[key]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder, which outlives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a compressed table in the shared folder: less disk than a checkpoint, and of known size for joins."""
+def written(df: DataFrame, keep_path: bool = False):
+    """df with its lineage cut by a compressed table in the shared folder: less disk than a checkpoint, and of known size for joins. With keep_path, (path, df), for who erases it."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    again = df.sparkSession.read.schema(df.schema).parquet(path)
+    return (path, again) if keep_path else again
 
 
 def erase(spark: SparkSession, path: str) -> None:
@@ -52,11 +47,24 @@ def erase(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def hash_unit(*cols) -> F.Column:
+def hash_unit(*cols) -> Column:
     """A value in [0, 1) that depends on the values of cols only."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def n_words(text) -> F.Column:
+def n_words(text) -> Column:
     """Number of runs of characters other than ASCII white space (space, tab to carriage return); null counts 0."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once: a lambda's argument is a variable, also where body uses it for every element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fresh(name: str, columns) -> str:
+    """name, with leading underscores until it is none of columns, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
