@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, embedding_dedup, licenses, media, mixing, ngram_join, pieces, quality_rules, toxicity, url_lists, warc
+from . import chats, embedding_dedup, late_arrivals, licenses, media, mixing, ngram_join, pieces, quality_rules, spelling, toxicity, url_lists, warc
 from .common import table
 
 
@@ -66,12 +66,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", number(F.col("refers_to")).alias("refers_to"), F.col("request").isNotNull().alias("has_request"), F.col("metadata").isNotNull().alias("has_metadata"))
 
 
+def op11_late_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return late_arrivals.overwritten(table(spark, sf_dir, "sales"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(table(spark, sf_dir, "documents"), respell=spelling.with_a_slip))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measured_rules(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_media_columns, op2_license_scans, op3_toxicity, op4_url_filters, op5_embedding_near_dedup, op6_mixing, op7_sentencepiece, op8_chat_formatting, op9_ngram_jaccard_join, op10_warc, op13_quality_rules)}
+    return {f.__name__: f for f in (op1_media_columns, op2_license_scans, op3_toxicity, op4_url_filters, op5_embedding_near_dedup, op6_mixing, op7_sentencepiece, op8_chat_formatting, op9_ngram_jaccard_join, op10_warc, op11_late_arrivals, op12_spelling_variants, op13_quality_rules)}
 
 
 def _sql_canonical() -> str:
