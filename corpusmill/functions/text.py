@@ -154,9 +154,10 @@ def raw_words(text):
 
 
 def natural_key(name):
-    """A sort key in which runs of digits count as numbers of up to 20 digits."""
-    padded = F.regexp_replace(name, r"(\d+)", "00000000000000000000$1")
-    return F.regexp_replace(padded, r"\d+(\d{20})", "$1")
+    """A sort key in which runs of digits count as numbers of any length: leading zeros go, and each run stands behind its length in ten places."""
+    number = lambda x: F.regexp_replace(x, "^0+", "")
+    keyed = lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(number(x)).cast("string"), 10, "0"), number(x))).otherwise(x)
+    return F.array_join(F.transform(F.regexp_extract_all(name, F.lit("[0-9]+|[^0-9]+"), F.lit(0)), keyed), "")
 
 
 def parse_option(option):
@@ -178,32 +179,6 @@ def dataset_name(file):
     )
 
 
-def joined_references(sentences):
-    """Sentences in which a bare reference such as '[3].' is put before the next one, whatever that is; one at the end goes."""
-    held = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("held"))
-
-    def step(a, s):
-        free = a["held"].isNull()
-        bare = free & s.rlike(r"^\[\d+\][.,]?$")
-        whole = F.when(free, s).otherwise(F.concat_ws(" ", a["held"], s))
-        return F.struct(F.when(bare, a["out"]).otherwise(F.concat(a["out"], F.array(whole))).alias("out"), F.when(bare, s).alias("held"))
-
-    return F.aggregate(sentences, held, step, lambda a: a["out"])
-
-
-def joined_short(scored, ppl: float, ll: float, longest: int = 6):
-    """Texts of an array of (text, ll, ppl): a sentence after the first joins the one before if both its own scores are above the bounds and it has at most `longest` words."""
-    short = lambda s: F.size(raw_words(s["text"])) <= longest
-    none = F.array().cast("array<string>")
-
-    def step(out, s):
-        n = F.size(out)
-        last = F.concat_ws(" ", F.get(out, n - 1), s["text"])
-        return F.when((n > 0) & (s["ppl"] > ppl) & (s["ll"] > ll) & short(s), F.concat(F.slice(out, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(last))).otherwise(F.concat(out, F.array(s["text"])))
-
-    return F.aggregate(scored, none, step)
-
-
 # By what a metric is divided for a figure, which ones a figure of pairs leaves out, and short names of models.
 DIVISORS = {"ManhattanDist": 100.0, "EuclideanDist": 10.0, "AvgSentenceLenDiff": 30.0}
 LEFT_OUT = ("AvgSentenceLenDiff", "SentenceCountDiff", "TokenOverlap", "POSOverlap")

@@ -41,21 +41,8 @@ def block_order(n: int, strength: float) -> list[int]:
 
 
 def reordered(df: DataFrame, column: str, order, strength: float) -> DataFrame:
-    """df with the arrays of column in the order that order(length, strength) gives. One small row for each length that occurs is broadcast."""
-    lengths = [r[0] for r in df.select(F.size(column)).distinct().collect()]
-    table = df.sparkSession.createDataFrame([(n, order(n, strength)) for n in lengths if n and n > 0], "__n int, __order array<int>")
-    joined = df.join(F.broadcast(table), F.size(column) == F.col("__n"), "left")
-    moved = F.when(F.col("__order").isNotNull(), F.transform("__order", lambda i: F.get(F.col(column), i))).otherwise(F.col(column))
-    return joined.withColumn(column, moved).drop("__n", "__order")
-
-
-def marked(sentences: Column, strength: float, kind: str, longest: int = 4096) -> Column:
-    """Sentences of over six words with a tail ('passive') or a head ('nominal') where their draw is below the strength. Sentence i takes the i-th draw; beyond `longest` draws they repeat."""
-    draw = random.Random(SEED)
-    hit = F.array(*[F.lit(draw.random() < strength) for _ in range(longest)]) if strength > 0 else F.array(F.lit(False))
-    words = lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != ""))
-    new = (lambda s: F.concat(s, F.lit(PASSIVE_TAIL))) if kind == "passive" else (lambda s: F.concat(F.lit(NOMINAL_HEAD), s))
-    return F.transform(sentences, lambda s, i: F.when((words(s) > 6) & F.get(hit, i % (longest if strength > 0 else 1)), new(s)).otherwise(s))
+    """df with the arrays of column in the order that order(length, strength) gives, in Arrow batches; null stays null."""
+    return df.withColumn(column, rewrite.on_lists(F.col(column), _ordered, strength, order))
 
 
 def _ordered(sentences: list[str], strength: float, order) -> list[str]:

@@ -369,7 +369,7 @@ def class_pool(spark, sf_dir):
     return sequences.pool(_t(spark, sf_dir, "labels").select("doc_id", "toxic"), "toxic", "doc_id", 100, "33")
 
 
-@_query(r"select page_id, regexp_replace(regexp_replace(url, '(\d+)', '00000000000000000000\1', 'g'), '\d+(\d{20})', '\1', 'g') as k from pages")
+@_query("select page_id, array_to_string(list_transform(regexp_extract_all(url, '[0-9]+|[^0-9]+'), lambda x: case when regexp_matches(x, '^[0-9]') then lpad(length(ltrim(x, '0'))::varchar, 10, '0') || ltrim(x, '0') else x end), '') as k from pages")
 def natural_sort_key(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", T.natural_key(F.col("url")).alias("k"))
 
@@ -520,14 +520,6 @@ def fitted_temperature(spark, sf_dir):
     return d.agg(F.count(F.lit(1)).alias("n")).withColumn("temperature", F.round(F.lit(evaluation.fit_temperature(d)), 4))
 
 
-@_query()
-def joined_sentences(spark, sf_dir):
-    """Sentences of documents with bare references joined to the next, then short ones to the one before, scored by their length."""
-    s = T.joined_references(T.sentences(F.col("text")))
-    scored = F.transform(s, lambda x: F.struct(x.alias("text"), (-F.length(x) / 10.0).alias("ll"), (F.lit(1000.0) / F.length(x)).alias("ppl")))
-    return _t(spark, sf_dir, "documents").select("doc_id", T.joined_short(scored, 30.0, -4.0).alias("sentences"))
-
-
 @_query()
 def layered_perturbation(spark, sf_dir):
     """Order, syntax and words of whole documents perturbed by the strongest option of each layer."""
@@ -541,7 +533,7 @@ def all_shuffles(spark, sf_dir):
     return c.select("conv_id", "turn", "i", rewrite.shuffles(F.concat_ws("_", "conv_id", "turn", "i"), F.col("sentence")).alias("shuffled"))
 
 
-from corpusmill.plans import record_queries  # noqa: E402, F401  they register themselves above
+from corpusmill.plans import language_queries, record_queries  # noqa: E402, F401  they register themselves above
 
 
 def queries() -> dict:

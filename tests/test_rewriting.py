@@ -64,26 +64,6 @@ def test_perturbations(spark):
     assert spark.createDataFrame([(s,), (None,)], "s array<string>").select(W.on_lists(F.col("s"), W.synonyms, 1.0)).collect()[0][0] == other
 
 
-def test_marked_agrees_with_its_strategy(spark):
-    s = ["one two three four five six seven"] * 20
-    got = spark.createDataFrame([(s,)], "s array<string>").select(perturb.marked(F.col("s"), 0.4, "passive")).first()[0]
-    assert got == perturb.applied(s, "passive_0.4")
-
-
-@pytest.mark.parametrize(
-    "given, want",
-    [(["[1]", "A.", "B."], ["[1] A.", "B."]), (["A.", "[2]."], ["A."]), (["[1]", "[2]", "A."], ["[1] [2]", "A."]), ([], []), (["x [1]", "[12],", "B"], ["x [1]", "[12], B"])],
-)
-def test_references_join_the_next(spark, given, want):
-    assert spark.createDataFrame([(given,)], "s array<string>").select(T.joined_references(F.col("s"))).first()[0] == want
-
-
-def test_short_sentences_join_the_one_before(spark):
-    rows = [("a", 9.0, 9.0), ("b c", 9.0, 9.0), ("d", 1.0, 9.0), ("e", 9.0, 1.0), ("f g h i j k l", 9.0, 9.0), ("m", 9.0, 9.0), ("n", 9.0, 9.0)]
-    d = spark.createDataFrame([(rows,), ([],)], "s array<struct<text:string,ll:double,ppl:double>>")
-    assert [r[0] for r in d.select(T.joined_short(F.col("s"), 5.0, 5.0)).collect()] == [["a b c", "d", "e", "f g h i j k l m n"], []]
-
-
 def test_file_names(spark):
     names = ["x-test.jsonl", "x-seed11-train.jsonl", "x-y-seed2-train.jsonl", "other.jsonl"]
     d = spark.createDataFrame([(n,) for n in names], "file string").select("file", T.dataset_name(F.col("file")).alias("d")).select("file", "d.*")
