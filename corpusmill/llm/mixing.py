@@ -43,7 +43,7 @@ def running(t: DataFrame, part: list[str], key: str, value: str, tie: list[str],
 
 
 def tree(quotas: DataFrame, seed: int, levels: int) -> DataFrame:
-    """rank, shard, n: the blocks each shard gets of each source, from quotas(rank, quota).
+    """rank, o, shard: the shard of each block due, o from 0 to quota - 1, from quotas(rank, quota).
 
     Every block due is a ticket. Each level sends half of a node's tickets, drawn without replacement by a keyed hash, to
     the left, which splits the node's quotas by the multivariate hypergeometric law.
@@ -54,7 +54,7 @@ def tree(quotas: DataFrame, seed: int, levels: int) -> DataFrame:
         t = running(t.withColumn("k", hash_unit(F.lit(seed + 10 + level), "rank", "o")), ["shard"], "k", "one", ["rank", "o"])
         half = t.groupBy("shard").agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))
         t = written(t.join(half, "shard").select("rank", "o", (F.col("shard") * 2 + (F.col("upto") > F.col("half")).cast("int")).alias("shard"), "one"))
-    return t.groupBy("rank", "shard").agg(F.count(F.lit(1)).alias("n"))
+    return t.drop("one")
 
 
 def _name(c: str) -> str:
@@ -105,16 +105,17 @@ def planned(documents: DataFrame, id_col: str, text_col: str, source_col: str, w
     q = t.select("rank", "passes").join(have, "rank").join(whole, "rank", "left").join(part, "rank", "left").na.fill(0).withColumn("quota", F.col("passes") * F.col("have") + F.col("whole") + F.col("part"))
     q = written(q)
     levels = max(0, math.ceil(math.log2(max(1, (q.agg(F.sum("quota")).first()[0] or 0) / shard_blocks))))
-    # A source's shards draw consecutive runs of its permuted blocks, as many as the tree gives them.
-    drawn = tree(q, seed, levels).withColumn("upto", F.sum("n").over(Window.partitionBy("rank").orderBy("shard"))).groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("drawn"))
-    shard = lambda x: F.get(F.filter("drawn", lambda d: d["upto"] > x), F.lit(0))["shard"]
-    q = written(q.join(drawn, "rank"))
+    # The o-th block due, in permuted order and pass by pass, takes the source's o-th ticket.
+    tickets = tree(q, seed, levels)
     b = running(b.withColumn("one", F.lit(1)).withColumn("taken", (F.col("turn") >= 0).cast("int")), ["rank"], "at", "one", ["block"]).withColumnRenamed("upto", "x")
     b = running(b.na.fill(0, ["taken"]), ["rank"], "at", "taken", ["block"]).join(q, "rank")
-    each = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), lambda p: shard(p * F.col("have") + F.col("x") - 1))).otherwise(F.array().cast("array<int>"))
-    last = F.when(F.col("taken") == 1, F.array(shard(F.col("passes") * F.col("have") + F.col("upto") - 1))).otherwise(F.array().cast("array<int>"))
-    blocks = written(b.select("rank", "block", F.coalesce(F.col("turn") == -1, F.lit(False)).alias("open"), F.concat(each, last).alias("shards")))
-    filled = filled.join(q.select("rank", shard(F.col("quota") - 1).alias("last")), "rank", "left")
+    each = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), lambda p: p * F.col("have") + F.col("x") - 1)).otherwise(F.array().cast("array<bigint>"))
+    last = F.when(F.col("taken") == 1, F.array(F.col("passes") * F.col("have") + F.col("upto") - 1)).otherwise(F.array().cast("array<bigint>"))
+    due = b.select("rank", "block", F.coalesce(F.col("turn") == -1, F.lit(False)).alias("open"), F.explode_outer(F.concat(each, last)).alias("o"))
+    # A block has a ticket for each pass and one more at most.
+    got = F.sort_array(F.collect_list(F.when(F.col("shard").isNotNull(), F.struct("o", "shard"))))
+    blocks = written(due.join(tickets, ["rank", "o"], "left").groupBy("rank", "block").agg(F.first("open").alias("open"), F.transform(got, lambda x: x["shard"]).alias("shards")))
+    filled = filled.join(q.where("part = 1").select("rank", (F.col("quota") - 1).alias("o")).join(tickets, ["rank", "o"]).select("rank", F.col("shard").alias("last")), "rank", "left")
     return units, t, blocks, filled
 
 

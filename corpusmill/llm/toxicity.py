@@ -147,7 +147,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, min_docs: int = 4, min_odds: float = 20.0) -> Lexicon:
-    """A lexicon from at most sample_rows labelled rows (the bound, by order of a hash) that are not held out.
+    """A lexicon from at most sample_rows labelled rows of documents (the bound, by order of a hash, also where ids repeat) that are not held out.
 
     Counts, for whole folded words of 4 letters or more and for their stems of 4 to 8 letters, the toxic and other sample texts that
     hold them; keeps all that min_docs toxic texts hold and that are min_odds times likelier in toxic ones. The sample
@@ -157,7 +157,8 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     key = F.col(id_col)
     named = labels.where(key.isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(key.alias("__id")).agg(F.max(label_col).alias("__y"))
     chosen = named.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
-    sample = documents.select(key.alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__id").select("__y", "__text")
+    labelled = documents.select(key.alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__id")
+    sample = labelled.orderBy(F.xxhash64("__id", "__text"), "__id", "__y").limit(sample_rows).select("__y", "__text")
 
     def count(batches):
         toxic: Counter = Counter()
@@ -209,7 +210,7 @@ def fit(x: list, y: list, ridge: float = 1e-2, steps: int = 40) -> tuple[float,
 
 
 def clean(documents: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of documents that aren't predicted toxic, in all their columns; each row is judged by its own text, whatever its id."""
+    """The rows of documents that aren't predicted toxic, in all their columns; each row is judged by its own whole text, whatever its id. Null and empty texts are clean; an empty table gives an empty one."""
     at = documents.columns.index(text_col)
 
     def run(batches):
