@@ -27,6 +27,11 @@ def exact_overlap(test: DataFrame, train: DataFrame) -> DataFrame:
     return a.join(b, "h").agg(F.coalesce(F.sum(F.least("ca", "cb")), F.lit(0)).alias("overlap"), F.count(F.lit(1)).alias("common_keys"))
 
 
+def overlap_examples(test: DataFrame, train: DataFrame, n: int = 20) -> DataFrame:
+    """h: the n smallest hashes that stand on both sides. Each task keeps its n smallest before they meet."""
+    return train.select("h").distinct().join(test.select("h").distinct(), "h", "left_semi").orderBy("h").limit(n)
+
+
 def removal_reasons(test: DataFrame, train: DataFrame, near_ids: DataFrame, id_col: str) -> DataFrame:
     """id, reason for each training row: internal duplicate, then exact, then near; a hash counts as seen even if its first row goes.
 

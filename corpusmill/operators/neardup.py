@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import char_ngrams, jaccard, normalize
@@ -92,3 +92,19 @@ def near_pairs(test: DataFrame, train: DataFrame, id_col: str, text_col: str) ->
     """test_id, train_id, score of all rows of the classes that near_classes() pairs."""
     c = near_classes(test, train, id_col, text_col).select("test_h", "train_h", "score")
     return c.join(_members(test, id_col, text_col, "test"), "test_h").join(_members(train, id_col, text_col, "train"), "train_h").select("test_id", "train_id", "score")
+
+
+def near_examples(test: DataFrame, train: DataFrame, id_col: str, text_col: str, least: float = 0.9, n: int = 20) -> DataFrame:
+    """test_id, train_id, score (4 places) of the first n pairs of rows, by their ids, that score at least `least`.
+
+    Only the n smallest ids of a class can stand in them, so copies beyond those are dropped before classes are expanded, in part before the shuffle.
+    """
+    c = near_classes(test, train, id_col, text_col).where(F.col("score") >= least).select("test_h", "train_h", "score")
+
+    def firsts(df, name):
+        m = _members(df, id_col, text_col, name)
+        rank = F.row_number().over(Window.partitionBy(f"{name}_h").orderBy(f"{name}_id"))
+        return m.withColumn("__k", rank).where(F.col("__k") <= n).drop("__k")
+
+    pairs = c.join(firsts(test, "test"), "test_h").join(firsts(train, "train"), "train_h")
+    return pairs.select("test_id", "train_id", F.round("score", 4).alias("score")).orderBy("test_id", "train_id").limit(n)

@@ -77,3 +77,47 @@ def early_stopping(scores: DataFrame, order: str, value: str, patience: int, mod
     d = d.withColumn("__run", F.sum(F.col("better").cast("int")).over(w))
     bad = F.row_number().over(Window.partitionBy("__run").orderBy(order)) - 1
     return d.withColumn("stop", bad >= patience).drop("__run")
+
+
+def early_stopping_runs(scores: DataFrame, run: str, order: str, value: str, patience: int, mode: str = "max", min_delta: float = 0.0) -> DataFrame:
+    """run, order, best, better, stop for each epoch of each run: better if value passes the best so far by more than min_delta; stop once `patience` in a row didn't.
+
+    The best moves only where a value is better, so no window gives it: rows stream through each task in order and one state, that of the run at hand,
+    is kept. Rows without a value are left out.
+    """
+    import pyarrow as pa
+
+    up = mode == "max"
+
+    def folded(batches):
+        now, first, best, bad = None, True, 0.0, 0
+        for b in batches:
+            out = []
+            for r, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if first or r != now:
+                    now, first, best, bad, better = r, False, v, 0, True
+                else:
+                    better = v > best + min_delta if up else v < best - min_delta
+                    best, bad = (v, 0) if better else (best, bad + 1)
+                out.append((best, better, not better and bad >= patience))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.float64(), pa.bool_(), pa.bool_())))], names=[run, order, "best", "better", "stop"])
+
+    d = scores.where(F.col(value).isNotNull()).select(run, order, F.col(value).cast("double").alias(value))
+    kind = lambda c: f"`{c}` {d.schema[c].dataType.simpleString()}"
+    return d.repartition(run).sortWithinPartitions(run, order).mapInArrow(folded, f"{kind(run)}, {kind(order)}, best double, better boolean, stop boolean")
+
+
+def seeded_sets(df: DataFrame, label: str, id_col: str, total: int = 6_000, ratio: float = 0.4, test_seed: str = "202401", seeds: tuple = ("11", "22", "33")) -> DataFrame:
+    """split, seed, position (from 1), id: a pool of at most total / 2 rows of each class, `ratio` of each class of it as the one test set, and the rest as a training set
+    in another order for each seed. Orders are by keyed hash; no task orders a whole set."""
+    picked = pool(df.select(id_col, label), label, id_col, total, test_seed)
+    split = stratified_split(picked, label, id_col, ratio, test_seed)
+    each = split.withColumn("seed", F.explode(F.when(F.col("split") == "a", F.array(F.lit(test_seed))).otherwise(F.array(*map(F.lit, seeds)))))
+    each = each.withColumn("set", F.concat_ws("/", "split", "seed"))
+    r = ranked(each.select("set", "split", "seed", id_col), "set", id_col, F.col("seed"))
+    return r.select(F.when(F.col("split") == "a", "test").otherwise("train").alias("split"), "seed", F.col("rk").alias("position"), id_col)
+
+
+def write_in_order(df: DataFrame, path: str, *keys: str, files: int | None = None) -> None:
+    """df as JSON lines in the order of keys: read by name, one after the other, its files (as many as asked for, or as Spark likes) hold the rows in that order. Ranges of keys are dealt to tasks; none sorts all rows."""
+    df.repartitionByRange(*([files] if files else []), *keys).sortWithinPartitions(*keys).write.json(path)

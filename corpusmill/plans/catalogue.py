@@ -533,7 +533,7 @@ def all_shuffles(spark, sf_dir):
     return c.select("conv_id", "turn", "i", rewrite.shuffles(F.concat_ws("_", "conv_id", "turn", "i"), F.col("sentence")).alias("shuffled"))
 
 
-from corpusmill.plans import language_queries, record_queries  # noqa: E402, F401  they register themselves above
+from corpusmill.plans import language_queries, model_queries, record_queries  # noqa: E402, F401  they register themselves above
 
 
 def queries() -> dict:
