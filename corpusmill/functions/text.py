@@ -179,6 +179,12 @@ def dataset_name(file):
     )
 
 
+def raw_pair_name(file):
+    """prefix, split of 'x_train.json' and 'x_test.json'; both null for other names."""
+    name = r"^(.*)_(train|test)\.json$"
+    return F.struct(F.nullif(F.regexp_extract(file, name, 1), F.lit("")).alias("prefix"), F.nullif(F.regexp_extract(file, name, 2), F.lit("")).alias("split"))
+
+
 # By what a metric is divided for a figure, which ones a figure of pairs leaves out, and short names of models.
 DIVISORS = {"ManhattanDist": 100.0, "EuclideanDist": 10.0, "AvgSentenceLenDiff": 30.0}
 LEFT_OUT = ("AvgSentenceLenDiff", "SentenceCountDiff", "TokenOverlap", "POSOverlap")

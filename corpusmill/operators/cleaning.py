@@ -21,7 +21,7 @@ def clean_records(df: DataFrame, *fields: str) -> DataFrame:
     return judged(df, *fields).where("__dropped_at is null").drop("__dropped_at")
 
 
-def clean_counters(df: DataFrame, *fields: str) -> DataFrame:
-    """before, kept, dropped, and the drops of each pass, in one scan."""
+def clean_counters(df: DataFrame, *fields: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """before, kept, dropped, and the drops of each pass, in one scan; in all, or for each value of `by`, such as a file."""
     d = F.col("__dropped_at")
-    return judged(df, *fields).agg(F.count(F.lit(1)).alias("before"), F.count_if(d.isNull()).alias("kept"), F.count(d).alias("dropped"), *[F.count_if(d == n).alias(f"dropped_{n}") for n in range(1, 8)])
+    return judged(df, *fields).groupBy(*by).agg(F.count(F.lit(1)).alias("before"), F.count_if(d.isNull()).alias("kept"), F.count(d).alias("dropped"), *[F.count_if(d == n).alias(f"dropped_{n}") for n in range(1, 8)])

@@ -49,6 +49,47 @@ def removal_counters(reasons: DataFrame) -> DataFrame:
     return reasons.agg(F.count(F.lit(1)).alias("before"), *[F.count_if(r == k).alias(k) for k in ("internal_dup", "exact", "near")], F.count_if(r == "kept").alias("after"))
 
 
+def leakage_by(test: DataFrame, train: DataFrame, by: str, id_col: str, text_col: str) -> DataFrame:
+    """by, train_n, test_n, their internal duplicates, exact overlaps by light and strict forms and near pairs at 0.9 and 0.8: a row for each value of `by`, such as a data set, on either side.
+
+    Each pair of sets is compared within its value alone. Counts by hash come first, so copies are one row each before any join.
+    """
+    from corpusmill.operators import neardup
+
+    def counts(df, strict, name):
+        h = df.where(F.col(by).isNotNull()).select(by, F.sha1(normalize(F.col(text_col), strict)).alias("h"))
+        return h.groupBy(by, "h").agg(F.count(F.lit(1)).alias(name))
+
+    out = None
+    for strict in (False, True):
+        c = counts(train, strict, "a").join(counts(test, strict, "b"), [by, "h"], "full")
+        both = F.coalesce(F.sum(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.least("a", "b"))), F.lit(0))
+        sizes = []
+        if not strict:
+            sizes = [F.coalesce(F.sum(x), F.lit(0)).alias(f"{n}_n") for x, n in (("a", "train"), ("b", "test"))]
+            sizes += [F.coalesce(F.sum(F.col(x) - 1), F.lit(0)).alias(f"{n}_internal_dup_items_light") for x, n in (("a", "train"), ("b", "test"))]
+        part = c.groupBy(by).agg(*sizes, both.alias(f"exact_overlap_{'strict' if strict else 'light'}"))
+        out = part if out is None else out.join(part, by)
+    near = neardup.near_counts(neardup.near_classes(test, train, id_col, text_col, within=by), [by], near_ge_90_pairs=0.9, near_ge_80_pairs=0.8)
+    out = out.join(near.withColumnRenamed("candidates", "near_candidates_total"), by, "left")
+    return out.na.fill(0, ["near_candidates_total", "near_ge_90_pairs", "near_ge_80_pairs"])
+
+
+def removal_by(test: DataFrame, train: DataFrame, by: str, id_col: str, text_col: str, least: float = 0.95) -> DataFrame:
+    """by, train_before, train_internal_dup_removed, train_test_exact_removed, train_test_near_removed, train_after: removal_reasons() counted for each value of `by` on the training side, within which alone texts are compared."""
+    from corpusmill.operators import neardup
+
+    form = lambda df: df.where(F.col(by).isNotNull()).select(by, F.col(id_col).alias("id"), F.sha1(normalize(F.col(text_col))).alias("h"))
+    t = form(train)
+    near = neardup.near_classes(test, train, id_col, text_col, within=by).where(F.col("score") >= least).select(by, F.col("train_h").alias("h")).distinct().withColumn("nr", F.lit(True))
+    t = t.join(t.groupBy(by, "h").agg(F.min("id").alias("first")), [by, "h"]).join(form(test).select(by, "h").distinct().withColumn("ex", F.lit(True)), [by, "h"], "left").join(near, [by, "h"], "left")
+    reason = F.when(F.col("id") > F.col("first"), "internal_dup").when(F.col("ex"), "exact").when(F.col("nr"), "near").otherwise("kept")
+    t = t.select(by, reason.alias("reason"))
+    r = F.col("reason")
+    names = {"internal_dup": "train_internal_dup_removed", "exact": "train_test_exact_removed", "near": "train_test_near_removed"}
+    return t.groupBy(by).agg(F.count(F.lit(1)).alias("train_before"), *[F.count_if(r == k).alias(n) for k, n in names.items()], F.count_if(r == "kept").alias("train_after"))
+
+
 def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """key, side ('left', 'right' or 'both') for the distinct keys of either."""
     a, b = left.select(key).distinct().withColumn("a", F.lit(1)), right.select(key).distinct().withColumn("b", F.lit(1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import LEFT_OUT, scaled_delta, scaled_metric
@@ -116,3 +116,30 @@ def delta_means(df: DataFrame) -> DataFrame:
     """metric, model, mean of how far prediction is from reference, in (metric, model, prediction, reference)."""
     d = df.withColumn("delta", scaled_delta(F.col("metric"), F.col("prediction") - F.col("reference")))
     return d.groupBy("metric", "model").agg(F.avg("delta").alias("mean"))
+
+
+def finite(c) -> Column:
+    """Whether a number is there, and is neither infinite nor none."""
+    x = c.cast("double")
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def without_outliers(df: DataFrame, value: str, factor: float = 1.5) -> DataFrame:
+    """Rows whose finite value is at most factor times the quartiles' distance outside the quartiles of the finite values."""
+    d = df.where(finite(F.col(value)))
+    q = d.agg(F.percentile(value, F.lit(0.25)).alias("__q1"), F.percentile(value, F.lit(0.75)).alias("__q3"))  # one row
+    spread = factor * (F.col("__q3") - F.col("__q1"))
+    return d.join(F.broadcast(q)).where(F.col(value).between(F.col("__q1") - spread, F.col("__q3") + spread)).select(df.columns)
+
+
+def whole_bins(df: DataFrame, value: str, width: int = 1) -> DataFrame:
+    """lo, n, mean for the bins [lo, lo + width) that hold finite values, and the mean of all of them: the bars and the line of a figure of lengths."""
+    d = df.where(finite(F.col(value))).select(F.col(value).cast("double").alias("x"))
+    bins = d.groupBy((F.floor(F.col("x") / width) * width).cast("long").alias("lo")).agg(F.count(F.lit(1)).alias("n"))
+    return bins.join(F.broadcast(d.agg(F.avg("x").alias("mean"))))  # one row
+
+
+def mean_table(df: DataFrame, models: list[str]) -> DataFrame:
+    """metric and a column for each of the models: pair_means() side by side, NaN where a metric has no values of a model."""
+    wide = pair_means(df).groupBy("metric").pivot("model", models).agg(F.first("mean"))
+    return wide.select("metric", *[F.coalesce(F.col(f"`{m}`"), F.lit(float("nan"))).alias(m) for m in models])

@@ -43,23 +43,28 @@ def _band(simhash, b: int):
     return F.shiftrightunsigned(simhash, 16 * b).bitwiseAND(65535)
 
 
-def near_classes(test: DataFrame, train: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def near_classes(test: DataFrame, train: DataFrame, id_col: str, text_col: str, within: str | None = None) -> DataFrame:
     """test_id, test_n, test_h, train_id, train_n, train_h, score: pairs of classes of equal normal forms (lowest id, rows, SHA-1) that share a band of SimHash; score is the Jaccard of strict character 5-grams.
 
     Copies are one class before any join, by an aggregate of fixed-size columns that combines before the shuffle, so a
     large group of copies adds one row to a band. A pair comes out at its first common band only, which saves a
     distinct. Texts are read again, by id, only for classes that are in some candidate pair. The pairs (ids, counts and
     hashes) are used three times and kept on the executors' disks, else SimHash would run three times a side; blocks of
-    lost executors are made again, and spark.catalog.clearCache() frees them.
+    lost executors are made again, and spark.catalog.clearCache() frees them. With `within`, a column of both sides, classes
+    are of rows of one value of it, only classes of equal values pair, and the pairs carry it; rows without a value are left out.
     """
+    by = [within] if within else []
 
     def side(df, name):
-        c = simhash64(df, id_col, text_col, digest=True).groupBy("h").agg(F.min(id_col).alias(f"{name}_id"), F.count(F.lit(1)).alias(f"{name}_n"), F.min("simhash").alias(f"{name}_s"))
+        c = simhash64(df, id_col, text_col, digest=True)
+        if within:
+            c = c.join(df.where(F.col(within).isNotNull()).select(id_col, within), id_col)
+        c = c.groupBy("h", *by).agg(F.min(id_col).alias(f"{name}_id"), F.count(F.lit(1)).alias(f"{name}_n"), F.min("simhash").alias(f"{name}_s"))
         return c.withColumnRenamed("h", f"{name}_h").select("*", F.posexplode(F.array(*[_band(F.col(f"{name}_s"), b) for b in range(4)])).alias("band", "value"))
 
     same = [_band(F.col("test_s"), b) == _band(F.col("train_s"), b) for b in range(4)]
     first = F.coalesce(*[F.when(x, b) for b, x in enumerate(same)])
-    pairs = side(test, "test").join(side(train, "train"), ["band", "value"]).where(F.col("band") == first).drop("band", "value", "test_s", "train_s")
+    pairs = side(test, "test").join(side(train, "train"), ["band", "value", *by]).where(F.col("band") == first).drop("band", "value", "test_s", "train_s")
     pairs = pairs.persist(StorageLevel.DISK_ONLY)
 
     def g(df, name, to):
@@ -71,11 +76,11 @@ def near_classes(test: DataFrame, train: DataFrame, id_col: str, text_col: str)
     return scored.select(*pairs.columns, jaccard(F.col("x"), F.col("y")).alias("score"))
 
 
-def near_counts(classes: DataFrame, **bounds: float) -> DataFrame:
-    """candidates and, by name, how many pairs of rows score at least each bound, from pairs of classes."""
+def near_counts(classes: DataFrame, by: list[str] = [], **bounds: float) -> DataFrame:  # noqa: B006
+    """candidates and, by name, how many pairs of rows score at least each bound, from pairs of classes; in all, or for each value of `by`."""
     rows = F.col("test_n") * F.col("train_n")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return classes.agg(total(rows).alias("candidates"), *[total(F.when(F.col("score") >= b, rows)).alias(k) for k, b in bounds.items()])
+    return classes.groupBy(*by).agg(total(rows).alias("candidates"), *[total(F.when(F.col("score") >= b, rows)).alias(k) for k, b in bounds.items()])
 
 
 def _members(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:

@@ -38,10 +38,11 @@ def stratified_split(df: DataFrame, label: str, id_col: str, ratio: float, seed:
 
 
 def balanced_batches(df: DataFrame, label: str, id_col: str, half: int, seed: str) -> DataFrame:
-    """Half a batch from each class, cut to the smaller class."""
+    """Half a batch from each class, cut to the smaller class; with one class alone, whole batches of all its rows."""
     r = ranked(df, label, id_col, seed)
-    least = df.groupBy(label).agg(F.count(F.lit(1)).alias("c")).agg(F.min("c").alias("least"))
-    return r.join(F.broadcast(least)).where("rk <= least").select(id_col, label, F.floor((F.col("rk") - 1) / half).alias("batch"))
+    least = df.groupBy(label).agg(F.count(F.lit(1)).alias("c")).agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("classes"))
+    size = F.when(F.col("classes") == 1, 2 * half).otherwise(half)
+    return r.join(F.broadcast(least)).where("rk <= least").select(id_col, label, F.floor((F.col("rk") - 1) / size).alias("batch"))
 
 
 def pool(df: DataFrame, label: str, id_col: str, total: int, seed: str) -> DataFrame:

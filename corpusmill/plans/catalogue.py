@@ -99,7 +99,7 @@ def dedup_reasons(spark, sf_dir):
     return dedup.removal_reasons(dedup.hashed(test, "doc_id", "text"), dedup.hashed(train, "doc_id", "text"), near, "doc_id")
 
 
-@_query("with r as (select length(coalesce(text, '')) as n, row_number() over (order by length(coalesce(text, ''))) - 1 as k, count(*) over () as c from documents) select max(c) as n, max(n) as max_len, cast(sum(n) as bigint) as sum_len, max(n) filter (where k = round_even(0.5 * (c - 1), 0)) as p50, max(n) filter (where k = round_even(0.9 * (c - 1), 0)) as p90, max(n) filter (where k = round_even(0.95 * (c - 1), 0)) as p95 from r")
+@_query("with r as (select length(coalesce(text, '')) as n, row_number() over (order by length(coalesce(text, ''))) - 1 as k, count(*) over () as c from documents) select max(c) as n, max(n) as max_len, cast(sum(n) as bigint) as sum_len, round(cast(sum(n) as bigint) / max(c), 4) as mean_len, max(n) filter (where k = round_even(0.5 * (c - 1), 0)) as p50, max(n) filter (where k = round_even(0.9 * (c - 1), 0)) as p90, max(n) filter (where k = round_even(0.95 * (c - 1), 0)) as p95 from r")
 def length_summary(spark, sf_dir):
     """Nearest ranks from counts by length, so no task sorts all rows."""
     from pyspark.sql import Window
@@ -108,7 +108,7 @@ def length_summary(spark, sf_dir):
     w = Window.orderBy("len").rowsBetween(Window.unboundedPreceding, 0)
     g = g.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy()))
     at = lambda p: F.min(F.when(F.col("upto") > F.bround(F.lit(p) * (F.col("n") - 1)), F.col("len")))
-    return g.agg(F.max("n").alias("n"), F.max("len").alias("max_len"), F.sum(F.col("len") * F.col("c")).alias("sum_len"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95"))
+    return g.agg(F.max("n").alias("n"), F.max("len").alias("max_len"), F.sum(F.col("len") * F.col("c")).alias("sum_len"), F.round(F.sum(F.col("len") * F.col("c")) / F.max("n"), 4).alias("mean_len"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95"))
 
 
 @_query("with t as (select conv_id, turn, role, row_number() over (partition by conv_id order by turn) - row_number() over (partition by conv_id, role order by turn) as g from conversations where role <> 'user') select conv_id, role, min(turn) as first_turn, count(*) as n from t group by conv_id, role, g")
@@ -533,7 +533,7 @@ def all_shuffles(spark, sf_dir):
     return c.select("conv_id", "turn", "i", rewrite.shuffles(F.concat_ws("_", "conv_id", "turn", "i"), F.col("sentence")).alias("shuffled"))
 
 
-from corpusmill.plans import language_queries, model_queries, record_queries  # noqa: E402, F401  they register themselves above
+from corpusmill.plans import language_queries, model_queries, record_queries, report_queries  # noqa: E402, F401  they register themselves above
 
 
 def queries() -> dict:
