@@ -6,6 +6,7 @@ The passes share four tools (cutting tails, consuming sentences, choosing a rema
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -191,10 +192,28 @@ def leading_apology(text: str) -> str | None:
     return None if R.REFUSAL_CUE.search(left) and len(rest) < R.APOLOGY_REST_WITH_CUE else rest
 
 
+def without_single_stars(text: str) -> str:
+    """A star that opens (none behind a line's end or before a blank) and the next that closes, two places on or more, become blanks.
+
+    An opening star takes the first closing one behind it; where that one has none, later ones have none either, so one pass is enough.
+    """
+    closing = [m.start() for m in re.finditer(r"(?<!\s)\*(?!\w)", text)]
+    out, done, k = [], 0, 0
+    for m in re.finditer(r"(?<!\n)\*(?!\s)", text):
+        if (i := m.start()) >= done:
+            k = bisect_left(closing, i + 2, k)
+            if k == len(closing):
+                break
+            out += [text[done:i], " ", text[i + 1 : closing[k]], " "]
+            done = closing[k] + 1
+    return "".join(out) + text[done:]
+
+
 def without_emphasis(text: str) -> str:
     """Paired and bare markers of bold and italic become blanks."""
-    for mark in (r"\*\*(.+?)\*\*", r"__(.+?)__", r"(?<!\n)\*(?!\s)(.+?)(?<!\s)\*(?!\w)"):
+    for mark in (r"\*\*(.+?)\*\*", r"__(.+?)__"):
         text = re.sub(f"(?s){mark}", r" \1 ", text)
+    text = without_single_stars(text)
     text = re.sub(r"[ \t]{2,}", " ", re.sub(r"\*{2,}|_{2,}", " ", text))
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 

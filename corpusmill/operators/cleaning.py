@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.cleaning import clean
+from corpusmill.operators.stored import spread
 
 
 def judged(df: DataFrame, *fields: str) -> DataFrame:
     """df with its text fields cleaned and __dropped_at: the pass at which the first dropped field goes, null if the record is kept. Null fields are left alone."""
     made = {f"__c{i}": clean(F.col(f"`{f}`")) for i, f in enumerate(fields)}
-    wide = df.withColumns(made)
+    wide = spread(df).withColumns(made)
     out = wide.withColumns({f: F.col(f"{c}.text") for f, c in zip(fields, made)})
     return out.withColumn("__dropped_at", F.coalesce(*[F.col(f"{c}.dropped_at") for c in made])).drop(*made)
 

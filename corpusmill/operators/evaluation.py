@@ -16,12 +16,32 @@ def confusion(df: DataFrame, threshold: float = 0.5, inclusive: bool = True) ->
     return df.agg(F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"), F.count_if(~p & ~y).alias("tn"))
 
 
+def _running(g: DataFrame, key: str, *counts: str, down: bool = False) -> DataFrame:
+    """g, of distinct keys, with before_<c> for each count: its sum over the keys below (or above) this one.
+
+    Keys fall in at most 4,100 slices by size, whose sums come first; then each slice is ordered for itself. So no task orders all keys.
+    """
+    x = F.col(key).cast("double")
+    place = F.when(x.isNull(), -2).when(F.isnan(x), 4098).otherwise(F.least(F.lit(4097), F.greatest(F.lit(-1), F.floor(x * 4096)))).cast("int")
+    g = g.withColumn("__slice", place)
+    by = lambda c: F.desc(c) if down else F.asc(c)
+    earlier = Window.orderBy(by("__slice")).rowsBetween(Window.unboundedPreceding, -1)
+    slices = g.groupBy("__slice").agg(*[F.sum(c).alias(f"__{c}") for c in counts])
+    slices = slices.select("__slice", *[F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__{c}") for c in counts])
+    own = Window.partitionBy("__slice").orderBy(by(key)).rowsBetween(Window.unboundedPreceding, -1)
+    out = g.join(slices, "__slice").withColumns({f"before_{c}": F.col(f"__{c}") + F.coalesce(F.sum(c).over(own), F.lit(0)) for c in counts})
+    return out.drop("__slice", *[f"__{c}" for c in counts])
+
+
+def _by_score(df: DataFrame) -> DataFrame:
+    """prob, p, n: how many of either label have a score."""
+    return df.groupBy("prob").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+
+
 def auc(df: DataFrame) -> DataFrame:
     """Rank-sum AUC with ties counted half, from counts by distinct score; 0 with one class."""
-    g = df.groupBy("prob").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    w = Window.orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
-    s = g.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    a = s.agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    s = _running(_by_score(df), "prob", "n")
+    a = s.agg(F.sum(F.col("p") * (F.col("before_n") + F.col("n") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return a.select(F.round(F.when(F.col("p") * F.col("n") == 0, 0.0).otherwise(F.col("u") / (F.col("p") * F.col("n"))), 6).alias("auc"))
 
 
@@ -42,22 +62,20 @@ def scores_at(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def roc_points(df: DataFrame) -> DataFrame:
     """threshold, tpr, fpr for every distinct score; a rate without a denominator is 0."""
-    g = df.groupBy("prob").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    upto, every = Window.orderBy(F.desc("prob")), Window.partitionBy()
-    rate = lambda c: F.round(F.coalesce(F.try_divide(F.sum(c).over(upto), F.sum(c).over(every)), F.lit(0.0)), 6)
-    return g.select(F.col("prob").alias("threshold"), rate("p").alias("tpr"), rate("n").alias("fpr"))
+    g = _by_score(df)
+    every = g.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))  # one row
+    s = _running(g, "prob", "p", "n", down=True).join(F.broadcast(every))
+    rate = lambda c: F.round(F.coalesce(F.try_divide(F.col(f"before_{c}") + F.col(c), F.col(f"all_{c}")), F.lit(0.0)), 6)
+    return s.select(F.col("prob").alias("threshold"), rate("p").alias("tpr"), rate("n").alias("fpr"))
 
 
 def best_f1(df: DataFrame) -> DataFrame:
-    """threshold, f1: over ascending distinct scores, each judged by precision and recall at the next higher one ((1, 0) after the last), the lowest of the best; 0.5 and -1 without scores.
-
-    Distinct scores are ordered in one task, not rows. Recall is 1 where there are no positives.
-    """
+    """threshold, f1: over ascending distinct scores, each judged by precision and recall at the next higher one ((1, 0) after the last), the lowest of the best; 0.5 and -1 without scores. Recall is 1 where there are no positives."""
     g = df.groupBy("prob").agg(F.count_if(F.col("label") == 1).alias("p"), F.count(F.lit(1)).alias("m"))
-    above = Window.orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, -1)
-    s = g.withColumn("tp", F.sum("p").over(above)).withColumn("n", F.sum("m").over(above)).withColumn("pos", F.sum("p").over(Window.partitionBy()))
-    precision = F.when(F.col("n").isNull(), 1.0).otherwise(F.col("tp") / F.col("n"))
-    recall = F.when(F.col("n").isNull(), 0.0).when(F.col("pos") == 0, 1.0).otherwise(F.try_divide(F.col("tp"), F.col("pos")))
+    s = _running(g, "prob", "p", "m", down=True).join(F.broadcast(g.agg(F.sum("p").alias("pos"))))  # one row
+    last = F.col("before_m") == 0
+    precision = F.when(last, 1.0).otherwise(F.try_divide(F.col("before_p"), F.col("before_m")))
+    recall = F.when(last, 0.0).when(F.col("pos") == 0, 1.0).otherwise(F.try_divide(F.col("before_p"), F.col("pos")))
     s = s.withColumn("a", precision).withColumn("b", recall).where("a + b > 0").withColumn("f1", F.round(2 * F.col("a") * F.col("b") / (F.col("a") + F.col("b")), 9))
     top = s.agg(F.max(F.struct("f1", (-F.col("prob")).alias("low"))).alias("m"))
     return top.select(F.coalesce(-F.col("m.low"), F.lit(0.5)).alias("threshold"), F.round(F.coalesce("m.f1", F.lit(-1.0)), 6).alias("f1"))

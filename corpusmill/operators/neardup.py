@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import char_ngrams, jaccard, normalize
+from corpusmill.operators.stored import spread
 
 
 def _vote(text: str) -> int:
@@ -28,7 +29,7 @@ def simhash64(df: DataFrame, id_col: str, text_col: str, *keep: str, digest: boo
 
     A text's votes need only its own row, so they are counted in Arrow batches, without a shuffle.
     """
-    d = df.select(id_col, *keep, normalize(F.col(text_col)).alias("__form"))
+    d = spread(df.select(id_col, *keep, text_col)).select(id_col, *keep, normalize(F.col(text_col)).alias("__form"))
 
     def run(batches):
         for b in batches:
@@ -56,9 +57,7 @@ def near_classes(test: DataFrame, train: DataFrame, id_col: str, text_col: str,
     by = [within] if within else []
 
     def side(df, name):
-        c = simhash64(df, id_col, text_col, digest=True)
-        if within:
-            c = c.join(df.where(F.col(within).isNotNull()).select(id_col, within), id_col)
+        c = simhash64(df.where(F.col(within).isNotNull()) if within else df, id_col, text_col, *by, digest=True)
         c = c.groupBy("h", *by).agg(F.min(id_col).alias(f"{name}_id"), F.count(F.lit(1)).alias(f"{name}_n"), F.min("simhash").alias(f"{name}_s"))
         return c.withColumnRenamed("h", f"{name}_h").select("*", F.posexplode(F.array(*[_band(F.col(f"{name}_s"), b) for b in range(4)])).alias("band", "value"))
 

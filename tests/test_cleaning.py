@@ -1,5 +1,8 @@
 """Each rule of the staged cleaner: a text it changes and one it leaves alone. Expected texts are written by hand."""
 
+import random
+import re
+
 import pytest
 
 from corpusmill.functions import cleaning as C
@@ -152,3 +155,11 @@ def test_records(spark):
     assert cleaning.clean_records(d, "text").columns == d.columns
     long = spark.createDataFrame([(1, STORY * 20_000)], "id int, text string")
     assert cleaning.clean_records(long, "text").first()["text"] == (STORY * 20_000).strip()
+
+
+def test_single_stars_in_one_pass_as_by_a_search():
+    r = random.Random(12)
+    for _ in range(20_000):
+        t = "".join(r.choice("**a \n,_") for _ in range(r.randrange(0, 14)))
+        assert C.without_single_stars(t) == re.sub(r"(?s)(?<!\n)\*(?!\s)(.+?)(?<!\s)\*(?!\w)", r" \1 ", t), repr(t)
+    assert C.without_single_stars("*a " * 200_000) == "*a " * 200_000

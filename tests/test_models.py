@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import metrics, rewrite
 from corpusmill.functions import stemming as St
-from corpusmill.operators import dedup, neardup, perturb, policy, sequences, vectors
+from corpusmill.operators import dedup, evaluation, neardup, perturb, policy, sequences, vectors
 from corpusmill.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -154,3 +154,16 @@ def test_seeded_sets_are_the_same_rows_in_other_orders(spark, tmp_path):
 
 def test_policy_query_is_registered():
     assert "policy_perturbation" in catalogue.queries()
+
+
+def test_scores_in_slices_agree_with_plain_counts(spark):
+    r = random.Random(21)
+    rows = [(r.randrange(2), r.choice([r.random(), 0.5, 1.0, 0.0, r.random() * 3 - 1])) for _ in range(700)]
+    d = spark.createDataFrame(rows, "label int, prob double")
+    pos, neg = [p for y, p in rows if y], [p for y, p in rows if not y]
+    want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg)
+    assert evaluation.auc(d).first()[0] == round(want, 6)
+    got = {x["threshold"]: (x["tpr"], x["fpr"]) for x in evaluation.roc_points(d).collect()}
+    assert got == {t: (round(sum(p >= t for p in pos) / len(pos), 6), round(sum(p >= t for p in neg) / len(neg), 6)) for t in {p for _, p in rows}}
+    plan = evaluation.roc_points(d)._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(prob" not in plan
