@@ -158,7 +158,7 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     named = labels.where(key.isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(key.alias("__id")).agg(F.max(label_col).alias("__y"))
     chosen = named.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
     labelled = documents.select(key.alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__id")
-    sample = labelled.orderBy(F.xxhash64("__id", "__text"), "__id", "__y").limit(sample_rows).select("__y", "__text")
+    sample = labelled.orderBy(F.xxhash64("__id", "__text"), "__id", "__y").limit(sample_rows).select("__y", "__text").repartition(max(1, sample_rows // 400))
 
     def count(batches):
         toxic: Counter = Counter()
