@@ -68,6 +68,30 @@ def deck(chunks: DataFrame, group: str, chunk: str, strategies: list[str]) -> Da
     return out.withColumn("bucket", bucket).withColumn("strategy", F.element_at(F.array(*map(F.lit, strategies)), (F.col(chunk) % k + 1).cast("int"))).drop("__g", "__whole")
 
 
+# The ten strategies that a bucket's chunks are dealt, in the two versions of the deck.
+DECK_1 = ("tau_0.2", "tau_0.2", "tau_0.5", "tau_0.5", "tau_0.8", "tau_0.8", "random", "random", "random", "random")
+DECK_2 = ("tau_0.2", "tau_0.2", "tau_0.5", "tau_0.5", "tau_0.8", "tau_0.8", "random", "random", "aggressive", "aggressive")
+
+
+def dealt(chunks: DataFrame, group: str, chunk: str, strategies: tuple = DECK_1, seed: str = "42", strict: bool = True) -> DataFrame:
+    """Adds bucket and strategy as deck() does, but each bucket's strategies are shuffled, by a hash of seed, group, bucket and place.
+
+    With strict, a group with fewer chunks than a bucket takes raises an error, which asks for one small aggregate at once.
+    """
+    k = len(strategies)
+    if strict and not chunks.groupBy(group).agg(F.max(chunk).alias("m")).where(F.col("m") + 1 < k).isEmpty():
+        raise ValueError(f"a group has fewer than {k} chunks")
+    d = deck(chunks, group, chunk, list(strategies)).drop("strategy")
+    order = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.struct(F.md5(F.concat_ws(":", F.lit(seed), F.col(group).cast("string"), F.col("bucket").cast("string"), j.cast("string"))).alias("h"), j.alias("j")))
+    places = F.transform(F.array_sort(order), lambda x: x["j"])
+    return d.withColumn("strategy", F.get(F.array(*map(F.lit, strategies)), F.array_position(places, (F.col(chunk) % k).cast("int")).cast("int") - 1))
+
+
+def random_split(df: DataFrame, id_col: str, ratio: float = 0.8, seed: str = "42") -> DataFrame:
+    """id, split: 'a' for exactly `ratio` of all rows (rounded half to even), chosen by a seeded hash, 'b' for the others."""
+    return ranked(df.select(id_col, F.lit(0).alias("__all")), "__all", id_col, seed).select(id_col, F.when(F.col("rk") <= F.bround(F.col("cnt") * F.lit(ratio)), "a").otherwise("b").alias("split"))
+
+
 def early_stopping(scores: DataFrame, order: str, value: str, patience: int, mode: str = "max") -> DataFrame:
     """Adds best (the running best), better (this row improves it) and stop (patience rows in a row didn't). One run's epochs, so one ordered window is enough."""
     w = Window.orderBy(order)

@@ -70,3 +70,22 @@ select split, seed, row_number() over (partition by split, seed order by md5(see
 def seeded_sets(spark, sf_dir):
     """A fixed test set, and the same training rows in the order of three seeds."""
     return sequences.seeded_sets(_t(spark, sf_dir, "labels").select("doc_id", "toxic"), "toxic", "doc_id")
+
+
+@_query("with r as (select doc_id, row_number() over (order by md5('42:' || doc_id), doc_id) as rk, count(*) over () as c from documents) select doc_id, case when rk <= round_even(c * 0.8, 0) then 'a' else 'b' end as split from r")
+def random_split(spark, sf_dir):
+    """Four fifths of all documents by a seeded hash, and the rest."""
+    return sequences.random_split(_t(spark, sf_dir, "documents"), "doc_id")
+
+
+_DECK = ", ".join(f"'{x}'" for x in sequences.DECK_1)
+
+
+@_query(f"""with c as (select doc_id, doc_id % 3 as part, doc_id // 6 as chunk from documents), w as (select part, (max(chunk) + 1) // 10 as whole from c group by part), b as (select c.*, chunk // 10 as bucket from c join w using (part) where chunk // 10 < whole),
+k as (select distinct part, bucket from b), o as (select part, bucket, j, row_number() over (partition by part, bucket order by md5('42:' || part || ':' || bucket || ':' || j)) as place from k, range(10) as t(j))
+select doc_id, b.bucket, [{_DECK}][place] as strategy from b join o on o.part = b.part and o.bucket = b.bucket and o.j = chunk % 10""")
+def dealt_decks(spark, sf_dir):
+    """Documents in chunks, every ten of which are dealt the shuffled strategies."""
+    i = F.col("doc_id")
+    c = _t(spark, sf_dir, "documents").select("doc_id", (i % 3).alias("part"), F.call_function("div", i, F.lit(6).cast("long")).alias("chunk"))
+    return sequences.dealt(c, "part", "chunk").select("doc_id", "bucket", "strategy")

@@ -133,3 +133,26 @@ def test_cleaning_counts_by_file(spark):
     whole = cleaning.clean_counters(rows, "text").first()
     got = {r["file"]: (r["before"], r["kept"], r["dropped"]) for r in cleaning.clean_counters(rows, "text", by=("file",)).collect()}
     assert got["a"][0] == got["b"][0] == 2 and sum(g[1] for g in got.values()) == whole["kept"] and sum(g[2] for g in got.values()) == whole["dropped"] and got["b"][2] >= 1
+
+
+def test_dealt_strategies_are_a_deck_for_each_bucket(spark):
+    d = spark.range(70).select((F.col("id") % 2).alias("g"), F.floor(F.col("id") / 2).alias("chunk"))
+    got = {}
+    for r in sequences.dealt(d, "g", "chunk", sequences.DECK_2).orderBy("g", "chunk").collect():
+        got.setdefault((r["g"], r["bucket"]), []).append(r["strategy"])
+    assert len(got) == 6 and all(sorted(v) == sorted(sequences.DECK_2) for v in got.values()) and len({tuple(v) for v in got.values()}) > 2
+    with pytest.raises(ValueError):
+        sequences.dealt(d.where("chunk < 9"), "g", "chunk")
+    assert sequences.dealt(d.where("chunk < 9"), "g", "chunk", strict=False).count() == 0
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a,"b"\nc'), (2, None)], "i int, t string")
+    files.write_csv(df.coalesce(1), f"file://{tmp_path}/csv")
+    import csv
+
+    (part,) = (tmp_path / "csv").glob("part-*.csv")
+    assert list(csv.reader(part.open(newline=""), escapechar="\\", doublequote=False)) == [["i", "t"], ["1", 'a,"b"\nc'], ["2", ""]]
+    for mode in ("errorifexists", "append"):
+        files.write_jsonl(df, f"file://{tmp_path}/lines", mode)
+    assert files.read_jsonl(spark, f"file://{tmp_path}/lines", "i int, t string").count() == 4

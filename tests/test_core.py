@@ -47,6 +47,15 @@ def test_query_equals_its_sql(spark, duck, name):
         assert all(p == q or isinstance(p, float) and isinstance(q, float) and math.isclose(p, q, abs_tol=1e-6) for p, q in zip(x, y)), (x, y)
 
 
+def test_text_metrics_agree_with_sql_within_the_last_place(spark, duck):
+    got = catalogue.queries()["text_metrics"](spark, SF)
+    want = duck.execute(catalogue.TEXT_METRICS_SQL)
+    columns = [c[0] for c in want.description]
+    a, b = ({r["doc_id"]: r for r in x} for x in (got.collect(), [dict(zip(columns, r)) for r in want.fetchall()]))
+    assert sorted(columns) == sorted(got.columns) and a.keys() == b.keys()
+    assert all(math.isclose(a[k][c], b[k][c], abs_tol=1.01e-4) for k in a for c in columns)
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.queries().keys() - catalogue.oracle_sql().keys()))
 def test_query_without_sql_runs(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
