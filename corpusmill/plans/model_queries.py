@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import dedup, neardup, policy, sequences, vectors
+from corpusmill.operators import dedup, neardup, policy, routes, sequences, vectors
 from corpusmill.plans.catalogue import _H, _PAIRS, _query, _split, _t
 
 _SOFT = "t as (select {0}, max(s) as top from r group by {0}), w as (select r.*, exp(s - top) as w from r join t using ({0})), p as (select {0}, unnest(x) as x, unnest(range(len(x))) as i, w from w), m as (select {0}, i, sum(w * x) / sum(w) as v from p group by {0}, i)"
@@ -89,3 +89,15 @@ def dealt_decks(spark, sf_dir):
     i = F.col("doc_id")
     c = _t(spark, sf_dir, "documents").select("doc_id", (i % 3).alias("part"), F.call_function("div", i, F.lit(6).cast("long")).alias("chunk"))
     return sequences.dealt(c, "part", "chunk").select("doc_id", "bucket", "strategy")
+
+
+@_query()
+def joint_scores(spark, sf_dir):
+    """Vectors, their mirror images and their turned copies as the three routes of a deep seeded classifier, with four figures of each as metrics."""
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    e = e.select("vec_id", F.col("x").alias("original_vector"), F.reverse("x").alias("perturbed_vector"), F.concat(F.slice("x", 9, 999), F.slice("x", 1, 8)).alias("restored_vector"))
+    for r in routes.ROUTES:
+        x = F.col(f"{r}_vector")
+        e = e.withColumn(f"{r}_metrics", F.array(F.get(x, F.lit(0)), F.array_max(x), F.array_min(x), F.aggregate(x, F.lit(0.0), lambda a, v: a + v)))
+    model = routes.load(routes.seeded_weights(spark, 68, 32, 64, depth=3), depth=3)
+    return routes.classified(e, "vec_id", model)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import metrics, rewrite
 from corpusmill.functions import stemming as St
-from corpusmill.operators import dedup, evaluation, neardup, perturb, policy, sequences, vectors
+from corpusmill.operators import dedup, evaluation, neardup, perturb, policy, routes, sequences, vectors
 from corpusmill.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -167,3 +167,37 @@ def test_scores_in_slices_agree_with_plain_counts(spark):
     assert got == {t: (round(sum(p >= t for p in pos) / len(pos), 6), round(sum(p >= t for p in neg) / len(neg), 6)) for t in {p for _, p in rows}}
     plan = evaluation.roc_points(d)._jdf.queryExecution().analyzed().toString()
     assert "windowspecdefinition(prob" not in plan
+
+
+@pytest.mark.parametrize("depth", [1, 3])
+def test_joint_classifier_against_plain_loops(spark, depth):
+    r = random.Random(31)
+    width, hidden, fusion = 5, 4, 6
+    table = {(x["step"], x["row"], x["col"]): x["value"] for x in routes.seeded_weights(spark, width, hidden, fusion, depth, 9).collect()}
+    assert len({k[0] for k in table}) == 4 * depth + 1
+
+    def step(name, x):
+        out = []
+        for o in range(1 + max(k[1] for k in table if k[0] == name)):
+            y = sum(table[name, o, i] * v for i, v in enumerate(x)) + table[name, o, -1]
+            if depth > 1 and name != "out/0":
+                mean, var, scale, shift = (table[name, o, -k] for k in (2, 3, 4, 5))
+                y = (y - mean) / math.sqrt(var + 1e-5) * scale + shift
+            out.append(y)
+        return out
+
+    def stack(name, x):
+        first = out = [max(0.0, y) for y in step(f"{name}/0", x)]
+        for k in range(1, depth):
+            out = [max(0.0, y) for y in step(f"{name}/{k}", out)]
+        return [a + b for a, b in zip(out, first)] if depth > 1 else out
+
+    rows = [(i, *[[r.uniform(-1, 1) for _ in range(n)] for _ in range(3) for n in (3, 2)]) for i in range(30)] + [(99, None, *[[0.0] * n for n in (2, 3, 2, 3, 2)])]
+    names = [f"{a}_{b}" for a in routes.ROUTES for b in ("vector", "metrics")]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{n} array<double>" for n in names))
+    got = {x["id"]: (x["prob"], x["pred"]) for x in routes.classified(df, "id", routes.load(routes.seeded_weights(spark, width, hidden, fusion, depth, 9), depth)).collect()}
+    assert got.pop(99) == (None, None)
+    for i, *v in rows[:-1]:
+        fused = [y for k, name in enumerate(routes.ROUTES) for y in stack(name, v[2 * k] + v[2 * k + 1])]
+        p = 1 / (1 + math.exp(-step("out/0", stack("fusion", fused))[0]))
+        assert math.isclose(got[i][0], p, rel_tol=1e-9) and got[i][1] == int(p > 0.5)
