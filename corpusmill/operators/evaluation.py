@@ -161,3 +161,18 @@ def mean_table(df: DataFrame, models: list[str]) -> DataFrame:
     """metric and a column for each of the models: pair_means() side by side, NaN where a metric has no values of a model."""
     wide = pair_means(df).groupBy("metric").pivot("model", models).agg(F.first("mean"))
     return wide.select("metric", *[F.coalesce(F.col(f"`{m}`"), F.lit(float("nan"))).alias(m) for m in models])
+
+
+# The metrics of each level of a report.
+LEVELS = {
+    "L1": ("SentenceLengthVariability", "AvgSentenceLength", "SentenceComplexityIndex", "DependencyLength", "SemanticCohesion"),
+    "L2": ("EntropyDensity", "CompressionDensity", "SyntacticDensity", "FleschKincaidScore", "GunningFogScore"),
+    "L3": ("HierarchicalDensity", "SyntacticErrors"),
+    "L4": ("LexicalDensity", "LexicalDiversity", "WordFrequencyEntropy", "SyllableDensity", "PPL"),
+}
+
+
+def by_level(df: DataFrame, *keys: str) -> DataFrame:
+    """keys and a struct for each level, of its metrics that are columns of df; a level without any is left out."""
+    found = {level: [m for m in names if m in df.columns] for level, names in LEVELS.items()}
+    return df.select(*keys, *[F.struct(*names).alias(level) for level, names in found.items() if names])

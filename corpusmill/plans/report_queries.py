@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import metrics
 from corpusmill.functions import text as T
 from corpusmill.operators import building, cleaning, dedup, evaluation
-from corpusmill.plans.catalogue import _PAIRS, _PROB, _query, _scores, _split, _t
+from corpusmill.plans.catalogue import _PAIRS, _PROB, _SENT, _query, _scores, _split, _t
 
 _SHAPES = """select doc_id as ord, 'f' || doc_id % 3 as file, text, source, lang, n_chars, doc_id % 8 as k from documents"""
 
@@ -129,3 +130,27 @@ def sorted_files(spark, sf_dir):
     f = _t(spark, sf_dir, "documents").where("source is not null").select(name.alias("file")).distinct()
     f = f.select("file", T.dataset_name(F.col("file")).alias("d"))
     return f.select("file", F.row_number().over(Window.orderBy("d.dataset", F.col("d.seed").try_cast("long"), "file")).cast("long").alias("place"))  # of names, a few hundred
+
+
+@_query(f"with {_SENT} select doc_id, array_to_string(s[1:8], chr(10)) as head, len(s) as n_sentences from s")
+def first_sentences(spark, sf_dir):
+    """The first eight sentences of documents."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
+    return d.select("doc_id", F.array_join(F.slice("s", 1, 8), "\n").alias("head"), F.size("s").cast("long").alias("n_sentences"))
+
+
+@_query("""with d as (select role as model, turn % 2 as m, avg(length(coalesce(text, ''))) as v from conversations group by 1, 2)
+select case m when 0 then 'ManhattanDist' else 'BLEU' end as metric, round(max(case when model = 'user' then v end) / case m when 0 then 100 else 1 end, 6) as user, round(max(case when model = 'assistant' then v end) / case m when 0 then 100 else 1 end, 6) as assistant from d group by m""")
+def figure_table(spark, sf_dir):
+    """Mean lengths of turns as two metrics of two models side by side."""
+    c = _t(spark, sf_dir, "conversations").select(F.when(F.col("turn") % 2 == 0, "ManhattanDist").otherwise("BLEU").alias("metric"), F.col("role").alias("model"), F.length(F.coalesce("text", F.lit(""))).cast("double").alias("value"))
+    m = evaluation.mean_table(c, ["user", "assistant"])
+    return m.select("metric", *[F.round(x, 6).alias(x) for x in ("user", "assistant")])
+
+
+@_query()
+def pair_report(spark, sf_dir):
+    """Metrics of neighbouring turns of a conversation and of either turn for itself."""
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    p = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("ref")), ["conv_id", "turn"])
+    return metrics.measured(p.withColumn("id", F.concat_ws("_", "conv_id", "turn")), "id", metrics.pair_report, "text", "ref")

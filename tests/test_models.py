@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import metrics, rewrite
 from corpusmill.functions import stemming as St
-from corpusmill.operators import dedup, evaluation, neardup, perturb, policy, routes, sequences, vectors
+from corpusmill.operators import dedup, evaluation, neardup, perturb, policy, routes, scorers, sequences, vectors
 from corpusmill.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -201,3 +201,36 @@ def test_joint_classifier_against_plain_loops(spark, depth):
         fused = [y for k, name in enumerate(routes.ROUTES) for y in stack(name, v[2 * k] + v[2 * k + 1])]
         p = 1 / (1 + math.exp(-step("out/0", stack("fusion", fused))[0]))
         assert math.isclose(got[i][0], p, rel_tol=1e-9) and got[i][1] == int(p > 0.5)
+
+
+def test_models_load_once_in_a_worker_and_failures_get_a_value(spark):
+    def load():
+        import os
+
+        calls = []
+
+        def model(texts):
+            calls.append(len(texts))
+            if any("bad" in t for t in texts):
+                raise RuntimeError("no")
+            return [[float(len(t)), float(os.getpid()), float(len(calls))] for t in texts]
+
+        return model
+
+    texts = [None, "", "abc", "bad one", *["x" * i for i in range(60)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    twice = [{r["id"]: r["v"] for r in scorers.modelled(df, "t", "v", "toy", load, "array<double>", 8, [0.0, 0.0, 0.0]).collect()} for _ in range(2)]
+    for got in twice:
+        assert got[3] == [0.0, 0.0, 0.0] and all(got[i][0] == len(t or "") for i, t in enumerate(texts) if i != 3)
+    # The same worker goes on counting calls where it runs both times.
+    same = twice[0][5][1] == twice[1][5][1]
+    assert not same or twice[1][5][2] > twice[0][5][2]
+    both = scorers.by_models(df, "t", "out", {"up": lambda: lambda ts: [t.upper() for t in ts], "cut": lambda: lambda ts: [t[1] for t in ts]}, failed="").collect()
+    assert len(both) == 2 * len(texts) and {r["out"] for r in both if r["id"] == 2} == {"ABC", "b"} and [r["out"] for r in both if r["id"] == 1] == ["", ""]
+
+
+def test_levels_and_pair_reports(spark):
+    d = spark.createDataFrame([(1, 2.0, 3.0, 4.0)], "id int, PPL double, SyntacticErrors double, AvgSentenceLength double")
+    assert evaluation.by_level(d, "id").first().asDict(True) == {"id": 1, "L1": {"AvgSentenceLength": 4.0}, "L3": {"SyntacticErrors": 3.0}, "L4": {"PPL": 2.0}}
+    r = metrics.pair_report("a b. c", "a b")
+    assert r["bleu"] == metrics.pair_metrics("a b. c", "a b")["bleu"] and r["prediction_sentence_length"] == 1.5 and r["reference_sentence_length"] == 2.0
