@@ -29,12 +29,6 @@ def ngrams(items, n: int, sep: str = " "):
     return once(items, lambda w: F.when(F.size(w) >= n, many(w)).otherwise(F.array().cast("array<string>")))
 
 
-def char_ngrams(text, n: int = 5):
-    """Distinct character n-grams; a shorter text is its own one, '' has none."""
-    many = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n))))
-    return once(text, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(many(t)))
-
-
 def jaccard(a, b, empty: float = 1.0):
     """Of two arrays as sets; two empty sets give `empty`."""
     union = F.size(F.array_union(a, b))

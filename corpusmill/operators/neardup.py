@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import char_ngrams, jaccard, normalize
+from corpusmill.functions.text import jaccard, normalize
 from corpusmill.operators.stored import spread
 
 
@@ -44,6 +44,16 @@ def _band(simhash, b: int):
     return F.shiftrightunsigned(simhash, 16 * b).bitwiseAND(65535)
 
 
+def char_grams(texts, n: int = 5):
+    """Distinct character n-grams of a text, in Arrow batches; a shorter text is its own one, '' has none. A slice of a Python text is one step, where Spark's substring walks to its start."""
+
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([list({t[i : i + n] for i in range(max(1, len(t) - n + 1))}) if t else [] for t in column.to_pylist()], pa.list_(pa.string()))
+
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<string>")(texts)
+
+
 def near_classes(test: DataFrame, train: DataFrame, id_col: str, text_col: str, within: str | None = None) -> DataFrame:
     """test_id, test_n, test_h, train_id, train_n, train_h, score: pairs of classes of equal normal forms (lowest id, rows, SHA-1) that share a band of SimHash; score is the Jaccard of strict character 5-grams.
 
@@ -67,9 +77,8 @@ def near_classes(test: DataFrame, train: DataFrame, id_col: str, text_col: str,
     pairs = pairs.persist(StorageLevel.DISK_ONLY)
 
     def g(df, name, to):
-        # The join keeps the normal form a column: inside the lambda it would be made anew for each gram.
-        form = df.select(F.col(id_col).alias(name), normalize(F.col(text_col), True).alias("form"))
-        return form.join(pairs.select(name).distinct(), name).select(name, char_ngrams(F.col("form")).alias(to))
+        texts = spread(df.select(F.col(id_col).alias(name), text_col)).join(pairs.select(name).distinct(), name)
+        return texts.select(name, char_grams(normalize(F.col(text_col), True)).alias(to))
 
     scored = pairs.join(g(test, "test_id", "x"), "test_id").join(g(train, "train_id", "y"), "train_id")
     return scored.select(*pairs.columns, jaccard(F.col("x"), F.col("y")).alias("score"))

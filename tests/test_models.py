@@ -234,3 +234,9 @@ def test_levels_and_pair_reports(spark):
     assert evaluation.by_level(d, "id").first().asDict(True) == {"id": 1, "L1": {"AvgSentenceLength": 4.0}, "L3": {"SyntacticErrors": 3.0}, "L4": {"PPL": 2.0}}
     r = metrics.pair_report("a b. c", "a b")
     assert r["bleu"] == metrics.pair_metrics("a b. c", "a b")["bleu"] and r["prediction_sentence_length"] == 1.5 and r["reference_sentence_length"] == 2.0
+
+
+def test_character_grams(spark):
+    cases = {"": [], "abc": ["abc"], "abcde": ["abcde"], "éaéaéaé": ["aéaéa", "éaéaé"], "a\U0001f600bcdef": ["a\U0001f600bcd", "bcdef", "\U0001f600bcde"], None: []}
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string").select("i", F.array_sort(neardup.char_grams(F.col("t"))).alias("g")).collect()
+    assert {r["i"]: r["g"] for r in got} == {i: sorted(g, key=lambda x: x.encode()) for i, g in enumerate(cases.values())}
