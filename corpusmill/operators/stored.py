@@ -23,6 +23,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt out to more tasks if it has fewer than there are cores: one Parquet file with one row group is one task, however dear its rows are. A large table stays as it is."""
+    """df, dealt out to more tasks if it is read from fewer splits than there are cores: one Parquet file with one row group is one task, however dear its rows are.
+
+    A large table stays as it is, and so does whatever comes out of a join or shuffle, whose tasks would be known only after it ran.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.functions import metrics, rewrite
 from corpusmill.operators import cleaning, dedup, evaluation, neardup, perturb, sequences
+from corpusmill.operators.stored import spread
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -177,7 +178,7 @@ def text_metrics(spark, sf_dir):
 def pair_metrics(spark, sf_dir):
     """BLEU, ROUGE, distances and overlaps of neighbouring documents, whole texts."""
     d = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    p = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("ref")), "doc_id")
+    p = spread(d).join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("ref")), "doc_id")
     return metrics.measured(p, "doc_id", metrics.pair_metrics, "text", "ref")
 
 

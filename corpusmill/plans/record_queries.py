@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusmill.operators.stored import shared_folder
 from corpusmill.plans.catalogue import _query, _t
 from corpusmill.sources import records
 
@@ -59,8 +60,7 @@ def line_limit(spark, sf_dir):
     """Conversations written as lines with blank and broken ones between, in a new shared folder; the first 100 lines of each file read back."""
     import uuid
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/lines-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
     c = _t(spark, sf_dir, "conversations").withColumn("file", F.col("conv_id") % 3)
     line = F.to_json(F.struct("conv_id", "turn", "role"))
     c = c.select("file", F.explode(F.array(line, F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, F.concat(line, F.lit("}{"))))).alias("line")).where("line is not null")
