@@ -152,3 +152,25 @@ def test_near_pairs_of_copies_and_empty_texts(spark):
     assert tuple(neardup.near_counts(c, j=0.95).first()) == (len(want), full)
     assert {r[0] for r in neardup.near_train_ids(c, train, "i", "t", 0.95).collect()} == {r["train_id"] for r in got if r["score"] >= 0.95}
     assert neardup.near_counts(neardup.near_classes(test.where("false"), train, "i", "t"), j=0.95).first()["candidates"] == 0
+
+
+def test_near_pairs_above_a_bound_are_found_without_making_all_candidates(spark):
+    import random
+
+    from corpusmill.operators import neardup
+
+    draw, words = random.Random(3), [f"w{i}" for i in range(400)]
+    base = [" ".join(draw.choice(words) for _ in range(draw.randint(3, 90))) for _ in range(60)]
+    rows = [(5 * i + k, t + " x" * k if k < 3 else " ".join(reversed(t.split()))) for i, t in enumerate(base) for k in range(4)] + [(1000, ""), (1001, None), (1002, base[0])]
+    d = spark.createDataFrame(rows, "i int, t string")
+    test, train = d.where("i % 5 = 0"), d.where("i % 5 <> 0")
+    every = neardup.near_classes(test, train, "i", "t")
+    want = {tuple(r) for r in every.where("score >= 0.8").collect()}
+    assert want and {tuple(r) for r in neardup.near_classes(test, train, "i", "t", least=0.8).collect()} == want
+    assert neardup.near_summary(test, train, "i", "t", a=0.95, b=0.8).collect() == neardup.near_counts(every, a=0.95, b=0.8).collect()
+    # Cells of a few classes give the same pairs as whole bands.
+    a, b = (neardup._classes(x, "i", "t", n, [], False) for x, n in ((test, "test"), (train, "train")))
+    band = lambda small: {(r["test_id"], r["train_id"]) for x, y, c in [neardup._cells(a, b, [], small)] for r in x.join(y, c).select("test_id", "train_id").collect()}
+    assert band(2) == band(256)
+    x = "abcdefg" * 5 + "xyz"
+    assert len(neardup.gram_hashes(x)) == len({x[i : i + 5] for i in range(len(x) - 4)}) and len(neardup.gram_hashes("abc")) == 1 and not len(neardup.gram_hashes(""))
