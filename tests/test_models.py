@@ -240,3 +240,9 @@ def test_character_grams(spark):
     cases = {"": [], "abc": ["abc"], "abcde": ["abcde"], "éaéaéaé": ["aéaéa", "éaéaé"], "a\U0001f600bcdef": ["a\U0001f600bcd", "bcdef", "\U0001f600bcde"], None: []}
     got = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string").select("i", F.array_sort(neardup.char_grams(F.col("t"))).alias("g")).collect()
     assert {r["i"]: r["g"] for r in got} == {i: sorted(g, key=lambda x: x.encode()) for i, g in enumerate(cases.values())}
+
+
+def test_distances_are_the_same_from_either_side():
+    long, short = "abcde" * 200, "bd" * 3
+    assert metrics.edit_distance(short, long) == metrics.edit_distance(long, short) == 994
+    assert metrics.longest_common(list(short), list(long)) == metrics.longest_common(list(long), list(short)) == 6
