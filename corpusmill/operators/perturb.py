@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import rewrite
 from corpusmill.functions.metrics import sentences as split
+from corpusmill.operators.stored import spread
 
 SEED = 42
 # Fixed values.
@@ -82,7 +83,7 @@ def layered(df: DataFrame, id_col: str, text_col: str, choose) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for b in batches:
+        for b in (x.slice(i, 256) for x in batches for i in range(0, len(x), 256)):
             first, last = [], []
             for text in b.column(1).to_pylist():
                 s = split(text or "")
@@ -93,4 +94,4 @@ def layered(df: DataFrame, id_col: str, text_col: str, choose) -> DataFrame:
                 last.append(" ".join(s))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(first, pa.string()), pa.array(last, pa.string())], names=[id_col, "reordered", "perturbed"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, reordered string, perturbed string")
+    return spread(df.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, reordered string, perturbed string")

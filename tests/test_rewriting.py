@@ -174,3 +174,11 @@ def test_near_pairs_above_a_bound_are_found_without_making_all_candidates(spark)
     assert band(2) == band(256)
     x = "abcdefg" * 5 + "xyz"
     assert len(neardup.gram_hashes(x)) == len({x[i : i + 5] for i in range(len(x) - 4)}) and len(neardup.gram_hashes("abc")) == 1 and not len(neardup.gram_hashes(""))
+
+
+def test_a_single_files_rows_are_dealt_out(spark):
+    from corpusmill.plans import catalogue
+
+    cores = spark.sparkContext.defaultParallelism
+    for q in ("all_shuffles", "policy_perturbation", "layered_perturbation", "block_shuffle"):
+        assert catalogue.queries()[q](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= cores, q
