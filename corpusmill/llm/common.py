@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,14 @@ def kept(key: tuple, make):
     return held[key]
 
 
+def give_back() -> None:
+    """Freed memory of this worker goes back to the system, as far as its allocators can tell: else it counts against the executor for as long as the worker lives."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def written(df: DataFrame, keep_path: bool = False):
     """df with its lineage cut by a compressed table in the shared folder: less disk than a checkpoint, and of known size for joins. With keep_path, (path, df), for who erases it."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -7,11 +7,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import give_back, kept
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _CHUNKS = re.compile("▁*[^▁]+|▁+")
@@ -58,7 +59,7 @@ class _Store:
 class Pieces:
     """Encoder and decoder of a BPE model with byte fallback. A chunk is a word with the spaces before it: no piece has a space after another character, so merges stay in chunks."""
 
-    def __init__(self, model: str = MODEL, dropout: float = 0.1, seed: int = 1, cache_ids: int = 4_000_000, cache_chars: int = 8_000_000):
+    def __init__(self, model: str = MODEL, dropout: float = 0.1, seed: int = 1, cache_ids: int = 2_000_000, cache_chars: int = 4_000_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -301,7 +302,7 @@ class Pieces:
         """Candidate merges are skipped by key and the chunk's place. A literal U+2581 becomes bytes, so decoding is lossless."""
         return self.encode_all([text], [key])[0].tolist()
 
-    def encode_all(self, texts: list[str], keys: list[int], at_once: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
+    def encode_all(self, texts: list[str], keys: list[int], at_once: int = 32_768) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids in each) of texts with their keys; so many chunks are met together."""
         found: list[str] = []
         ends = []
@@ -335,12 +336,12 @@ def _shared(model: str, dropout: float, seed: int) -> Pieces:
     return kept(("pieces", model, dropout, seed), lambda: Pieces(model, dropout, seed))
 
 
-def _groups(texts: list, chars: int = 400_000):
-    """Bounds of runs of texts of about so many characters."""
+def _groups(sizes: list[int], most: int = 400_000):
+    """Bounds of runs of texts of about so many bytes."""
     a = 0
-    while a < len(texts):
-        b, size = a + 1, len(texts[a])
-        while b < len(texts) and (size := size + len(texts[b])) <= chars:
+    while a < len(sizes):
+        b, size = a + 1, sizes[a]
+        while b < len(sizes) and (size := size + sizes[b]) <= most:
             b += 1
         yield a, b
         a = b
@@ -357,14 +358,18 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         p = _shared(model, dropout, seed)
-        for b in batches:
-            texts = [t.as_py() or "" for t in b.column(1)]
-            keys = [xxhash.xxh3_64_intdigest(str(k), seed) for k in b.column(0).to_pylist()]
-            for x, y in _groups(texts):
-                ids, n = p.encode_all(texts[x:y], keys[x:y])
-                same = [got == t.encode("utf-8", "surrogatepass") for got, t in zip(p.decode_all(ids, n), texts[x:y])]
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(same, pa.bool_())], names=[id_col, "n_tokens", "ids", "lossless"])
+        try:
+            for b in batches:
+                keys = [xxhash.xxh3_64_intdigest(str(k), seed) for k in b.column(0).to_pylist()]
+                for x, y in _groups(pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()):
+                    texts = [t or "" for t in b.column(1).slice(x, y - x).to_pylist()]
+                    ids, n = p.encode_all(texts, keys[x:y])
+                    same = [got == t.encode("utf-8", "surrogatepass") for got, t in zip(p.decode_all(ids, n), texts)]
+                    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(same, pa.bool_())], names=[id_col, "n_tokens", "ids", "lossless"])
+        finally:  # the worker lives on, idle or in another stage
+            p.forget()
+            give_back()
 
     return documents.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {documents.schema[id_col].dataType.simpleString()}, n_tokens long, ids array<int>, lossless boolean")
 
