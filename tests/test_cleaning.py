@@ -163,3 +163,21 @@ def test_single_stars_in_one_pass_as_by_a_search():
         t = "".join(r.choice("**a \n,_") for _ in range(r.randrange(0, 14)))
         assert C.without_single_stars(t) == re.sub(r"(?s)(?<!\n)\*(?!\s)(.+?)(?<!\s)\*(?!\w)", r" \1 ", t), repr(t)
     assert C.without_single_stars("*a " * 200_000) == "*a " * 200_000
+
+
+def test_maps_of_letters_act_as_translate():
+    r = random.Random(4)
+    for table in (C._QUOTES, C.R.LETTERS_5, C.R.LETTERS_6, C.R.HIDDEN):
+        assert not {v for v in table.values() if v is not None} & set(table)
+        signs = [*map(chr, table), *"aé  b."]
+        for _ in range(50):
+            text = "".join(r.choices(signs, k=r.randrange(0, 60)))
+            assert C._mapped(text, table) == text.translate(table)
+
+
+def test_tidying_looks_for_what_it_changes():
+    for text in ("a b", "a  b", "a\tb", "\ra \x0b b\n\n\n\nc\n\n", " \x0c ", "a\n\n\nb"):
+        assert C._tidy(text) == re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t\r\f\v]+", " ", text)).strip()
+    for text in ("a\x1cb  c", " \x85 ", "a b"):
+        assert C._one_line(text) == re.sub(r"\s+", " ", text).strip()
+    assert C._holds("a**b", "**", "__") and C._plain("a**b") == "a b" and C._plain("a*b_c") == "a*b_c"
