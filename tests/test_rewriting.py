@@ -182,3 +182,42 @@ def test_a_single_files_rows_are_dealt_out(spark):
     cores = spark.sparkContext.defaultParallelism
     for q in ("all_shuffles", "policy_perturbation", "layered_perturbation", "block_shuffle"):
         assert catalogue.queries()[q](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= cores, q
+
+
+def plain_shuffles(sentence, key):
+    """The same shuffles by the generator's own methods, each candidate measured whole."""
+    from corpusmill.functions.metrics import edit_distance, grams
+
+    w, out = sentence.split(), {}
+    for t in (0.2, 0.5, 0.8):
+        draw, best = random.Random(f"42:tau_{t}:{key}"), (float("inf"), range(len(w)))
+        for _ in range(100 if len(w) > 1 else 0):
+            order = draw.sample(range(len(w)), len(w))
+            best = min(best, (abs(1 - 4 * sum(a > b for a, b in itertools.combinations(order, 2)) / (len(w) * (len(w) - 1)) - t), order), key=lambda x: x[0])
+            if best[0] < 0.05:
+                break
+        out[f"tau_{t}"] = " ".join(w[i] for i in best[1])
+    out["random"] = " ".join(random.Random(f"42:random:{key}").sample(w, len(w)))
+    draw, best, x = random.Random(f"42:aggressive:{key}"), (float("inf"), w), grams(w, 2)
+    for _ in range(30):
+        c = ["".join(draw.sample(z, len(z))) if len(z) > 3 and draw.random() < 0.2 else z for z in w]
+        draw.shuffle(c)
+        y = grams(c, 2)
+        best = min(best, (0.3 * (1 - sum((x & y).values()) / max(len(x), len(y), 1)) + 0.1 * edit_distance(w, c) / max(len(w), 1), c), key=lambda z: z[0])
+        if best[0] < 0.15:
+            break
+    return out | {"aggressive": " ".join(best[1])}
+
+
+def test_shuffles_against_brute_force():
+    r = random.Random(12)
+    texts = [" ".join("".join(r.choice("abc") for _ in range(r.randrange(1, 7))) for _ in range(r.randrange(0, 25))) for _ in range(150)] + ["a a a a", "x"]
+    for i, t in enumerate(texts):
+        assert W.all_shuffles(t, str(i)) == plain_shuffles(t, i)
+
+
+def test_a_hopeless_permutation_is_drawn_and_not_made():
+    a, b = random.Random(2), random.Random(2)
+    order, inversions = W._tried(60, a.getrandbits, 20)
+    assert len(order) < 30 and inversions > 20 and b.sample(range(60), 60)[: len(order)] == order and a.getstate() == b.getstate()
+    assert W.dissimilarity(["a", "b", "c"], ["c", "a", "b"]) == pytest.approx(0.3 * (1 - 1 / 2) + 0.1 * 2 / 3)
