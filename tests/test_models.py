@@ -246,3 +246,13 @@ def test_distances_are_the_same_from_either_side():
     long, short = "abcde" * 200, "bd" * 3
     assert metrics.edit_distance(short, long) == metrics.edit_distance(long, short) == 994
     assert metrics.longest_common(list(short), list(long)) == metrics.longest_common(list(long), list(short)) == 6
+
+
+def test_shared_n_grams_are_those_of_counters():
+    r = random.Random(4)
+    for _ in range(300):
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(0, 20))] for _ in range(2))
+        for n in (1, 2, 3, 4):
+            x, y = metrics.grams(a, n), metrics.grams(b, n)
+            assert metrics.shared_grams(a, b, n) == sum((x & y).values()) and metrics.n_grams(a, n) == sum(x.values())
+    assert metrics.edit_distance("abc" * 99, "abc" * 99) == 0 and metrics.edit_distance("", "") == 0
