@@ -256,3 +256,17 @@ def test_shared_n_grams_are_those_of_counters():
             x, y = metrics.grams(a, n), metrics.grams(b, n)
             assert metrics.shared_grams(a, b, n) == sum((x & y).values()) and metrics.n_grams(a, n) == sum(x.values())
     assert metrics.edit_distance("abc" * 99, "abc" * 99) == 0 and metrics.edit_distance("", "") == 0
+
+
+def test_pair_metrics_run_where_the_package_is_not_installed(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    sent = cloudpickle.dumps(metrics.pair_metrics)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = subprocess.run([sys.executable, "-c", "import pickle, sys; print(pickle.load(sys.stdin.buffer)('the cats were running', 'The cat was running fast'))"], input=sent, capture_output=True, cwd=tmp_path, env=env)
+    assert got.returncode == 0, got.stderr.decode()[-300:]
+    assert str(metrics.pair_metrics("the cats were running", "The cat was running fast")) in got.stdout.decode()
